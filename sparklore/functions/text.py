@@ -201,24 +201,24 @@ def locate_parts(parent, parts, fallback_to_cursor: bool) -> Column:
 
 def simple_tokens(c) -> Column:
     """Lower-case words without stemming."""
-    return F.filter(F.split(F.lower(col(c)), r"(?U)[^\p{Alnum}]+", -1), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(col(c)), F.lit(r"(?U)\p{Alnum}+"), F.lit(0))
 
 
 def trigrams(c) -> Column:
-    """Distinct trigrams of the lower-case words, each padded by two blanks before and one after."""
-    def of_word(w):
-        padded = F.concat(F.lit("  "), w, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(padded) - 2),
-                           lambda i: F.substring(padded, i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(simple_tokens(c)), of_word)))
+    """Distinct trigrams of the lower-case words, each padded by two blanks before and one after.
+
+    Words are put on lines of their own, and one pass of an overlapping match reads all
+    trigrams; the dot does not cross a line end.
+    """
+    words = F.regexp_replace(F.lower(col(c)), r"(?U)^[^\p{Alnum}]+|[^\p{Alnum}]+$", "")
+    padded = F.concat(F.lit("  "), F.regexp_replace(words, r"(?U)[^\p{Alnum}]+", " \n  "), F.lit(" "))
+    return F.when(words == "", F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(.{3}))"), F.lit(1))))
 
 
 def grams(c, n: int) -> Column:
     """Distinct character n-grams of a whole string."""
-    text = col(c)
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
-    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(col(c), F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)))
 
 
 def page_markdown(c) -> Column:

@@ -190,3 +190,37 @@ FROM kb_entities e LEFT JOIN (
     SELECT tenant_id, source_entity AS ent FROM kb_edges
     UNION ALL SELECT tenant_id, target_entity FROM kb_edges) GROUP BY 1, 2) d
   ON d.tenant_id = e.tenant_id AND d.ent = e.entity_id"""
+
+TABLES["kb_page_text"] = r"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+  '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS content
+FROM (SELECT page_id,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'),
+    '(?is)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'),
+    '(?i)<h1[^>]*>', chr(10) || chr(10) || '# ', 'g'), '(?i)<h2[^>]*>', chr(10) || chr(10) || '## ', 'g'),
+    '(?i)<h3[^>]*>', chr(10) || chr(10) || '### ', 'g'), '(?i)<li[^>]*>', chr(10) || '- ', 'g'),
+    '(?i)</(h[1-6]|p|div|ul|ol|nav|article|section)>', chr(10) || chr(10), 'g'),
+    '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS x FROM pages)"""
+
+
+def _redaction_sql() -> str:
+    steps = [
+        (r"sk-[A-Za-z0-9]{16,}", "[REDACTED_API_KEY]"),
+        (r"(?i)bearer\s+[A-Za-z0-9._\-]{16,}", "[REDACTED_TOKEN]"),
+        (r"(?i)(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*\S+", r"\1: [REDACTED]"),
+        (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
+        (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[REDACTED_EMAIL]"),
+        (r"\b(?:\+?86)?1[3-9]\d{9}\b", "[REDACTED_PHONE]"),
+        (r"\b\d{17}[\dXx]\b", "[REDACTED_ID]"),
+        (r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]"),
+    ]
+    sql = "SELECT doc_id, source, text AS t0 FROM documents"
+    for i, (pattern, placeholder) in enumerate(steps, 1):
+        sql = (f"SELECT *, len(regexp_extract_all(t{i - 1}, '{pattern}')) AS h{i}, "
+               f"regexp_replace(t{i - 1}, '{pattern}', '{placeholder}', 'g') AS t{i} FROM ({sql})")
+    return f"SELECT doc_id, source, t8 AS clean, h1 + h2 + h3 + h4 + h5 + h6 + h7 + h8 AS hits, h1, h2, h3, h4, h5, h6, h7, h8 FROM ({sql})"
+
+
+TABLES["kb_redacted"] = _redaction_sql()

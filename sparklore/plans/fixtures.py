@@ -17,6 +17,21 @@ SETTINGS_SCHEMA = ("tenant_id string, lint_ambiguous_ratio double, "
                    "lint_hub_inferred_ratio double, summary_max_chars int")
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on text that arrives in fewer input splits than there are cores.
+
+    A large table has far more splits than cores and is left as it is, without a shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    paths = df.inputFiles()
+    if len(paths) >= sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism) if df.rdd.getNumPartitions() < sc.defaultParallelism else df
+
+
 def _tenant(key):
     return F.concat(F.lit("t"), (key % 4).cast("string"))
 
@@ -34,7 +49,8 @@ class Kb:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
     @cached_property
     def documents(self) -> DataFrame:

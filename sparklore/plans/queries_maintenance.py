@@ -156,13 +156,5 @@ SELECT tenant_id, coalesce(decayed_facts, 0) AS decayed_facts, coalesce(audited,
 FROM de FULL JOIN au USING (tenant_id) FULL JOIN ad USING (tenant_id) FULL JOIN re USING (tenant_id)
 FULL JOIN pr USING (tenant_id)""")
 def _(kb):
-    cols = ["tenant_id", "entity_id", "name", "type"]
-    concepts = kb.concepts.select(*cols)
-    found = known_mentions(kb)
-    out = mnt.daily_maintenance(kb.entities.select(*cols), kb.edges, kb.facts, kb.spans.limit(0), found,
-                                kb.observations, NOW, kb.settings)
-    links = concept_mentions(kb)
-    added = mnt.unlinked_mentions(links, found).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("added_mentions"))
-    pairs = mnt.co_mentions(links).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("added_relations"))
-    return out.drop("added_mentions", "added_relations").join(added, "tenant_id", "left").join(
-        pairs, "tenant_id", "left").na.fill(0)
+    return mnt.daily_maintenance(kb.entities, kb.edges, kb.facts, kb.spans, known_mentions(kb),
+                                 kb.observations, NOW, kb.settings, linkable=kb.concepts)
