@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,9 +80,11 @@ def _matrix(data: bytes, dim: int) -> np.ndarray:
 
 
 def block_matches(pairs: DataFrame, keys: list[str], *, threshold: float | None = None,
-                  top_k: int | None = None) -> DataFrame:
+                  top_k: int | None = None, eps: float = 0.0) -> DataFrame:
     """Cosine of the vectors of two joined blocks (columns prefixed ``a_`` and ``b_``).
 
+    ``eps`` is added to the product of the norms; a zero vector has similarity 0.
+
     Only rows above ``threshold``, and only the ``top_k`` best of each a-vector in the block
     pair, leave the task; ties are kept by the smaller b-id.
     """
@@ -93,7 +96,8 @@ def block_matches(pairs: DataFrame, keys: list[str], *, threshold: float | None
             for row in pdf.itertuples(index=False):
                 a, b = _matrix(row.a_data, row.a_dim), _matrix(row.b_data, row.b_dim)
                 na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-                sim = (a @ b.T) / (np.outer(na, nb) + 1e-9)
+                norms = np.outer(na, nb) + eps
+                sim = np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
                 a_ids, b_ids = np.asarray(row.a_ids, dtype=object), np.asarray(row.b_ids, dtype=object)
                 if threshold is not None and top_k is None:
                     i, j = np.nonzero(sim > threshold)
@@ -113,7 +117,7 @@ def block_matches(pairs: DataFrame, keys: list[str], *, threshold: float | None
     return pairs.mapInPandas(run, schema)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _block_angle(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float(np.arccos(np.clip(np.frombuffer(x) @ np.frombuffer(y), -1.0, 1.0)))
                       if len(x) == len(y) else 10.0 for x, y in zip(a, b)], dtype="float64")

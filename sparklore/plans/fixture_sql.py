@@ -36,7 +36,7 @@ SELECT e.tenant_id, e.entity_id, e.name, e.type, e.aliases, 'doc_' || e.doc_no A
        CASE WHEN e.type = 'product' THEN v.embedding END AS embedding
 FROM (
   SELECT 't' || (p_partkey % 4) AS tenant_id, 'part_' || p_partkey AS entity_id, p_name AS name,
-         'product' AS type, [p_brand || ' ' || p_name] AS aliases, p_partkey AS doc_no FROM part
+         'product' AS type, [p_name || ' ' || p_brand] AS aliases, p_partkey AS doc_no FROM part
   UNION ALL
   SELECT 't' || t, 'supp_' || t || '_' || s_suppkey, s_name, 'org', [], s_suppkey * 4 + t
   FROM supplier, range(4) g(t)
@@ -224,3 +224,113 @@ def _redaction_sql() -> str:
 
 
 TABLES["kb_redacted"] = _redaction_sql()
+
+TABLES["kb_new"] = """
+SELECT 't' || (p_partkey % 4) AS tenant_id, 'new_' || p_partkey AS entity_id, p_partkey AS k, p_size, 'product' AS type,
+       CASE WHEN p_size <= 12 THEN upper(p_name) WHEN p_size <= 25 THEN p_name || ' ' || p_brand
+            WHEN p_size <= 38 THEN p_name || 's' ELSE p_name || ' of ' || p_type END AS name,
+       list_transform(range(1, len(v) + 1), lambda i: v[i] + 0.4 * v[len(v) - i + 1]) AS embedding
+FROM part LEFT JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) ON vec_id = p_partkey"""
+
+BLOCK_SQL = "left(regexp_replace(lower(split_part(name, ' ', 1)), '[^\\w]', '', 'g'), 8) || '|' || type"
+
+TABLES["kb_known"] = f"""
+SELECT tenant_id, entity_id, name, lower(name) AS name_key, type, aliases, CAST(embedding AS DOUBLE[]) AS embedding,
+       {BLOCK_SQL} AS name_block FROM kb_entities"""
+
+TABLES["kb_incoming"] = f"SELECT *, lower(name) AS name_key, {BLOCK_SQL} AS name_block FROM kb_new"
+
+TABLES["kb_close"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, entity_id ORDER BY round(sim, 9) DESC, canonical_id) AS rank
+FROM (SELECT n.tenant_id, n.entity_id, e.entity_id AS canonical_id, list_dot_product(n.embedding, e.embedding) /
+        (sqrt(list_dot_product(n.embedding, n.embedding)) * sqrt(list_dot_product(e.embedding, e.embedding)) + 1e-9) AS sim
+      FROM kb_incoming n JOIN kb_known e ON e.tenant_id = n.tenant_id AND e.name_block = n.name_block
+      WHERE n.embedding IS NOT NULL AND e.embedding IS NOT NULL) WHERE sim > 0.85) WHERE rank <= 2"""
+
+TABLES["kb_question_vectors"] = """
+SELECT q.*, CAST(e.embedding AS DOUBLE[]) AS vector FROM kb_questions q JOIN embeddings e ON e.vec_id = q.item_id"""
+
+TABLES["kb_span_vectors"] = """
+SELECT s.tenant_id, s.span_id, s.document_id, CAST(e.embedding AS DOUBLE[]) AS embedding
+FROM kb_spans s JOIN embeddings e ON e.vec_id = s.doc_id WHERE s.span_no = 1"""
+
+TABLES["kb_vector_stream"] = """
+SELECT tenant_id, qid, span_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY round(score, 9) DESC, span_id) AS rank
+  FROM (SELECT q.tenant_id, q.qid, s.span_id, list_cosine_similarity(q.vector, s.embedding) AS score
+        FROM kb_question_vectors q JOIN kb_span_vectors s USING (tenant_id))) WHERE rank <= 50"""
+
+TABLES["kb_postings"] = """
+SELECT tenant_id, span_id, term, doc_len, count(*) AS tf
+FROM (SELECT tenant_id, span_id, len(t) AS doc_len, unnest(t) AS term
+      FROM (SELECT tenant_id, span_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS t FROM kb_spans))
+GROUP BY 1, 2, 3, 4"""
+
+TABLES["kb_question_terms"] = """
+SELECT DISTINCT tenant_id, qid, n, unnest(t) AS term FROM (
+  SELECT tenant_id, qid, t, len(list_distinct(t)) AS n
+  FROM (SELECT tenant_id, qid, regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+') AS t FROM kb_questions))"""
+
+TABLES["kb_text_stream"] = """
+SELECT tenant_id, qid, span_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY round(score, 9) DESC, span_id) AS rank FROM (
+    SELECT q.tenant_id, q.qid, p.span_id, sum(ln(1 + (c.n_spans - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2
+             / (p.tf + 1.2 * (0.25 + 0.75 * p.doc_len / c.avg_len))) AS score
+    FROM kb_question_terms q JOIN kb_postings p USING (tenant_id, term)
+    JOIN (SELECT tenant_id, term, count(*) AS df FROM kb_postings GROUP BY 1, 2) d USING (tenant_id, term)
+    JOIN (SELECT tenant_id, count(*) AS n_spans, avg(len(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'))) AS avg_len
+          FROM kb_spans GROUP BY 1) c USING (tenant_id)
+    GROUP BY q.tenant_id, q.qid, q.n, p.span_id HAVING count(*) = q.n)) WHERE rank <= 50"""
+
+_TRI = """list_distinct(flatten(list_transform(list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')),
+  lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
+
+TABLES["kb_trigram_stream"] = f"""
+WITH s AS (SELECT tenant_id, span_id, len(g) AS sn, unnest(g) AS g FROM (SELECT tenant_id, span_id, {_TRI.format(c='content')} AS g FROM kb_spans)),
+q AS (SELECT tenant_id, qid, len(g) AS qn, unnest(g) AS g FROM (SELECT tenant_id, qid, {_TRI.format(c='question')} AS g FROM kb_questions)),
+m AS (SELECT tenant_id, qid, span_id, count(*) / (any_value(sn) + any_value(qn) - count(*)) AS score
+      FROM q JOIN s USING (tenant_id, g) GROUP BY 1, 2, 3)
+SELECT tenant_id, qid, span_id, score, rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY tenant_id, qid ORDER BY round(score, 9) DESC, span_id) AS rank FROM m WHERE score >= 0.3) WHERE rank <= 50"""
+
+TABLES["kb_linked"] = """
+SELECT tenant_id, qid, entity_id, sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY round(sim, 9) DESC, entity_id) AS rank
+  FROM (SELECT q.tenant_id, q.qid, e.entity_id, list_cosine_similarity(q.vector, CAST(e.embedding AS DOUBLE[])) AS sim
+        FROM kb_question_vectors q JOIN kb_entities e ON e.tenant_id = q.tenant_id AND e.embedding IS NOT NULL)) WHERE rank <= 5
+UNION
+SELECT q.tenant_id, q.qid, e.entity_id, 1.0 FROM kb_questions q JOIN kb_entities e
+  ON e.tenant_id = q.tenant_id AND contains(lower(e.name), lower(q.question))"""
+
+TABLES["kb_graph_stream"] = """
+SELECT tenant_id, qid, span_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY round(score, 9) DESC, span_id) AS rank
+  FROM (SELECT l.tenant_id, l.qid, x.span_id, max(e.confidence) AS score
+        FROM kb_linked l JOIN kb_edges e ON e.tenant_id = l.tenant_id AND l.entity_id IN (e.source_entity, e.target_entity)
+        JOIN kb_edge_spans x ON x.relation_id = e.relation_id
+        WHERE x.span_id IN (SELECT span_id FROM kb_spans) GROUP BY 1, 2, 3)) WHERE rank <= 50"""
+
+TABLES["kb_fused"] = """
+SELECT tenant_id, qid, span_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY round(score, 9) DESC, span_id) AS rank
+  FROM (SELECT tenant_id, qid, span_id, sum(1.0 / (60 + rank)) AS score FROM (
+          SELECT tenant_id, qid, span_id, rank FROM kb_vector_stream UNION ALL
+          SELECT tenant_id, qid, span_id, rank FROM kb_text_stream UNION ALL
+          SELECT tenant_id, qid, span_id, rank FROM kb_trigram_stream UNION ALL
+          SELECT tenant_id, qid, span_id, rank FROM kb_graph_stream)
+        GROUP BY 1, 2, 3)) WHERE rank <= 50"""
+
+TABLES["kb_reranked"] = """
+SELECT tenant_id, qid, span_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY round(score, 9) DESC, fused_rank) AS rank
+  FROM (SELECT f.tenant_id, f.qid, f.span_id, f.rank AS fused_rank,
+               coalesce(CASE WHEN s.span_no <= 5 THEN (length(s.content) % 10) / 10.0 END,
+                        1.0 / count(*) OVER (PARTITION BY f.tenant_id, f.qid)) AS score
+        FROM kb_fused f JOIN kb_spans s USING (tenant_id, span_id))) WHERE rank <= 16"""
+
+TABLES["kb_results"] = """
+SELECT tenant_id, qid, span_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, qid ORDER BY round(score, 9) DESC, before) AS rank
+  FROM (SELECT r.tenant_id, r.qid, r.span_id, r.rank AS before,
+               r.score * CASE c.tier WHEN 'core' THEN 1.0 WHEN 'supporting' THEN 0.7 WHEN 'peripheral' THEN 0.3 ELSE 0.7 END AS score
+        FROM kb_reranked r JOIN kb_spans s USING (tenant_id, span_id) JOIN kb_chunks c USING (tenant_id, chunk_id))) WHERE rank <= 8"""

@@ -100,7 +100,7 @@ class Kb:
         t, p, c = F.col("t"), F.col("p_partkey"), F.col("c_custkey")
         s, n = F.col("s_suppkey"), F.col("n_nationkey")
         parts = shape(self.raw("part"), p, tx.cat("part_", p), "p_name", "product", p,
-                      F.array(F.concat_ws(" ", "p_brand", "p_name")))
+                      F.array(F.concat_ws(" ", "p_name", "p_brand")))
         suppliers = shape(self.raw("supplier").join(F.broadcast(four)), t,
                           tx.cat("supp_", t, F.lit("_"), s), "s_name", "org", s * 4 + t)
         nations = shape(self.raw("nation").join(F.broadcast(four)), t,
@@ -268,3 +268,42 @@ class Kb:
     @cached_property
     def degrees(self) -> DataFrame:
         return graph.degrees(self.entities, self.edges)
+
+    @cached_property
+    def new_entities(self) -> DataFrame:
+        k, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+        blurred = F.zip_with("v", F.reverse("v"), lambda x, y: x + 0.4 * y)
+        vectors = self.raw("embeddings").select(
+            F.col("vec_id").alias("p_partkey"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        return self.raw("part").join(vectors, "p_partkey", "left").select(
+            _tenant(k).alias("tenant_id"), tx.cat("new_", k).alias("entity_id"), "p_size",
+            F.lit("product").alias("type"),
+            F.when(size <= 12, F.upper(name)).when(size <= 25, F.concat_ws(" ", name, "p_brand"))
+             .when(size <= 38, F.concat(name, F.lit("s")))
+             .otherwise(F.concat(name, F.lit(" of "), "p_type")).alias("name"),
+            blurred.alias("embedding"))
+
+    @cached_property
+    def merge_verdicts(self) -> DataFrame:
+        k = F.col("p_partkey")
+        return self.raw("part").select(
+            _tenant(k).alias("tenant_id"), tx.cat("new_", k).alias("entity_id"),
+            tx.cat("part_", k).alias("canonical_id"), (F.col("p_size") % 2 == 1).alias("merge"))
+
+    @cached_property
+    def question_vectors(self) -> DataFrame:
+        v = self.raw("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+        return self.questions.join(v, "item_id")
+
+    @cached_property
+    def spans_with_vectors(self) -> DataFrame:
+        v = self.raw("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding",
+                                          F.lit(1).cast("long").alias("span_no"))
+        return self.spans.join(v, ["doc_id", "span_no"], "left")
+
+    @cached_property
+    def model_scores(self) -> DataFrame:
+        """Outside scores of (question, span) pairs: by text length, for the head of each document."""
+        head = self.spans.filter("span_no <= 5").select(
+            "tenant_id", "span_id", ((F.length("content") % 10) / 10.0).alias("model_score"))
+        return head
