@@ -80,14 +80,15 @@ def entities_of(answers: DataFrame, spans: DataFrame) -> DataFrame:
 
 def rule_matches(texts: DataFrame, patterns: list | None = None, column: str = "content") -> DataFrame:
     """(subject, predicate, object) of every match of every pattern, and the entity types it implies."""
-    hits = F.flatten(F.array(*[F.transform(
-        F.arrays_zip(F.regexp_extract_all(column, F.lit("(?U)" + p), F.lit(1)).alias("s"),
-                     F.regexp_extract_all(column, F.lit("(?U)" + p), F.lit(2)).alias("o")),
-        lambda z, pred=pred, suffix=suffix, st=st, ot=ot: F.struct(
-            z["s"].alias("subject"), F.lit(pred).alias("predicate"),
-            F.concat(z["o"], F.lit(suffix)).alias("object"), F.lit(st).alias("subject_type"),
-            F.lit(ot).cast("string").alias("object_type")))
-        for p, pred, suffix, st, ot in (patterns or RULE_PATTERNS)]))
+    def found(pattern, predicate, suffix, subject_type, object_type):
+        both = F.arrays_zip(F.regexp_extract_all(column, F.lit("(?U)" + pattern), F.lit(1)).alias("s"),
+                            F.regexp_extract_all(column, F.lit("(?U)" + pattern), F.lit(2)).alias("o"))
+        return F.transform(both, lambda z: F.struct(
+            z["s"].alias("subject"), F.lit(predicate).alias("predicate"),
+            F.concat(z["o"], F.lit(suffix)).alias("object"), F.lit(subject_type).alias("subject_type"),
+            F.lit(object_type).cast("string").alias("object_type")))
+
+    hits = F.flatten(F.array(*[found(*rule) for rule in patterns or RULE_PATTERNS]))
     keep = [c for c in texts.columns if c != column]
     return texts.select(*keep, F.posexplode(hits).alias("n", "h")).select(*keep, "n", "h.*")
 

@@ -23,7 +23,7 @@ def _cell(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return float(f"{v:.9g}")
+        return ("f", float(f"{v:.9g}"))  # a float is not the integer of equal value
     if hasattr(v, "item"):
         return _cell(v.item())
     if isinstance(v, (list, tuple)):
