@@ -99,6 +99,12 @@ def paragraphs(c) -> Column:
     return F.filter(F.split(col(c), BLANK_LINES, -1), lambda p: ~is_blank(p))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to a value that is computed once, also when ``body`` uses it inside
+    further lambdas; a plain column there would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sections(c) -> Column:
     """array<struct<path, body, ord>>: heading path, text below it, and the number of
     earlier sections with the same path.
@@ -106,13 +112,7 @@ def sections(c) -> Column:
     Only headings go through the fold that keeps the title stack; bodies are slices of
     the line array, so the work is linear in the number of lines.
     """
-    lines = F.split(col(c), LINE_BREAK, -1)
     heading = r"(?U)^(#{1,6})\s+(.*)"
-    marks = F.filter(
-        F.transform(lines, lambda x, i: F.struct(
-            i.alias("at"), F.length(F.regexp_extract(x, heading, 1)).alias("level"),
-            strip(F.regexp_extract(x, heading, 2)).alias("title"))),
-        lambda m: m["level"] > 0)
     start = F.struct(F.array().cast("array<string>").alias("stack"),
                      F.array().cast("array<struct<at:int,path:string>>").alias("out"))
 
@@ -121,19 +121,30 @@ def sections(c) -> Column:
         return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(
             F.struct(m["at"].alias("at"), F.array_join(stack, " > ").alias("path")))).alias("out"))
 
-    paths = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("path"))),
-                     F.aggregate(marks, start, push, lambda a: a["out"]))
+    def heading_paths(lines):
+        marks = F.filter(
+            F.transform(lines, lambda x, i: F.struct(
+                i.alias("at"), F.length(F.regexp_extract(x, heading, 1)).alias("level"),
+                strip(F.regexp_extract(x, heading, 2)).alias("title"))),
+            lambda m: m["level"] > 0)
+        return F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("path"))),
+                        F.aggregate(marks, start, push, lambda a: a["out"]))
 
-    def cut(h, i):
-        begin = h["at"] + 2
-        end = F.coalesce(F.get(paths, i + 1)["at"], F.size(lines))
-        body = F.array_join(F.slice(lines, begin, F.greatest(end - begin + 1, F.lit(0))), "\n")
-        return F.struct(h["path"].alias("path"), strip(body).alias("body"))
+    def bodies(lines, paths):
+        def cut(h, i):
+            begin = h["at"] + 2
+            end = F.coalesce(F.get(paths, i + 1)["at"], F.size(lines))
+            body = F.array_join(F.slice(lines, begin, F.greatest(end - begin + 1, F.lit(0))), "\n")
+            return F.struct(h["path"].alias("path"), strip(body).alias("body"))
+        return F.filter(F.transform(paths, cut), lambda s: s["body"] != "")
 
-    kept = F.filter(F.transform(paths, cut), lambda s: s["body"] != "")
-    return F.transform(kept, lambda s, i: F.struct(
-        s["path"].alias("path"), s["body"].alias("body"),
-        F.size(F.filter(F.slice(kept, F.lit(1), i), lambda o: o["path"] == s["path"])).alias("ord")))
+    def number(kept):
+        return F.transform(kept, lambda s, i: F.struct(
+            s["path"].alias("path"), s["body"].alias("body"),
+            F.size(F.filter(F.slice(kept, F.lit(1), i), lambda o: o["path"] == s["path"])).alias("ord")))
+
+    return let(F.split(col(c), LINE_BREAK, -1), lambda lines: let(
+        heading_paths(lines), lambda paths: let(bodies(lines, paths), number)))
 
 
 def pack(pieces, target: int, hard_max: int | None, sep: str) -> Column:
@@ -142,7 +153,6 @@ def pack(pieces, target: int, hard_max: int | None, sep: str) -> Column:
     The fold carries the running size and the first index of each pack; a size of -1 means
     the pack was closed because it reached ``hard_max``.
     """
-    sizes = F.transform(pieces, est_tokens)
     zero = F.struct(F.lit(-1).alias("tok"), F.lit(0).alias("i"),
                     F.array().cast("array<int>").alias("starts"))
 
@@ -154,9 +164,12 @@ def pack(pieces, target: int, hard_max: int | None, sep: str) -> Column:
         starts = F.when(fresh, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"])
         return F.struct(tok.alias("tok"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
 
-    starts = F.aggregate(sizes, zero, step, lambda a: a["starts"])
-    return F.transform(starts, lambda s, k: F.array_join(
-        F.slice(pieces, s + 1, F.coalesce(F.get(starts, k + 1), F.size(pieces)) - s), sep))
+    def joined(parts):
+        starts = F.aggregate(F.transform(parts, est_tokens), zero, step, lambda a: a["starts"])
+        return let(starts, lambda at: F.transform(at, lambda s, k: F.array_join(
+            F.slice(parts, s + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - s), sep)))
+
+    return let(pieces, joined)
 
 
 def chunk_texts(body, target: int = CHUNK_TARGET, hard_max: int = CHUNK_MAX) -> Column:
@@ -164,11 +177,12 @@ def chunk_texts(body, target: int = CHUNK_TARGET, hard_max: int = CHUNK_MAX) ->
 
 
 def _table_rows(block) -> Column:
-    rows = F.filter(F.split(block, LINE_BREAK, -1), lambda r: ~is_blank(r))
-    data = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
-                    lambda r: ~strip(F.replace(r, F.lit("|"), F.lit(""))).rlike("^[-: ]*$"))
-    return F.transform(data, lambda r: F.struct(
-        F.concat_ws("\n", F.get(rows, F.lit(0)), r).alias("content"), F.lit("table_row").alias("span_type")))
+    def under_header(rows):
+        data = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
+                        lambda r: ~strip(F.replace(r, F.lit("|"), F.lit(""))).rlike("^[-: ]*$"))
+        return let(F.get(rows, F.lit(0)), lambda head: F.transform(data, lambda r: F.struct(
+            F.concat_ws("\n", head, r).alias("content"), F.lit("table_row").alias("span_type"))))
+    return let(F.filter(F.split(block, LINE_BREAK, -1), lambda r: ~is_blank(r)), under_header)
 
 
 def span_texts(chunk, target: int = SPAN_TARGET) -> Column:

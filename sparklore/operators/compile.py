@@ -36,16 +36,20 @@ def compile_chunks(docs: DataFrame, column: str = "content", target: int = tx.CH
     their own row larger.
     """
     keep = [c for c in docs.columns if c != column]
-    secs = docs.withColumn("secs", tx.sections(column))
-    texts = F.transform("secs", lambda s: tx.chunk_texts(s["body"], target, hard_max))
-    flat = secs.withColumn("packed", F.flatten(F.transform(F.arrays_zip(
-        F.col("secs").alias("s"), texts.alias("t")), lambda z: F.transform(z["t"], lambda t, i: F.struct(
-            z["s"]["path"].alias("section_path"), z["s"]["ord"].alias("sec_ord"),
-            i.alias("chunk_ord"), t.alias("content"))))))
-    placed = flat.withColumn("offs", tx.locate_parts(
-        column, F.transform("packed", lambda p: p["content"]), fallback_to_cursor=True))
-    rows = placed.select(*keep, F.posexplode("packed").alias("chunk_no", "p"), "offs").select(
-        *keep, "chunk_no", "p.*", F.get("offs", F.col("chunk_no")).alias("start_offset"))
+
+    def chunks_of(secs):
+        return F.flatten(F.transform(secs, lambda s: F.transform(
+            tx.chunk_texts(s["body"], target, hard_max), lambda t, i: F.struct(
+                s["path"].alias("section_path"), s["ord"].alias("sec_ord"), i.alias("chunk_ord"), t.alias("content")))))
+
+    def placed(packed):
+        offs = tx.locate_parts(column, F.transform(packed, lambda p: p["content"]), fallback_to_cursor=True)
+        return F.zip_with(packed, offs, lambda p, o: F.struct(
+            p["section_path"].alias("section_path"), p["sec_ord"].alias("sec_ord"), p["chunk_ord"].alias("chunk_ord"),
+            p["content"].alias("content"), o.alias("start_offset")))
+
+    every = tx.let(tx.sections(column), lambda secs: tx.let(chunks_of(secs), placed))
+    rows = docs.select(*keep, F.posexplode(every).alias("chunk_no", "p")).select(*keep, "chunk_no", "p.*")
     return rows.withColumns({
         "chunk_id": tx.stable_id("ch", "document_id", "section_path", "sec_ord", "chunk_ord"),
         "content_hash": tx.content_hash("content", F.lit(prompt_version)),
@@ -55,14 +59,17 @@ def compile_chunks(docs: DataFrame, column: str = "content", target: int = tx.CH
 
 def compile_spans(chunks: DataFrame, target: int = tx.SPAN_TARGET) -> DataFrame:
     """Spans of every chunk with ids and the offset in the document."""
-    packed = chunks.withColumn("sp", tx.span_texts("content", target))
-    offs = tx.locate_parts("content", F.transform("sp", lambda s: s["content"]), fallback_to_cursor=False)
-    rows = packed.select("tenant_id", "document_id", "chunk_id", "start_offset", offs.alias("offs"),
-                         F.posexplode("sp").alias("span_no", "s"))
+    # Offsets join their span before the explode: a column next to the explode would be
+    # computed again for every span of the chunk.
+    placed = tx.let(tx.span_texts("content", target), lambda sp: F.zip_with(
+        sp, tx.locate_parts("content", F.transform(sp, lambda s: s["content"]), fallback_to_cursor=False),
+        lambda s, o: F.struct(s["content"].alias("content"), s["span_type"].alias("span_type"), o.alias("rel"))))
+    rows = chunks.select("tenant_id", "document_id", "chunk_id", "start_offset",
+                         F.posexplode(placed).alias("span_no", "s"))
     return rows.select(
         "tenant_id", "document_id", "chunk_id", "span_no",
         tx.stable_id("sp", "chunk_id", "span_no", tx.content_hash("s.content")).alias("span_id"),
-        "s.content", "s.span_type", (F.col("start_offset") + F.get("offs", F.col("span_no"))).alias("offset"))
+        "s.content", "s.span_type", (F.col("start_offset") + F.col("s.rel")).alias("offset"))
 
 
 def assign_pages(points: DataFrame, page_map: DataFrame, offset: str = "offset") -> DataFrame:

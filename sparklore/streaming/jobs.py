@@ -137,8 +137,19 @@ def session_memory(turns: DataFrame, keep: int = mem.MAX_TURNS) -> DataFrame:
 
 
 def session_memory_stream(turns: DataFrame, out: str, keep: int = mem.MAX_TURNS) -> None:
-    run_available(session_memory(turns, keep), lambda b, i: write_batch(b, f"{out}/turns", i),
-                  f"{out}/_checkpoint", "update")
+    """Session memory of everything there is.
+
+    State with a time to live asks for batches without data for as long as the query runs, so
+    a run to the end of the input must do without them; expired turns leave with the next batch.
+    """
+    conf, name = turns.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")
+    try:
+        run_available(session_memory(turns, keep), lambda b, i: write_batch(b, f"{out}/turns", i),
+                      f"{out}/_checkpoint", "update")
+    finally:
+        conf.set(name, before)
 
 
 def newest_batch(df: DataFrame, keys: list[str]) -> DataFrame:

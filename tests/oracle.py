@@ -1,4 +1,4 @@
-"""Compare registered queries with their oracle SQL: ``python tools_check.py [sf_dir] [name part ...]``."""
+"""Compare registered queries with their oracle SQL: ``python -m tests.oracle [sf_dir] [name part ...]``."""
 
 from __future__ import annotations
 
