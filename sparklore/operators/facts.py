@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklore.functions import lifecycle as lc
@@ -134,26 +134,20 @@ def decay(facts: DataFrame, now: float) -> DataFrame:
                                                     contradicted, F.col("stale"))))
 
 
-def _strength(now: float) -> Column:
-    return F.struct(F.col("source_count"), F.col("last_confirmed"),
-                    lc.retention(F.col("last_confirmed"), F.col("predicate"), now).alias("kept"))
-
-
 def resolve_groups(facts: DataFrame, now: float) -> DataFrame:
     """Supersede patches: in each (subject, predicate) group all but the strongest fact.
 
     Strength is (source_count, last_confirmed, retention), ties go to the smallest id. The
-    winner is an aggregate with partial maxima, not a sort of the group in one task; groups
-    of one fact give no patch.
+    winner is one aggregate with partial minima (negated strength, then the id), not a sort
+    of the group in one task; groups of one fact give no patch.
     """
     keyed = with_keys(facts)
-    # max_by keeps the smallest id among equals by ordering on the strength, then the
-    # descending position of the id: two aggregates, both combined before the shuffle.
-    top = keyed.groupBy(*GROUP).agg(F.max(_strength(now)).alias("top"), F.count(F.lit(1)).alias("n")) \
-        .filter("n > 1")
-    ranked = keyed.withColumn("strength", _strength(now)).join(top, GROUP)
-    winners = (ranked.filter("strength = top").groupBy(*GROUP).agg(F.min("fact_id").alias("winner")))
-    return (keyed.join(winners, GROUP).filter("fact_id <> winner")
+    kept = lc.retention(F.col("last_confirmed"), F.col("predicate"), now)
+    order = F.struct((-F.col("source_count")).alias("a"), (-F.col("last_confirmed")).alias("b"),
+                     (-kept).alias("c"), F.col("fact_id").alias("id"))
+    winners = (keyed.groupBy(*GROUP).agg(F.min(order).alias("w"), F.count(F.lit(1)).alias("n"))
+               .filter("n > 1").select(*GROUP, F.col("w.id").alias("winner")))
+    return (keyed.select(*GROUP, "fact_id").join(winners, GROUP).filter("fact_id <> winner")
             .select("tenant_id", "fact_id", F.col("winner").alias("superseded_by")))
 
 

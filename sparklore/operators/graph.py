@@ -81,9 +81,12 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int = 1,
     """Undirected expansion from seed rows (tenant_id, entity_id [, query key columns]).
 
     Returns (nodes with their hop, distinct edges). Any extra key columns of ``seeds``
-    travel along, so one job expands the seeds of a whole table of questions.
+    travel along, so one job expands the seeds of a whole table of questions. With
+    ``checkpoint`` the edges and each frontier are written once instead of derived again per hop.
     """
     keys = seeds.columns
+    if checkpoint and hops > 1:
+        edges = cut_lineage(edges)  # read twice per hop
     visited = seeds.distinct().withColumn("hop", F.lit(0))
     frontier, found = seeds.distinct(), []
     for hop in range(1, max(1, hops) + 1):

@@ -28,6 +28,16 @@ def ranked(rows: DataFrame, score: Column, k: int, keys=("tenant_id", "qid")) ->
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def sized_broadcast(questions: DataFrame, items: str, max_rows: int = 500_000):
+    """A broadcast hint for tables made from the question table, if its items are few.
+
+    The items (terms or trigrams) are counted first, on the question side only. With more of
+    them no hint is given and Spark shuffles.
+    """
+    n = questions.agg(F.sum(F.size(items).cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast if n <= max_rows else (lambda df: df)
+
+
 def in_scope(spans: DataFrame, documents: DataFrame | None = None, span_types: list[str] | None = None) -> DataFrame:
     """Spans of the given documents and types; both filters sit below every ranking."""
     out = spans
@@ -68,10 +78,11 @@ def text_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES) ->
     """
     q = questions.select("tenant_id", "qid", F.array_distinct(tx.simple_tokens("question")).alias("terms")).filter(
         F.size("terms") > 0)
+    small = sized_broadcast(q, "terms")
     tokens = spans.select("tenant_id", "span_id", tx.simple_tokens("content").alias("tokens"))
     wanted = q.select("tenant_id", F.explode("terms").alias("term")).distinct()
     heads = tokens.select("tenant_id", "span_id", F.explode(F.array_distinct("tokens")).alias("term")).join(
-        wanted, ["tenant_id", "term"], "left_semi")
+        small(wanted), ["tenant_id", "term"], "left_semi")
     df = heads.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
     corpus = tokens.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_spans"), F.avg(F.size("tokens")).alias("avg_len"))
     known = (q.select("tenant_id", "qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
@@ -80,8 +91,8 @@ def text_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES) ->
                  F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms"))
              .filter("n = size(terms)").join(corpus, "tenant_id"))
     lead = known.select("tenant_id", "qid", F.get("terms", F.lit(0))["term"].alias("term"))
-    cand = heads.join(lead, ["tenant_id", "term"]).select("tenant_id", "qid", "span_id")
-    rows = cand.join(tokens, ["tenant_id", "span_id"]).join(known, ["tenant_id", "qid"])
+    cand = heads.join(small(lead), ["tenant_id", "term"]).select("tenant_id", "qid", "span_id")
+    rows = cand.join(tokens, ["tenant_id", "span_id"]).join(small(known), ["tenant_id", "qid"])
     rows = rows.filter(F.forall("terms", lambda t: F.array_contains(F.col("tokens"), t["term"])))
     length = F.lit(BM25_K1) * (1 - BM25_B + BM25_B * F.size("tokens") / F.col("avg_len"))
 
@@ -98,26 +109,33 @@ def trigram_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES,
                    min_similarity: float = TRIGRAM_MIN) -> DataFrame:
     """Jaccard similarity of trigram sets, at least ``min_similarity``.
 
-    A match shares at least ceil(t * |Q|) trigrams with the question, so it shares one of
-    any |Q| - ceil(t * |Q|) + 1 of them; the rarest are taken. Only they are joined with the
-    spans, then the sets of the candidates decide.
+    A match of sets with n and s trigrams shares at least a = ceil(t / (1 + t) * (n + s)) of
+    them, so among any n - a + m trigrams of the question it shares at least m. The rarest
+    are taken and only their occurrences are joined and counted; the full sets decide for the
+    pairs that reach m. Common trigrams are hardly ever joined.
     """
     q = questions.select("tenant_id", "qid", tx.trigrams("question").alias("qg")).filter(F.size("qg") > 0)
+    small = sized_broadcast(q, "qg")
     s = spans.select("tenant_id", "span_id", tx.trigrams("content").alias("sg"))
     asked = q.select("tenant_id", F.explode("qg").alias("g")).distinct()
     by_gram = s.select("tenant_id", "span_id", F.size("sg").alias("sn"), F.explode("sg").alias("g")).join(
-        asked, ["tenant_id", "g"], "left_semi")
+        small(asked), ["tenant_id", "g"], "left_semi")
     freq = by_gram.groupBy("tenant_id", "g").agg(F.count(F.lit(1)).alias("c"))
     ordered = (q.select("tenant_id", "qid", F.size("qg").alias("qn"), F.explode("qg").alias("g"))
                .join(freq, ["tenant_id", "g"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
                .groupBy("tenant_id", "qid", "qn").agg(  # bounded by the length of one question
                    F.array_sort(F.collect_list(F.struct("c", "g"))).alias("gs")))
-    keep = F.col("qn") - F.ceil(F.col("qn") * min_similarity - 1e-9) + 1
-    prefix = ordered.select("tenant_id", "qid", "qn", F.explode(F.slice("gs", F.lit(1), keep.cast("int"))).alias("p")) \
-        .select("tenant_id", "qid", "qn", F.col("p.g").alias("g"))
-    fits = (F.col("sn") >= F.col("qn") * min_similarity - 1e-9) & (F.col("qn") >= F.col("sn") * min_similarity - 1e-9)
-    cand = by_gram.join(prefix, ["tenant_id", "g"]).filter(fits).select("tenant_id", "qid", "span_id").distinct()
-    both = cand.join(s, ["tenant_id", "span_id"]).join(q, ["tenant_id", "qid"])
+    places = ordered.select("tenant_id", "qid", "qn", F.posexplode("gs").alias("pos", "p")).select(
+        "tenant_id", "qid", "qn", "pos", F.col("p.g").alias("g"))
+    t = min_similarity
+    least = F.ceil((F.col("qn") + F.col("sn")) * (t / (1 + t)) - 1e-9)
+    need = F.greatest(F.lit(1), F.floor(least / 5))
+    fits = (F.col("sn") >= F.col("qn") * t - 1e-9) & (F.col("qn") >= F.col("sn") * t - 1e-9)
+    cand = (by_gram.join(small(places), ["tenant_id", "g"])
+            .filter(fits & (F.col("pos") < F.col("qn") - least + need))
+            .groupBy("tenant_id", "qid", "span_id", "qn", "sn").agg(F.count(F.lit(1)).alias("hits"))
+            .filter(F.col("hits") >= need).select("tenant_id", "qid", "span_id"))
+    both = cand.join(s, ["tenant_id", "span_id"]).join(small(q), ["tenant_id", "qid"])
     shared = F.size(F.array_intersect("sg", "qg"))
     scored = both.select("tenant_id", "qid", "span_id",
                          (shared / (F.size("sg") + F.size("qg") - shared)).alias("score"))

@@ -109,9 +109,9 @@ def _(kb):
 
 
 @query("str06_session_ends", """
-SELECT tenant_id, unit_id, count(*) AS n_events, min(at) AS session_start FROM (
+SELECT tenant_id, unit_id, count(*) AS n_events, min(stamp) AS session_start FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY unit_id ORDER BY ts) AS sess_no FROM (
-    SELECT 't' || (user_id % 4) AS tenant_id, 'u' || user_id AS unit_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at,
+    SELECT 't' || (user_id % 4) AS tenant_id, 'u' || user_id AS unit_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp,
            CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events))
 GROUP BY tenant_id, unit_id, sess_no""")
 def _(kb):
