@@ -8,10 +8,11 @@ from sparklore.plans.fixtures import NOW
 from sparklore.plans.registry import query
 
 R = F.round
+NOW_SQL = f"{NOW:.1f}::DOUBLE"
 TAU = ("CASE WHEN regexp_matches(lower(predicate), 'is_a|defined_as|architecture|depends_on|part_of|owns|develops') "
        "THEN 365.0 ELSE 30.0 END")
 KEPT = (f"CASE WHEN last_confirmed <= 0 THEN 1.0 ELSE "
-        f"exp(-greatest(0.0, ({NOW} - last_confirmed) / 86400.0) / ({TAU})) END")
+        f"exp(-greatest(0.0, ({NOW_SQL} - last_confirmed) / 86400.0) / ({TAU})) END")
 KEYED = "SELECT *, lower(subject_entity) AS sk, lower(predicate) AS pk, lower(trim(object_value)) AS ok FROM kb_facts"
 
 
@@ -77,7 +78,7 @@ def base_and_arrivals(kb):
 
 
 ARRIVALS = """
-base AS (SELECT *, 0.5 AS retention FROM kb_facts WHERE last_confirmed < 883612800),
+base AS (SELECT *, 0.5::DOUBLE AS retention FROM kb_facts WHERE last_confirmed < 883612800),
 arr AS (SELECT *, predicate || '|' || fact_id AS seq FROM kb_facts WHERE NOT stale
         UNION ALL SELECT * REPLACE ('X' AS object_value), 'z' || predicate || '|' || fact_id FROM kb_facts WHERE source_count > 3)"""
 
@@ -88,8 +89,8 @@ n AS (SELECT tenant_id, fact_id, count(*) AS n_new, arg_min(source_count, seq) A
              arg_max(object_value, seq) AS obj, arg_max(provenance, seq) AS prov FROM arr GROUP BY 1, 2)
 SELECT tenant_id, fact_id, coalesce(n.obj, b.object_value) AS object_value, coalesce(n.prov, b.provenance) AS provenance,
        CASE WHEN b.source_count IS NOT NULL THEN b.source_count + coalesce(n_new, 0) ELSE first_count + n_new - 1 END AS source_count,
-       CASE WHEN n_new IS NOT NULL THEN {NOW} ELSE b.last_confirmed END AS last_confirmed,
-       CASE WHEN n_new IS NOT NULL THEN 1.0 ELSE b.retention END AS retention
+       CASE WHEN n_new IS NOT NULL THEN {NOW_SQL} ELSE b.last_confirmed END AS last_confirmed,
+       CASE WHEN n_new IS NOT NULL THEN 1.0::DOUBLE ELSE b.retention END AS retention
 FROM n FULL JOIN base b USING (tenant_id, fact_id)""")
 def _(kb):
     base, arrivals = base_and_arrivals(kb)
@@ -105,11 +106,11 @@ b AS (SELECT *, lower(subject_entity) AS s, lower(predicate) AS p, lower(object_
              fact_id = min(fact_id) OVER (PARTITION BY tenant_id, lower(subject_entity), lower(predicate), lower(object_value)) AS owner
       FROM base)
 SELECT b.tenant_id, b.fact_id, b.source_count + coalesce(n_new, 0) AS source_count,
-       CASE WHEN n_new IS NOT NULL THEN {NOW} ELSE b.last_confirmed END AS last_confirmed,
-       CASE WHEN n_new IS NOT NULL THEN 1.0 ELSE b.retention END AS retention
+       CASE WHEN n_new IS NOT NULL THEN {NOW_SQL} ELSE b.last_confirmed END AS last_confirmed,
+       CASE WHEN n_new IS NOT NULL THEN 1.0::DOUBLE ELSE b.retention END AS retention
 FROM b LEFT JOIN n ON b.owner AND n.tenant_id = b.tenant_id AND n.s = b.s AND n.p = b.p AND n.o = b.o
 UNION ALL
-SELECT n.tenant_id, n.first_id, n_new, {NOW}, 1.0 FROM n ANTI JOIN b
+SELECT n.tenant_id, n.first_id, n_new, {NOW_SQL}, 1.0::DOUBLE FROM n ANTI JOIN b
   ON n.tenant_id = b.tenant_id AND n.s = b.s AND n.p = b.p AND n.o = b.o""")
 def _(kb):
     base, arrivals = base_and_arrivals(kb)
@@ -193,7 +194,7 @@ WITH a AS (SELECT *, CASE source_count WHEN 7 THEN 'confirm' WHEN 6 THEN 'reject
 SELECT f.tenant_id, f.fact_id, CASE WHEN a.action = 'confirm' THEN 'extracted' ELSE f.provenance END AS provenance,
        CASE WHEN a.action = 'confirm' THEN false WHEN a.action IS NOT NULL THEN true ELSE f.stale END AS stale,
        CASE WHEN a.action = 'supersede' THEN 'new_' || f.fact_id END AS superseded_by,
-       CASE WHEN a.action IS NOT NULL THEN {NOW} ELSE f.last_confirmed END AS last_confirmed
+       CASE WHEN a.action IS NOT NULL THEN {NOW_SQL} ELSE f.last_confirmed END AS last_confirmed
 FROM kb_facts f LEFT JOIN a USING (tenant_id, fact_id)""")
 def _(kb):
     return fct.apply_review(kb.facts, actions(kb), NOW)[0].select(
@@ -224,7 +225,7 @@ def _(kb):
 
 
 @query("fct14_supersede_on_compile", f"""
-WITH amb AS (SELECT * REPLACE (CAST(1 AS BIGINT) AS source_count, {NOW} AS last_confirmed)
+WITH amb AS (SELECT * REPLACE (CAST(1 AS BIGINT) AS source_count, {NOW_SQL} AS last_confirmed)
              FROM kb_facts WHERE provenance = 'ambiguous')
 {patch_sql('amb')}""")
 def _(kb):

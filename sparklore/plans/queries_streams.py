@@ -98,7 +98,7 @@ def _(kb):
 @query("str05_reinforce_stream", f"""
 WITH g AS (SELECT tenant_id, lower(subject_entity) AS s, lower(predicate) AS p, lower(object_value) AS o, count(*) AS n,
                   min(fact_id) AS fact_id FROM kb_facts GROUP BY 1, 2, 3, 4),
-m AS (SELECT tenant_id, fact_id, s AS subject_entity, p AS predicate, n AS source_count, {NOW} AS last_confirmed FROM g),
+m AS (SELECT tenant_id, fact_id, s AS subject_entity, p AS predicate, n AS source_count, {NOW:.1f}::DOUBLE AS last_confirmed FROM g),
 w AS ({patch_sql('m')})
 SELECT m.tenant_id, m.fact_id, m.source_count, w.superseded_by IS NOT NULL AS stale, w.superseded_by
 FROM m LEFT JOIN w USING (tenant_id, fact_id)""")

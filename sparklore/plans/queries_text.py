@@ -134,7 +134,7 @@ def _(kb):
 
 @query("src13_parse_vector", """
 SELECT vec_id, CASE WHEN label = 0 THEN NULL ELSE len(embedding) END AS dims,
-       CASE WHEN label = 0 THEN 0.0 ELSE 1.0 END AS sim FROM embeddings""")
+       CAST(CASE WHEN label = 0 THEN 0 ELSE 1 END AS DOUBLE) AS sim FROM embeddings""")
 def _(kb):
     raw = kb.raw("embeddings").withColumn("txt", F.concat(
         F.lit("["), F.array_join("embedding", ","), F.when(F.col("label") == 0, "").otherwise("]")))
@@ -322,7 +322,7 @@ WITH o AS (SELECT * FROM kb_documents SEMI JOIN labels USING (doc_id)), n AS (SE
 SELECT tenant_id, document_id, coalesce(n.title, 'old ' || o.title) AS title, coalesce(n.source_uri, o.source_uri) AS source_uri,
        coalesce(n.depth, o.depth) AS depth, coalesce(n.page_count, o.page_count) AS page_count,
        CASE WHEN o.doc_id IS NOT NULL THEN 'uploaded' ELSE n.status END AS status,
-       CASE WHEN n.doc_id IS NOT NULL THEN {NOW} ELSE o.created_at END AS updated_at
+       CASE WHEN n.doc_id IS NOT NULL THEN {NOW:.1f}::DOUBLE ELSE o.created_at END AS updated_at
 FROM o FULL JOIN n USING (tenant_id, document_id)""")
 def _(kb):
     return inc.upsert_documents(*old_and_new_documents(kb), NOW)
