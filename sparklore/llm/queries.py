@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklore.llm import bpe
-from sparklore.llm.common import table
+from sparklore.llm import bpe, mixing, quality
+from sparklore.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,21 @@ def op1(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer(), keep=["doc_id"])
 
 
+@query("op2_mix_to_weights")
+def op2(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    measured = stored(quality.measure(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]))
+    cutoffs = stored(quality.fit_cutoffs(measured, table(spark, sf_dir, "labels")))
+    return quality.judge(measured, cutoffs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.concat_ws(",", "broken_rules").alias("broken_rules"))
+
+
 @query("op9_token_counts")
 def op9(spark, sf_dir):
     counted = bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer())
