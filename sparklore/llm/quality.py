@@ -158,7 +158,7 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", d
               .groupBy("stratum", "rule", "over").agg(F.count(F.lit(1)).alias("n"), F.first("grid").alias("grid")))
     tests = grid.count()
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(pdf):
         best, n = None, int(pdf["n"].sum())
         grid = pdf["grid"].iloc[0]
         for i in range(len(grid) - 1, -1, -1):          # from the mildest cutoff on

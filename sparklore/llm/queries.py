@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklore.llm import bpe, mixing, quality
+from sparklore.llm import bpe, licenses, lines, mixing, quality, search
 from sparklore.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,72 @@ def op3(spark, sf_dir):
         F.concat_ws(",", "broken_rules").alias("broken_rules"))
 
 
+@query("op7_exact_top_k", """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""")
+def op7(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", search.weights_of(F.col("embedding")).alias("w"))
+    return search.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+@query("op8_line_dedup", r"""
+WITH plain AS (
+    SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+           regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g') AS x
+    FROM pages),
+broken AS (
+    SELECT page_id, host, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+        '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|nav|article|section|header|footer|title|table|tr|td|th|body|head|html|main|aside|pre|blockquote)\b[^>]*>',
+        chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \t\r]*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x
+    FROM plain),
+lined AS (
+    SELECT *, row_number() OVER () AS row_no, string_split(x, chr(10)) AS ls FROM broken),
+lines AS (
+    SELECT DISTINCT row_no, host, unnest(ls) AS line FROM lined WHERE host IS NOT NULL),
+totals AS (SELECT host, count(*) AS pages FROM lined GROUP BY host),
+bad AS (
+    SELECT l.host, list(l.line) AS bl FROM (
+        SELECT host, line, count(*) AS n FROM lines WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+        GROUP BY ALL) l
+    JOIN totals t USING (host) WHERE t.pages >= 10 AND l.n > t.pages * 0.1 AND l.n > 1 GROUP BY l.host),
+done AS (
+    SELECT page_id, d.host, ls, list_filter(ls, lambda x: bl IS NULL OR NOT list_contains(bl, x)) AS kept
+    FROM lined d LEFT JOIN bad USING (host))
+SELECT page_id, host, len(list_filter(ls, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) AS n_lines,
+       len(ls) - len(kept) AS n_dropped, array_to_string(kept, chr(10)) AS text
+FROM done
+""")
+def op8(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"),
+                                                 lines.html_lines(F.col("html")).alias("text"))
+    return lines.drop_boilerplate(pages, keep=["page_id", "host"]).select("page_id", "host", "n_lines", "n_dropped", "text")
+
+
 @query("op9_token_counts")
 def op9(spark, sf_dir):
     counted = bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer())
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op10_license_scan")
+def op10(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.transform("phrases", lambda p: p["start"])
+    labels = [F.transform(c, lambda p: p["label"]) for c in ("phrases", "templates")]
+
+    def joined(names):
+        return F.array_join(F.array_sort(F.array_distinct(names)), ",")
+
+    return found.select("doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"),
+                        F.array_min(base).alias("first_word"), F.array_max(base).alias("last_word"),
+                        joined(labels[0]).alias("base_labels"), joined(F.concat(*labels)).alias("labels"), "score")
