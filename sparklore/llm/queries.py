@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklore.llm import bpe, licenses, lines, mixing, quality, search
+from sparklore.llm import bpe, licenses, lines, mixing, quality, search, simhash
 from sparklore.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op10(spark, sf_dir):
     return found.select("doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"),
                         F.array_min(base).alias("first_word"), F.array_max(base).alias("last_word"),
                         joined(labels[0]).alias("base_labels"), joined(F.concat(*labels)).alias("labels"), "score")
+
+
+@query("op6_simhash_components")
+def op6(spark, sf_dir):
+    return simhash.component_ids(table(spark, sf_dir, "documents"))
