@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklore.llm import bpe, licenses, lines, mixing, quality, search, simhash
+from sparklore.llm import bpe, licenses, lines, mixing, quality, repeats, search, simhash
 from sparklore.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,11 @@ def op10(spark, sf_dir):
 @query("op6_simhash_components")
 def op6(spark, sf_dir):
     return simhash.component_ids(table(spark, sf_dir, "documents"))
+
+
+@query("op5_repeat_removal")
+def op5(spark, sf_dir):
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
