@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklore.llm import bpe, licenses, lines, mixing, quality, repeats, search, simhash
+from sparklore.llm import bpe, licenses, lines, mixing, quality, repeats, search, secrets, simhash
 from sparklore.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,11 @@ def op5(spark, sf_dir):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_secret_scan")
+def op4(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "pos", F.concat(F.substring("value", 1, 4), F.lit("...")).alias("starts"),
+                        F.sha2("value", 256).alias("value_sha256"), "name", "path", "length", "changes", "surprise", "known",
+                        "score", "is_secret")
