@@ -13,14 +13,6 @@ from sparklore.operators.governance import ENTITY_TYPES
 INSTRUCTIONS = ("Extract the facts and entities that the numbered spans state. Answer with one JSON object "
                 "{\"facts\": [...], \"entities\": [...]}; name the span numbers of each item. Entity types: ")
 
-# Patterns of the rule extractor with predicate, object suffix and entity types.
-RULE_PATTERNS = [
-    (r"([^\s,，。.]{2,10})的?(?:预算|支出|费用|价值|金额)为?(\d+万?元?)", "预算", "", "project", None),
-    (r"([^\s,，。.]{2,5})的?(?:负责人|领导|主管)是([^\s,，。.]{2,5})", "负责人", "", "project", "person"),
-    (r"([^\s,，。.]{2,5})的?(?:供应商|合作方)是([^\s,，。.]{2,10})", "供应商", "", "project", "organization"),
-    (r"([^\s,，。.]{2,5})的?团队有(\d+)名?", "团队规模", "人", "project", None),
-]
-
 
 def numbered(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda s, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), s)), "\n")
@@ -78,8 +70,11 @@ def entities_of(answers: DataFrame, spans: DataFrame) -> DataFrame:
         F.concat(F.lit("en_"), F.substring(content_hash("tenant_id", "chunk_id", "n", "e.name"), 1, 16)).alias("entity_id"))
 
 
-def rule_matches(texts: DataFrame, patterns: list | None = None, column: str = "content") -> DataFrame:
-    """(subject, predicate, object) of every match of every pattern, and the entity types it implies."""
+def rule_matches(texts: DataFrame, patterns: list, column: str = "content") -> DataFrame:
+    """(subject, predicate, object) of every match of every pattern, and the entity types it implies.
+
+    ``patterns``: (expression with two groups, predicate, suffix of the object, type of the subject, of the object).
+    """
     def found(pattern, predicate, suffix, subject_type, object_type):
         both = F.arrays_zip(F.regexp_extract_all(column, F.lit("(?U)" + pattern), F.lit(1)).alias("s"),
                             F.regexp_extract_all(column, F.lit("(?U)" + pattern), F.lit(2)).alias("o"))
@@ -88,7 +83,7 @@ def rule_matches(texts: DataFrame, patterns: list | None = None, column: str = "
             F.concat(z["o"], F.lit(suffix)).alias("object"), F.lit(subject_type).alias("subject_type"),
             F.lit(object_type).cast("string").alias("object_type")))
 
-    hits = F.flatten(F.array(*[found(*rule) for rule in patterns or RULE_PATTERNS]))
+    hits = F.flatten(F.array(*[found(*rule) for rule in patterns]))
     keep = [c for c in texts.columns if c != column]
     return texts.select(*keep, F.posexplode(hits).alias("n", "h")).select(*keep, "n", "h.*")
 
@@ -102,9 +97,13 @@ def rule_entities(matches: DataFrame) -> DataFrame:
 
 
 def join_batch(wanted: DataFrame, results: DataFrame) -> DataFrame:
-    """Every requested unit with its answer; failed or missing ones get an empty answer."""
-    ok = results.select("custom_id", F.when(F.col("type") == "succeeded", F.col("text")).alias("text"))
-    return wanted.join(ok, "custom_id", "left").withColumn(
+    """Every requested unit with its answer; failed or missing ones get an empty answer.
+
+    Ids are unique within a tenant only. Of several answers to a unit the last in text order of those that
+    succeeded counts, so a repeated delivery adds no rows.
+    """
+    ok = (results.filter("type = 'succeeded'").groupBy("tenant_id", "custom_id").agg(F.max("text").alias("text")))
+    return wanted.join(ok, ["tenant_id", "custom_id"], "left").withColumn(
         "response", F.coalesce("text", F.lit('{"facts":[],"entities":[]}'))).drop("text")
 
 

@@ -126,12 +126,24 @@ def reinforce_by_triple(base: DataFrame, arrivals: DataFrame, now: float) -> Dat
 
 
 def decay(facts: DataFrame, now: float) -> DataFrame:
-    """Retention and confidence of every live fact at ``now``; a narrow pass over the table."""
+    """Retention and confidence of every live fact at ``now``; a narrow pass over the table.
+
+    Stale facts stay in the table with the values they have, 1 where there are none yet.
+    """
     kept = lc.retention(F.col("last_confirmed"), F.col("predicate"), now)
     contradicted = F.col("contradicts") > 0 if "contradicts" in facts.columns else F.lit(False)
-    return (facts.filter(~F.col("stale")).withColumn("retention", kept)
-            .withColumn("confidence", lc.confidence(F.col("source_count"), F.col("retention"),
-                                                    contradicted, F.col("stale"))))
+    fresh = {"retention": kept, "confidence": lc.confidence(F.col("source_count"), kept, contradicted, F.col("stale"))}
+
+    def old(name):
+        return F.coalesce(F.col(name), F.lit(1.0)) if name in facts.columns else F.lit(1.0)
+    return facts.withColumns({n: F.when(F.col("stale"), old(n)).otherwise(c) for n, c in fresh.items()})
+
+
+def last_per_fact(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per fact: that with the largest ``seq``, or without such a column the largest ``columns``."""
+    order = F.struct(*(["seq"] if "seq" in rows.columns else []), *columns)
+    return (rows.groupBy("tenant_id", "fact_id").agg(F.max(order).alias("_v"))
+            .select("tenant_id", "fact_id", *[F.col(f"_v.{c}").alias(c) for c in columns]))
 
 
 def resolve_groups(facts: DataFrame, now: float) -> DataFrame:
@@ -169,7 +181,8 @@ def supersede_ambiguous(facts: DataFrame, now: float) -> DataFrame:
 
 
 def apply_patches(facts: DataFrame, patches: DataFrame) -> DataFrame:
-    p = patches.select("tenant_id", "fact_id", F.col("superseded_by").alias("new_owner"))
+    """Facts named by a patch become stale; of several patches for a fact the last counts."""
+    p = last_per_fact(patches, ["superseded_by"]).withColumnRenamed("superseded_by", "new_owner")
     out = facts.join(p, ["tenant_id", "fact_id"], "left")
     old = F.col("superseded_by") if "superseded_by" in facts.columns else F.lit(None).cast("string")
     return out.withColumns({"superseded_by": F.coalesce("new_owner", old),
@@ -186,11 +199,11 @@ def review_queue(facts: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def apply_review(facts: DataFrame, actions: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
-    """(facts after the review actions, rejected action rows)."""
+    """(facts after the review actions, rejected action rows); of several actions for a fact the last counts."""
     ok = actions.filter(F.col("action").isin(REVIEW_ACTIONS))
     bad = actions.filter(~F.coalesce(F.col("action").isin(REVIEW_ACTIONS), F.lit(False)))
-    j = facts.join(ok.select("tenant_id", "fact_id", "action", F.col("superseded_by").alias("target")),
-                   ["tenant_id", "fact_id"], "left")
+    last = last_per_fact(ok, ["action", "superseded_by"]).withColumnRenamed("superseded_by", "target")
+    j = facts.join(last, ["tenant_id", "fact_id"], "left")
     act = F.col("action")
     old = F.col("superseded_by") if "superseded_by" in facts.columns else F.lit(None).cast("string")
     done = j.withColumns({
@@ -220,6 +233,8 @@ def follow_supersession(patches: DataFrame, max_rounds: int = 40) -> DataFrame:
         open_before = n_open
         ptr = cut_lineage(ptr.join(targets, ["tenant_id", "next"], "left").select(
             "tenant_id", "fact_id", F.coalesce("after", "next").alias("next")))
+    else:
+        raise RuntimeError("chains did not settle; raise max_rounds")
     alive = ptr.select("tenant_id", F.col("fact_id").alias("next"), F.lit(True).alias("loop"))
     return ptr.join(alive, ["tenant_id", "next"], "left").select(
         "tenant_id", "fact_id", F.when(F.col("loop").isNull(), F.col("next")).alias("current_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklore.functions.lifecycle import source_confidence
@@ -30,20 +30,24 @@ def normalize_sightings(sightings: DataFrame, mode: str = "strict", flip_inverse
 def merge_sightings(sightings: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One row per triple with its number of sightings and the confidence they give.
 
+    A triple seen once keeps the confidence of that sighting (column ``confidence``, by default 1);
+    with more sightings the number of them decides.
     Partial counts are made before the shuffle, so a triple that holds a third of all
     sightings costs one row per map task. Span ids stay in ``sighting_spans``: an array of
     them would have no size bound.
     """
-    new = sightings.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n"), F.max("seen_at").alias("last_confirmed"))
+    said = F.min_by("confidence", "seq") if "confidence" in sightings.columns else F.lit(None).cast("double")
+    new = sightings.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n"), F.max("seen_at").alias("last_confirmed"),
+                                         said.alias("own"))
     if existing is not None:
-        old = existing.select(*TRIPLE, F.col("source_count").alias("old_n"),
+        old = existing.select(*TRIPLE, F.col("source_count").alias("old_n"), F.col("confidence").alias("old_own"),
                               F.col("last_confirmed").alias("old_seen"))
         new = new.join(old, TRIPLE, "full").select(
             *TRIPLE, (F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("n"),
-            F.coalesce("last_confirmed", "old_seen").alias("last_confirmed"))
+            F.coalesce("last_confirmed", "old_seen").alias("last_confirmed"), F.coalesce("old_own", "own").alias("own"))
     return new.select(
         relation_id(*TRIPLE).alias("relation_id"), *TRIPLE, F.col("n").alias("source_count"),
-        F.when(F.col("n") > 1, source_confidence(F.col("n"))).otherwise(0.5).alias("confidence"),
+        F.when(F.col("n") > 1, source_confidence(F.col("n"))).otherwise(F.coalesce("own", F.lit(1.0))).alias("confidence"),
         "last_confirmed")
 
 
@@ -104,14 +108,20 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int = 1,
 
 def typed_edges(edges: DataFrame, relation_types: list[str] | None = None,
                 entity_ids: DataFrame | None = None, limit: int | None = 200) -> DataFrame:
-    """Edges of some types and/or touching some entities, by id, at most ``limit`` (1 to 1000)."""
+    """Edges of some types and/or touching some entities, by id, at most ``limit`` (1 to 1000) of each tenant.
+
+    ``relation_types`` may be any of the names that stand for a type.
+    """
     out = edges
     if relation_types:
-        out = out.filter(F.col("relation_type").isin(relation_types))
+        asked = F.array(*[normalize_relation(F.lit(t)) for t in relation_types])
+        out = out.filter(F.array_contains(asked, F.col("relation_type")))
     if entity_ids is not None:
         out = _touching(out, entity_ids.select("tenant_id", "entity_id").distinct()).distinct()
     if limit is not None:
-        out = out.orderBy("tenant_id", "relation_id").limit(min(max(limit, 1), 1000))
+        w = Window.partitionBy("tenant_id").orderBy("relation_id")
+        out = (out.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= min(max(limit, 1), 1000))
+               .drop("_nth"))
     return out
 
 
@@ -138,7 +148,6 @@ def neighbors_of(edges: DataFrame, entities: DataFrame, nodes: DataFrame) -> Dat
 def filter_nodes(nodes: DataFrame, *, hide_isolated: bool = False, min_degree: int = 0,
                  type_filter: str | None = None, search: str = "", top_n: int = 80) -> DataFrame:
     """Nodes with a ``degree`` column, filtered, then the ``top_n`` of each tenant by degree."""
-    from pyspark.sql import Window
     out = nodes
     if hide_isolated:
         out = out.filter("degree > 0")
@@ -228,6 +237,8 @@ def cycle_nodes(edges: DataFrame, relation_types: list[str] | None = None, max_r
         core = core.join(done.withColumnRenamed("node", "s"), [*key, "s"], "left_anti").join(
             done.withColumnRenamed("node", "t"), [*key, "t"], "left_anti")
         core = trim(core)
+    else:
+        raise RuntimeError("cycles did not settle; raise max_rounds")
     if found is None:
         return core.select(*key, F.col("s").alias("entity_id"))
     return found.distinct().withColumnRenamed("node", "entity_id")

@@ -66,7 +66,7 @@ TABLES["kb_edges"] = """
 SELECT 'rl_' || left(sha256(tenant_id || ':' || source_entity || ':' || relation_type || ':' || target_entity), 16)
          AS relation_id, tenant_id, source_entity, relation_type, target_entity,
        count(*) AS source_count,
-       CASE WHEN count(*) > 1 THEN 1.0 - 1.0 / (1.0 + count(*)) ELSE 0.5 END AS confidence
+       CASE WHEN count(*) > 1 THEN 1.0 - 1.0 / (1.0 + count(*)) ELSE 1.0 END AS confidence
 FROM kb_sightings GROUP BY tenant_id, source_entity, relation_type, target_entity"""
 
 TABLES["kb_edge_spans"] = """

@@ -135,8 +135,9 @@ def _(kb):
 
 
 @query("fct07_decay", f"""
-SELECT tenant_id, fact_id, round(kept, 6) AS retention, round((1 - 1 / (1.0 + source_count)) * kept, 6) AS confidence
-FROM (SELECT *, {KEPT} AS kept FROM kb_facts WHERE NOT stale)""")
+SELECT tenant_id, fact_id, CASE WHEN stale THEN 1.0::DOUBLE ELSE round(kept, 6) END AS retention,
+       CASE WHEN stale THEN 1.0::DOUBLE ELSE round((1 - 1 / (1.0 + source_count)) * kept, 6) END AS confidence
+FROM (SELECT *, {KEPT} AS kept FROM kb_facts)""")
 def _(kb):
     return fct.decay(kb.facts, NOW).select("tenant_id", "fact_id", R("retention", 6).alias("retention"),
                                            R("confidence", 6).alias("confidence"))

@@ -109,7 +109,7 @@ def _(kb):
 @query("grf06_typed_edges", "WITH " + SEEDS + """
 SELECT e.tenant_id, relation_id, source_entity, target_entity, source_count FROM kb_edges e
 JOIN seed s ON s.tenant_id = e.tenant_id AND s.entity_id IN (source_entity, target_entity)
-WHERE relation_type = 'owns' ORDER BY e.tenant_id, relation_id LIMIT 1000""")
+WHERE relation_type = 'owns' QUALIFY row_number() OVER (PARTITION BY e.tenant_id ORDER BY relation_id) <= 1000""")
 def _(kb):
     return graph.typed_edges(kb.edges, ["owns"], seeds(kb), limit=5000).select(
         "tenant_id", "relation_id", "source_entity", "target_entity", "source_count")

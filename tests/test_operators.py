@@ -1,5 +1,6 @@
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparklore.functions import lifecycle as lc
@@ -121,3 +122,33 @@ def test_vector_blocks_equal_brute_force(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     i, j = np.nonzero(u @ u.T > 0.85)
     assert got == {(f"e{a:03d}", f"e{b:03d}") for a, b in zip(i, j)}
+
+
+def test_single_sighting_keeps_its_confidence(spark):
+    s = spark.createDataFrame([("t", "a", "owns", "b", 1.0, 1), ("t", "a", "owns", "c", 1.0, 1), ("t", "a", "owns", "c", 2.0, 2)],
+                              "tenant_id string, source_entity string, relation_type string, target_entity string, seen_at double, seq int")
+    assert {r.target_entity: r.confidence for r in graph.merge_sightings(s).collect()} == {"b": 1.0, "c": pytest.approx(2 / 3)}
+    said = s.withColumn("confidence", F.lit(0.25))
+    first = graph.merge_sightings(said)
+    assert {r.target_entity: r.confidence for r in first.collect()} == {"b": 0.25, "c": pytest.approx(2 / 3)}
+    again = graph.merge_sightings(said.filter("target_entity = 'b'"), first)
+    assert {r.target_entity: (r.source_count, r.confidence) for r in again.collect()} == {
+        "b": (2, pytest.approx(2 / 3)), "c": (2, pytest.approx(2 / 3))}
+
+
+def test_edge_limit_holds_per_tenant(spark):
+    e = spark.createDataFrame([(t, f"r{i}", "owns", "x", "y") for t in "ab" for i in range(5)],
+                              "tenant_id string, relation_id string, relation_type string, source_entity string, target_entity string")
+    got = [(r.tenant_id, r.relation_id) for r in graph.typed_edges(e, ["OWNS"], limit=3).collect()]
+    assert sorted(got) == [(t, f"r{i}") for t in "ab" for i in range(3)]
+
+
+def test_repeated_patches_and_actions_add_no_rows(spark):
+    f = spark.createDataFrame([("t", "f1", "inferred", False, 1.0), ("t", "f2", "inferred", True, 1.0)],
+                              "tenant_id string, fact_id string, provenance string, stale boolean, last_confirmed double")
+    p = spark.createDataFrame([("t", "f1", "a", 1), ("t", "f1", "b", 2)], "tenant_id string, fact_id string, superseded_by string, seq int")
+    got = sorted((r.fact_id, r.superseded_by, r.stale) for r in fct.apply_patches(f, p.filter("seq < 3")).collect())
+    assert got == [("f1", "b", True), ("f2", None, True)]
+    a = p.withColumn("action", F.when(F.col("seq") == 2, "confirm").otherwise("reject"))
+    after = {r.fact_id: (r.provenance, r.stale) for r in fct.apply_review(f, a, 9.0)[0].collect()}
+    assert after == {"f1": ("extracted", False), "f2": ("inferred", True)}
