@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklore.functions import lifecycle as lc
@@ -60,33 +60,45 @@ def mark_ambiguous(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
                                          .otherwise(F.col("provenance"))}))
 
 
+#: Columns that a later arrival of a known id replaces.
+REPLACED = ["object_value", "qualifiers", "provenance", "contradicts"]
+
+
+def _struct_of(columns: list[str], there: list[str], base: DataFrame) -> Column:
+    """Columns as one value; those that a table lacks are null, of the type they have in ``base``."""
+    return F.struct(*[(F.col(c) if c in there else F.lit(None).cast(base.schema[c].dataType)).alias(c) for c in columns])
+
+
 def upsert_by_id(base: DataFrame, arrivals: DataFrame, now: float) -> DataFrame:
-    """Fold arrivals into the fact table by id.
+    """Fold arrivals into the fact table by id; all columns of ``base`` come back.
 
-    The first arrival of an unknown id starts at its own count; every other arrival adds
-    one. Object and provenance come from the last arrival (``seq``), retention returns to 1.
+    The first arrival of an unknown id is inserted with its own count; every other arrival adds one and
+    replaces object, qualifiers, provenance and contradictions (the last by ``seq`` wins). An arrival sets the
+    time of confirmation to ``now`` and retention to 1. Columns that arrivals lack are null in new rows.
     """
-    last = arrivals.groupBy("tenant_id", "fact_id").agg(
-        F.count(F.lit(1)).alias("n_new"), F.min_by("source_count", "seq").alias("first_count"),
-        F.max_by(F.struct("document_id", "subject_entity", "predicate", "object_value", "provenance"),
-                 "seq").alias("v"))
-    old = base.select("tenant_id", "fact_id", F.struct(
-        "document_id", "subject_entity", "predicate", "object_value", "provenance").alias("o"),
-        F.col("source_count").alias("old_n"), F.col("last_confirmed").alias("old_seen"),
-        F.col("retention").alias("old_kept"))
-    j = last.join(old, ["tenant_id", "fact_id"], "full")
-    known, came = F.col("old_n").isNotNull(), F.col("n_new").isNotNull()
-    return j.select(
-        "tenant_id", "fact_id",
-        F.when(known, F.col("o.document_id")).otherwise(F.col("v.document_id")).alias("document_id"),
-        F.when(known, F.col("o.subject_entity")).otherwise(F.col("v.subject_entity")).alias("subject_entity"),
-        F.when(known, F.col("o.predicate")).otherwise(F.col("v.predicate")).alias("predicate"),
-        F.when(came, F.col("v.object_value")).otherwise(F.col("o.object_value")).alias("object_value"),
-        F.when(came, F.col("v.provenance")).otherwise(F.col("o.provenance")).alias("provenance"),
-        (F.when(known, F.col("old_n") + F.coalesce("n_new", F.lit(0)))
-          .otherwise(F.col("first_count") + F.col("n_new") - 1)).alias("source_count"),
-        F.when(came, float(now)).otherwise(F.col("old_seen")).alias("last_confirmed"),
-        F.when(came, 1.0).otherwise(F.col("old_kept")).alias("retention"))
+    columns = [c for c in base.columns if c not in ("tenant_id", "fact_id")]
+    replaced = [c for c in REPLACED if c in columns]
+    came = arrivals.groupBy("tenant_id", "fact_id").agg(
+        F.count(F.lit(1)).alias("n_new"),
+        F.min_by(_struct_of(columns, arrivals.columns, base), "seq").alias("first"),
+        F.max_by(_struct_of(replaced, arrivals.columns, base), "seq").alias("last"))
+    old = base.select("tenant_id", "fact_id", F.struct(*columns).alias("old"))
+    j = came.join(old, ["tenant_id", "fact_id"], "full")
+    known, new = F.col("old").isNotNull(), F.col("n_new").isNotNull()
+
+    def value(c: str) -> Column:
+        if c == "source_count":
+            return (F.when(known, F.col("old.source_count") + F.coalesce("n_new", F.lit(0)))
+                    .otherwise(F.col("first.source_count") + F.col("n_new") - 1))
+        if c == "last_confirmed":
+            return F.when(new, float(now)).otherwise(F.col("old.last_confirmed"))
+        if c == "retention":
+            return F.when(new, 1.0).otherwise(F.col("old.retention"))
+        if c in replaced:
+            return F.when(new, F.col(f"last.{c}")).otherwise(F.col(f"old.{c}"))
+        return F.when(known, F.col(f"old.{c}")).otherwise(F.col(f"first.{c}"))
+
+    return j.select(*[F.col(c) if c in ("tenant_id", "fact_id") else value(c).alias(c) for c in base.columns])
 
 
 TRIPLE_KEY = ["tenant_id", "subject_key", "predicate_key", "value_key"]
@@ -98,30 +110,28 @@ def _triples(df: DataFrame) -> DataFrame:
 
 
 def reinforce_by_triple(base: DataFrame, arrivals: DataFrame, now: float) -> DataFrame:
-    """Fold arrivals by case-insensitive (subject, predicate, object).
+    """Fold arrivals by case-insensitive (subject, predicate, object); all columns of ``base`` come back.
 
     Of several base rows with the same triple only the one with the smallest id is
-    reinforced. New triples keep the id of their first arrival.
+    reinforced. New triples keep the id and the columns of their first arrival; they are live and confirmed ``now``.
     """
+    columns = base.columns
     n = _triples(arrivals).groupBy(*TRIPLE_KEY).agg(
         F.count(F.lit(1)).alias("n_new"),
-        F.min_by(F.struct("fact_id", "subject_entity", "predicate", "object_value"), "seq").alias("v"))
-    keyed = _triples(base)
-    owner = keyed.groupBy(*TRIPLE_KEY).agg(F.min("fact_id").alias("owner_id"))
+        F.min_by(_struct_of([c for c in columns if c != "tenant_id"], arrivals.columns, base), "seq").alias("v"))
+    owner = _triples(base).groupBy(*TRIPLE_KEY).agg(F.min("fact_id").alias("owner_id"))
     hits = n.join(owner, TRIPLE_KEY, "left")
     bumps = hits.filter("owner_id is not null").select("tenant_id", F.col("owner_id").alias("fact_id"), "n_new")
-    old = (base.select("tenant_id", "fact_id", "subject_entity", "predicate", "object_value",
-                       "source_count", "last_confirmed", "retention")
-           .join(bumps, ["tenant_id", "fact_id"], "left")
-           .select("tenant_id", "fact_id", "subject_entity", "predicate", "object_value",
-                   (F.col("source_count") + F.coalesce("n_new", F.lit(0))).alias("source_count"),
-                   F.when(F.col("n_new").isNotNull(), float(now)).otherwise(F.col("last_confirmed"))
-                    .alias("last_confirmed"),
-                   F.when(F.col("n_new").isNotNull(), 1.0).otherwise(F.col("retention")).alias("retention")))
-    new = hits.filter("owner_id is null").select(
-        "tenant_id", "v.fact_id", "v.subject_entity", "v.predicate", "v.object_value",
-        F.col("n_new").alias("source_count"), F.lit(float(now)).alias("last_confirmed"),
-        F.lit(1.0).alias("retention"))
+    hit = F.col("n_new").isNotNull()
+    changed = {"source_count": F.col("source_count") + F.coalesce("n_new", F.lit(0)),
+               "last_confirmed": F.when(hit, float(now)).otherwise(F.col("last_confirmed")),
+               "retention": F.when(hit, 1.0).otherwise(F.col("retention"))}
+    old = base.join(bumps, ["tenant_id", "fact_id"], "left").select(
+        *[changed.get(c, F.col(c)).alias(c) for c in columns])
+    fresh = {"tenant_id": F.col("tenant_id"), "source_count": F.col("n_new"), "last_confirmed": F.lit(float(now)),
+             "created_at": F.lit(float(now)), "retention": F.lit(1.0), "stale": F.lit(False),
+             "superseded_by": F.lit(None).cast("string")}
+    new = hits.filter("owner_id is null").select(*[fresh.get(c, F.col(f"v.{c}")).alias(c) for c in columns])
     return old.unionByName(new)
 
 

@@ -86,36 +86,42 @@ arr AS (SELECT *, predicate || '|' || fact_id AS seq FROM kb_facts WHERE NOT sta
 @query("fct03_upsert_by_id", f"""
 WITH {ARRIVALS},
 n AS (SELECT tenant_id, fact_id, count(*) AS n_new, arg_min(source_count, seq) AS first_count,
-             arg_max(object_value, seq) AS obj, arg_max(provenance, seq) AS prov FROM arr GROUP BY 1, 2)
-SELECT tenant_id, fact_id, coalesce(n.obj, b.object_value) AS object_value, coalesce(n.prov, b.provenance) AS provenance,
+             arg_max(object_value, seq) AS obj, arg_max(provenance, seq) AS prov,
+             arg_min({{'document_id': document_id, 'subject_entity': subject_entity, 'predicate': predicate, 'created_at': created_at,
+                      'stale': stale, 'span_id': span_id}}, seq) AS v FROM arr GROUP BY 1, 2)
+SELECT tenant_id, fact_id, coalesce(b.document_id, n.v.document_id) AS document_id, coalesce(b.subject_entity, n.v.subject_entity) AS subject_entity,
+       coalesce(b.predicate, n.v.predicate) AS predicate, coalesce(b.created_at, n.v.created_at) AS created_at, coalesce(b.stale, n.v.stale) AS stale,
+       CASE WHEN b.fact_id IS NOT NULL THEN b.span_id ELSE n.v.span_id END AS span_id,
+       coalesce(n.obj, b.object_value) AS object_value, coalesce(n.prov, b.provenance) AS provenance,
        CASE WHEN b.source_count IS NOT NULL THEN b.source_count + coalesce(n_new, 0) ELSE first_count + n_new - 1 END AS source_count,
        CASE WHEN n_new IS NOT NULL THEN {NOW_SQL} ELSE b.last_confirmed END AS last_confirmed,
        CASE WHEN n_new IS NOT NULL THEN 1.0::DOUBLE ELSE b.retention END AS retention
 FROM n FULL JOIN base b USING (tenant_id, fact_id)""")
 def _(kb):
     base, arrivals = base_and_arrivals(kb)
-    return fct.upsert_by_id(base, arrivals, NOW).select(
-        "tenant_id", "fact_id", "object_value", "provenance", "source_count", "last_confirmed", "retention")
+    return fct.upsert_by_id(base.drop("seq"), arrivals, NOW)
 
 
 @query("fct04_reinforce_by_triple", f"""
 WITH {ARRIVALS},
 n AS (SELECT tenant_id, lower(subject_entity) AS s, lower(predicate) AS p, lower(object_value) AS o, count(*) AS n_new,
-             arg_min(fact_id, seq) AS first_id FROM arr GROUP BY 1, 2, 3, 4),
+             arg_min(fact_id, seq) AS first_id, arg_min({{'document_id': document_id, 'provenance': provenance, 'span_id': span_id,
+               'subject_entity': subject_entity, 'predicate': predicate, 'object_value': object_value}}, seq) AS v FROM arr GROUP BY 1, 2, 3, 4),
 b AS (SELECT *, lower(subject_entity) AS s, lower(predicate) AS p, lower(object_value) AS o,
              fact_id = min(fact_id) OVER (PARTITION BY tenant_id, lower(subject_entity), lower(predicate), lower(object_value)) AS owner
       FROM base)
-SELECT b.tenant_id, b.fact_id, b.source_count + coalesce(n_new, 0) AS source_count,
+SELECT b.tenant_id, b.fact_id, b.document_id, b.provenance, b.span_id, b.subject_entity, b.predicate, b.object_value, b.created_at, b.stale,
+       b.source_count + coalesce(n_new, 0) AS source_count,
        CASE WHEN n_new IS NOT NULL THEN {NOW_SQL} ELSE b.last_confirmed END AS last_confirmed,
        CASE WHEN n_new IS NOT NULL THEN 1.0::DOUBLE ELSE b.retention END AS retention
 FROM b LEFT JOIN n ON b.owner AND n.tenant_id = b.tenant_id AND n.s = b.s AND n.p = b.p AND n.o = b.o
 UNION ALL
-SELECT n.tenant_id, n.first_id, n_new, {NOW_SQL}, 1.0::DOUBLE FROM n ANTI JOIN b
+SELECT n.tenant_id, n.first_id, v.document_id, v.provenance, v.span_id, v.subject_entity, v.predicate, v.object_value, {NOW_SQL}, false,
+       n_new, {NOW_SQL}, 1.0::DOUBLE FROM n ANTI JOIN b
   ON n.tenant_id = b.tenant_id AND n.s = b.s AND n.p = b.p AND n.o = b.o""")
 def _(kb):
     base, arrivals = base_and_arrivals(kb)
-    return fct.reinforce_by_triple(base, arrivals, NOW).select(
-        "tenant_id", "fact_id", "source_count", "last_confirmed", "retention")
+    return fct.reinforce_by_triple(base.drop("seq"), arrivals, NOW)
 
 
 @query("fct05_retention", f"SELECT tenant_id, fact_id, round({KEPT}, 6) AS retention FROM kb_facts")

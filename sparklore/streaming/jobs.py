@@ -158,12 +158,13 @@ def newest_batch(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(last, [*keys, "batch_id"], "left_semi")
 
 
-FACT_COLUMNS = ["tenant_id", "fact_id", "subject_entity", "predicate", "object_value", "source_count",
-                "last_confirmed", "retention", "stale", "superseded_by"]
+#: Columns of the fact table that arrivals may lack, and the values of an empty table.
+FACT_STATE = {"source_count": "CAST(0 AS BIGINT)", "last_confirmed": "CAST(0 AS DOUBLE)", "retention": "CAST(1 AS DOUBLE)",
+              "stale": "false", "superseded_by": "CAST(NULL AS STRING)"}
 
 
 def reinforce_stream(arrivals: DataFrame, out: str, now: float) -> None:
-    """Reinforce facts by triple, then supersede in the groups the batch touched.
+    """Reinforce facts by triple, then supersede in the groups the batch touched. All columns of the arrivals stay.
 
     Batch n reads the fact table of batch n - 1 and writes its own, so a replayed batch does
     not count its arrivals twice.
@@ -174,17 +175,12 @@ def reinforce_stream(arrivals: DataFrame, out: str, now: float) -> None:
         if batch_id > 0:
             base = spark.read.schema(spark.read.parquet(before).schema).parquet(before)
         else:
-            base = batch.limit(0).select("tenant_id", "fact_id", "subject_entity", "predicate", "object_value",
-                                         F.lit(0).cast("long").alias("source_count"), F.lit(0.0).alias("last_confirmed"),
-                                         F.lit(1.0).alias("retention"), F.lit(False).alias("stale"),
-                                         F.lit(None).cast("string").alias("superseded_by"))
-        state = base.select("tenant_id", "fact_id", F.col("stale").alias("was_stale"), "superseded_by")
-        merged = fct.reinforce_by_triple(base, batch, now).join(state, ["tenant_id", "fact_id"], "left").withColumn(
-            "stale", F.coalesce("was_stale", F.lit(False))).drop("was_stale")
-        write_batch(merged, f"{out}/merged", batch_id)
+            own = [c for c in batch.columns if c not in (*FACT_STATE, "seq")]
+            base = batch.limit(0).select(*own, *[F.expr(e).alias(c) for c, e in FACT_STATE.items()])
+        write_batch(fct.reinforce_by_triple(base, batch, now), f"{out}/merged", batch_id)
         merged = spark.read.parquet(batch_folder(f"{out}/merged", batch_id))
         patches = fct.check_on_write(merged, batch, now)
-        write_batch(fct.apply_patches(merged, patches).select(*FACT_COLUMNS), f"{out}/facts", batch_id)
+        write_batch(fct.apply_patches(merged, patches), f"{out}/facts", batch_id)
 
     run_available(arrivals, handle, f"{out}/_checkpoint")
 
