@@ -124,13 +124,19 @@ def _block_angle(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def join_blocks(a: DataFrame, b: DataFrame, keys: list[str], salts: int = 16,
-                min_cosine: float | None = None) -> DataFrame:
-    """Pairs of blocks with equal keys and dimension, spread over ``salts`` sub-keys.
+                min_cosine: float | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Pairs of blocks with equal keys and dimension; a side of at most ``broadcast_bytes`` is broadcast,
+    beyond that both are spread over ``salts`` sub-keys.
 
     The b-blocks are split by salt, the a-blocks are copied to each, so that one hot key is
     worked on by many tasks. With ``min_cosine`` pairs are left out whose centers are so far
     apart that, by the triangle inequality on angles, no two members can be that similar.
     """
+    if min_cosine is None and (a.agg(F.sum(F.octet_length("data"))).first()[0] or 0) <= broadcast_bytes:
+        # The a-side is small by its measured bytes: it goes to every task, and the b-blocks are not moved.
+        left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("ids", "dim", "data", "center", "radius")])
+        right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("ids", "dim", "data", "center", "radius")])
+        return right.join(F.broadcast(left), keys).filter("a_dim = b_dim")
     left = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("ids", "dim", "data", "center", "radius")],
                     F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("ids", "dim", "data", "center", "radius")],

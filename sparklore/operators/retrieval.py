@@ -12,6 +12,7 @@ from sparklore.functions import text as tx
 from sparklore.functions import vectors as vec
 from sparklore.operators import graph
 from sparklore.operators.entities import link_entities
+from sparklore.session import stored_table
 
 # Candidates per stream, results, fusion constant, trigram cut, BM25, tier weights.
 CANDIDATES, FINAL, RRF_K = 50, 8, 60
@@ -48,8 +49,22 @@ def in_scope(spans: DataFrame, documents: DataFrame | None = None, span_types: l
     return out
 
 
+def lexical_index(spans: DataFrame) -> DataFrame:
+    """(tenant, span, tokens, grams), stored: texts are cut once, and the text and trigram streams read this table."""
+    return stored_table(spans.select("tenant_id", "span_id", tx.simple_tokens("content").alias("tokens"),
+                                     tx.trigrams("content").alias("grams")))
+
+
+def _column(spans: DataFrame, name: str, otherwise: Column) -> Column:
+    """A column of the stored index, or made from the text."""
+    return F.col(name) if name in spans.columns else otherwise
+
+
 def vector_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES, salts: int = 16) -> DataFrame:
-    """Exact nearest spans by cosine for all questions, as products of packed blocks."""
+    """Exact nearest spans by cosine for all questions, as products of packed blocks.
+
+    While the packed questions are small (``join_blocks``) they go to the spans, which stay where they are.
+    """
     q = vec.pack_blocks(questions.filter(~vec.is_zero(F.col("vector"))), ["tenant_id"], "qid", "vector", rows=256)
     s = vec.pack_blocks(spans.filter("embedding is not null"), ["tenant_id"], "span_id", "embedding")
     hits = vec.block_matches(vec.join_blocks(q, s, ["tenant_id"], salts), ["tenant_id"], top_k=k)
@@ -79,10 +94,10 @@ def text_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES) ->
     q = questions.select("tenant_id", "qid", F.array_distinct(tx.simple_tokens("question")).alias("terms")).filter(
         F.size("terms") > 0)
     small = sized_broadcast(q, "terms")
-    tokens = spans.select("tenant_id", "span_id", tx.simple_tokens("content").alias("tokens"))
+    tokens = spans.select("tenant_id", "span_id", _column(spans, "tokens", tx.simple_tokens("content")).alias("tokens"))
     wanted = q.select("tenant_id", F.explode("terms").alias("term")).distinct()
-    heads = tokens.select("tenant_id", "span_id", F.explode(F.array_distinct("tokens")).alias("term")).join(
-        small(wanted), ["tenant_id", "term"], "left_semi")
+    heads = stored_table(tokens.select("tenant_id", "span_id", F.explode(F.array_distinct("tokens")).alias("term")).join(
+        small(wanted), ["tenant_id", "term"], "left_semi"))
     df = heads.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
     corpus = tokens.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_spans"), F.avg(F.size("tokens")).alias("avg_len"))
     known = (q.select("tenant_id", "qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
@@ -116,10 +131,10 @@ def trigram_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES,
     """
     q = questions.select("tenant_id", "qid", tx.trigrams("question").alias("qg")).filter(F.size("qg") > 0)
     small = sized_broadcast(q, "qg")
-    s = spans.select("tenant_id", "span_id", tx.trigrams("content").alias("sg"))
+    s = spans.select("tenant_id", "span_id", _column(spans, "grams", tx.trigrams("content")).alias("sg"))
     asked = q.select("tenant_id", F.explode("qg").alias("g")).distinct()
-    by_gram = s.select("tenant_id", "span_id", F.size("sg").alias("sn"), F.explode("sg").alias("g")).join(
-        small(asked), ["tenant_id", "g"], "left_semi")
+    grams = s.select("tenant_id", "span_id", F.size("sg").alias("sn"), F.explode("sg").alias("g"))
+    by_gram = grams.join(small(asked), ["tenant_id", "g"], "left_semi")
     freq = by_gram.groupBy("tenant_id", "g").agg(F.count(F.lit(1)).alias("c"))
     ordered = (q.select("tenant_id", "qid", F.size("qg").alias("qn"), F.explode("qg").alias("g"))
                .join(freq, ["tenant_id", "g"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
@@ -240,6 +255,7 @@ def hybrid_search(questions: DataFrame, spans: DataFrame, chunks: DataFrame, ent
                   edges: DataFrame, edge_spans: DataFrame, scores: DataFrame | None = None,
                   keep: int = FINAL) -> DataFrame:
     """All four streams, fusion, rerank and tier weights for a table of questions in one job."""
-    streams = [vector_stream(questions, spans), text_stream(questions, spans), trigram_stream(questions, spans),
+    index = lexical_index(spans)
+    streams = [vector_stream(questions, spans), text_stream(questions, index), trigram_stream(questions, index),
                graph_stream(questions, spans, entities, edges, edge_spans)]
     return weigh_by_tier(rerank(fuse(streams), scores, keep * 2), spans, chunks, keep)

@@ -293,7 +293,7 @@ class Kb:
     @cached_property
     def question_vectors(self) -> DataFrame:
         v = self.raw("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-        return self.questions.join(v, "item_id")
+        return self.questions.join(v, "item_id", "left")
 
     @cached_property
     def spans_with_vectors(self) -> DataFrame:
@@ -301,6 +301,11 @@ class Kb:
                                           F.lit(1).cast("long").alias("span_no"))
         return self.spans.join(v, ["doc_id", "span_no"], "left")
 
+    @cached_property
+    def lexical_index(self) -> DataFrame:
+        from sparklore.operators import retrieval
+        return retrieval.lexical_index(self.spans)
+
     @cached_property
     def model_scores(self) -> DataFrame:
         """Outside scores of (question, span) pairs: by text length, for the head of each document."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in a new folder below the checkpoint folder, read back; columns are pruned when it is read again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
