@@ -4,7 +4,8 @@ Labelled documents are split by a hash into two holdouts. The first proposes cut
 second tests them: per stratum and rule, from the mildest cutoff on, the exact binomial test must
 show that the rule rejects at most a share ``alpha`` of good documents; the first cutoff that fails
 ends the sequence (fixed-sequence testing), and the tests of all strata and rules share the error
-``delta`` (Bonferroni). So with probability ``1 - delta`` no rule in any stratum rejects more
+``delta`` (Bonferroni). Of the cutoffs that passed the mildest is taken that rejects nearly as many bad documents as the
+strictest, so clean documents near the border stay. So with probability ``1 - delta`` no rule in any stratum rejects more
 than ``alpha`` of the good documents there. A stratum with too few labels gets no cutoffs and rejects nothing.
 """
 
@@ -30,6 +31,8 @@ RULES: dict[str, Column | str] = {
     "few_words": "- n_words",
 }
 ALPHA, DELTA, CUTOFFS = 0.01, 0.05, 32
+#: Share of the bad documents rejected by the strictest tested cutoff that a milder one must reject to be preferred.
+NEARLY = 0.95
 WINDOW = 5
 MEASURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long",
             "n_repeat_words": "long", "n_lines": "long"}
@@ -144,32 +147,35 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", d
                   .select(F.col(stratum).alias("stratum"), "quality", half, values)
                   .select("stratum", "quality", "half", "v.rule", "v.value").filter("value IS NOT NULL"))
     # Proposals: quantiles of all documents of the first half, and of its bad ones.
-    at = [round(0.5 + 0.5 * i / cutoffs, 6) for i in range(1, cutoffs + 1)]
-    asked = F.array(*[F.lit(x) for x in at])
+    high = F.array(*[F.lit(round(0.5 + 0.5 * i / cutoffs, 6)) for i in range(1, cutoffs + 1)])
+    even = F.array(*[F.lit(round(i / cutoffs, 6)) for i in range(cutoffs + 1)])
     grid = (rows.filter("half = 0").groupBy("stratum", "rule")
-            .agg(F.percentile_approx("value", asked, F.lit(10000)).alias("a"),
-                 F.percentile_approx(F.when(F.col("quality") == 0, F.col("value")), asked, F.lit(10000)).alias("b"))
+            .agg(F.percentile_approx("value", high, F.lit(10000)).alias("a"),
+                 F.percentile_approx(F.when(F.col("quality") == 0, F.col("value")), even, F.lit(10000)).alias("b"))
             .select("stratum", "rule", F.array_sort(F.array_distinct(F.concat(
                 "a", F.coalesce("b", F.array().cast("array<double>"))))).alias("grid")))
-    # How many proposals each good document of the second half exceeds: a count per stratum, rule and number.
-    tested = (rows.filter("half = 1 AND quality = 1").alias("t")
+    # How many proposals each good document of the second half, and each bad one of the first, exceeds: counts per number.
+    tested = (rows.filter("half = quality").alias("t")
               .join(grid.alias("g"), F.expr("t.stratum <=> g.stratum AND t.rule = g.rule"))
-              .select("t.stratum", "t.rule", "g.grid", F.expr("size(filter(g.grid, c -> t.value > c))").alias("over"))
-              .groupBy("stratum", "rule", "over").agg(F.count(F.lit(1)).alias("n"), F.first("grid").alias("grid")))
+              .select("t.stratum", "t.rule", "t.quality", "g.grid", F.expr("size(filter(g.grid, c -> t.value > c))").alias("over"))
+              .groupBy("stratum", "rule", "quality", "over").agg(F.count(F.lit(1)).alias("n"), F.first("grid").alias("grid")))
     tests = grid.count()
 
+    names = ["stratum", "rule", "cutoff", "n_good", "n_rejected", "tests"]
+
     def choose(pdf):
-        best, n = None, int(pdf["n"].sum())
-        grid = pdf["grid"].iloc[0]
+        grid, passed = pdf["grid"].iloc[0], []
+        good, bad = (pdf[pdf["quality"] == q] for q in (1, 0))
+        n = int(good["n"].sum())
         for i in range(len(grid) - 1, -1, -1):          # from the mildest cutoff on
-            rejected = int(pdf.loc[pdf["over"] > i, "n"].sum())
+            rejected = int(good.loc[good["over"] > i, "n"].sum())
             if binomial_tail(rejected, n, alpha) > delta / tests:
                 break
-            best = (grid[i], rejected)
-        if best is None:
-            return pd.DataFrame([], columns=["stratum", "rule", "cutoff", "n_good", "n_rejected", "tests"])
-        return pd.DataFrame([[pdf["stratum"].iloc[0], pdf["rule"].iloc[0], best[0], n, best[1], tests]],
-                            columns=["stratum", "rule", "cutoff", "n_good", "n_rejected", "tests"])
+            passed.append((grid[i], rejected, int(bad.loc[bad["over"] > i, "n"].sum())))
+        if not passed or not passed[-1][2]:
+            return pd.DataFrame([], columns=names)
+        cutoff, rejected, _ = next(x for x in passed if x[2] >= NEARLY * passed[-1][2])
+        return pd.DataFrame([[pdf["stratum"].iloc[0], pdf["rule"].iloc[0], cutoff, n, rejected, tests]], columns=names)
 
     return tested.groupBy("stratum", "rule").applyInPandas(
         choose, "stratum string, rule string, cutoff double, n_good long, n_rejected long, tests long")
