@@ -160,16 +160,22 @@ def open_observations(kb):
 
 
 BATCH = """batch AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tenant_id) AS n,
-  row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, obs_id) AS pos FROM kb_observations WHERE tier = 'semantic')
-  WHERE pos <= 200 AND n >= 8)"""
+  row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, obs_id) AS pos FROM kb_observations WHERE tier = '{tier}')
+  WHERE n >= {gate})"""
 
 
-@query("mem04_promotion_requests", "WITH " + BATCH + """
-SELECT tenant_id, string_agg(content, chr(10) ORDER BY pos) AS request FROM batch GROUP BY 1""")
+@query("mem04_promotion_requests", "WITH " + BATCH.format(tier="semantic", gate=8) + """
+SELECT tenant_id, CAST((pos - 1) // 200 AS BIGINT) AS batch_no, string_agg(content, chr(10) ORDER BY pos) AS request FROM batch GROUP BY 1, 2""")
 def _(kb):
     return mem.promotion_requests(mem.promotion_batch(open_observations(kb), "semantic"))
 
 
+@query("mem04_episodic_requests", "WITH " + BATCH.format(tier="episodic", gate=5) + """
+SELECT tenant_id, CAST((pos - 1) // 100 AS BIGINT) AS batch_no, string_agg(content, chr(10) ORDER BY pos) AS request FROM batch GROUP BY 1, 2""")
+def _(kb):
+    return mem.promotion_requests(mem.promotion_batch(open_observations(kb), "episodic"))
+
+
 def workflow_lines(kb):
     """Order flows as workflow lines; open orders have no step and must drop out."""
     o = kb.raw("orders")
@@ -184,7 +190,7 @@ def _(kb):
     return mem.workflows(workflow_lines(kb)).select("o_orderkey", "trigger", F.array_join("steps", "|").alias("steps"))
 
 
-@query("mem06_mark_promoted", "WITH " + BATCH + """,
+@query("mem06_mark_promoted", "WITH " + BATCH.format(tier="semantic", gate=8) + """,
 first AS (SELECT tenant_id, min(obs_id) AS product FROM kb_observations WHERE tier = 'episodic' GROUP BY 1)
 SELECT o.tenant_id, o.obs_id, CASE WHEN b.obs_id IS NOT NULL THEN f.product END AS promoted_to
 FROM kb_observations o LEFT JOIN batch b USING (tenant_id, obs_id) LEFT JOIN first f USING (tenant_id)""")
