@@ -112,6 +112,16 @@ def name_index(entities: DataFrame) -> DataFrame:
     return entities.groupBy("tenant_id", F.lower("name").alias("name_key")).agg(F.min("entity_id").alias("entity_id"))
 
 
+def parse_relations(answers: DataFrame) -> DataFrame:
+    """Relation mentions of model answers (tenant_id, response, span_ids): source, relation_type, target names
+    and the ids of the spans that an answer points to. Answers that are no JSON object give no rows.
+    """
+    rows = answers.withColumn("r", F.explode(rs.parse(F.col("response"), rs.RELATION_SCHEMA)["relations"]))
+    keep = [c for c in answers.columns if c not in ("response", "span_ids")]
+    return rows.select(*keep, "r.source", "r.relation_type", "r.target",
+                       rs.pick_spans(F.col("r.source_span_index"), F.col("span_ids")).alias("source_span_ids"))
+
+
 def relations_of(answers: DataFrame, entities: DataFrame) -> DataFrame:
     """Relation rows (tenant_id, source, relation_type, target names) with ids; unknown names
     and self edges dropped."""

@@ -504,6 +504,25 @@ def _(kb):
     return ext.join_batch(kb.chunks.select("tenant_id", key), results.unionByName(results))
 
 
+@query("ext07_relation_answers", """
+SELECT 't' || (l_partkey % 4) AS tenant_id, 'doc_' || l_partkey AS document_id, 'S' || l_suppkey AS source,
+       CASE WHEN l_linestatus = 'O' THEN 'owns' END AS relation_type, 'P' || l_partkey AS target,
+       'sp_' || l_partkey || '_' || (l_linenumber % 3) AS source_span_ids FROM lineitem WHERE l_partkey % 5 <> 0""")
+def _(kb):
+    p = F.col("l_partkey").cast("string")
+    one = F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"),
+                   F.when(F.col("l_linestatus") == "O", "owns").alias("relation_type"), F.concat(F.lit("P"), p).alias("target"),
+                   F.array((F.col("l_linenumber") % 3).cast("int"), F.lit(99), F.lit(-1)).alias("source_span_index"))
+    # One answer per part, fenced as models do; those of every fifth part are cut off.
+    answers = (kb.raw("lineitem").groupBy("l_partkey").agg(F.to_json(F.struct(F.collect_list(one).alias("relations"))).alias("j"))
+               .select(F.concat(F.lit("t"), (F.col("l_partkey") % 4).cast("string")).alias("tenant_id"),
+                       F.concat(F.lit("doc_"), p).alias("document_id"),
+                       F.when(F.col("l_partkey") % 5 == 0, F.expr("left(j, length(j) - 2)"))
+                        .otherwise(F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).alias("response"),
+                       F.array(*[F.concat(F.lit("sp_"), p, F.lit(f"_{i}")) for i in range(3)]).alias("span_ids")))
+    return ext.parse_relations(answers).withColumn("source_span_ids", F.array_join("source_span_ids", ","))
+
+
 @query("ext07_relations", """
 WITH i AS (SELECT tenant_id, lower(name) AS k, min(entity_id) AS id FROM kb_entities GROUP BY 1, 2),
 a AS (SELECT DISTINCT 't' || (l_partkey % 4) AS tenant_id, s_name, p_name, l_linestatus FROM lineitem
