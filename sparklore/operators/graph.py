@@ -178,19 +178,59 @@ def with_attributes(edges: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(spec_table(edges.sparkSession)), "relation_type", "left")
 
 
+CYCLE_KEY = ["tenant_id", "relation_type"]
+
+
 def cycle_nodes(edges: DataFrame, relation_types: list[str] | None = None, max_rounds: int = 200) -> DataFrame:
     """Nodes that lie on a directed cycle of one acyclic relation type.
 
+    Paths are shortened first: a node with one edge in and one out passes on what enters it, and pointer doubling
+    finds both ends of such a path in a logarithmic number of rounds. Rings of such nodes are cycles. What
+    remains is trimmed and split into strongly connected parts; a path lies on a cycle if
+    both its ends are in one part. Raises if ``max_rounds`` do not suffice; never returns a part of the result.
+    """
+    kinds = relation_types or ACYCLIC_TYPES
+    core = cut_lineage(edges.filter(F.col("relation_type").isin(kinds))
+                       .select("tenant_id", "relation_type", F.col("source_entity").alias("s"),
+                               F.col("target_entity").alias("t")).distinct())
+    key = CYCLE_KEY
+    into = core.groupBy(*key, F.col("t").alias("v")).agg(F.count(F.lit(1)).alias("n_in"), F.min("s").alias("up"))
+    out = core.groupBy(*key, F.col("s").alias("v")).agg(F.count(F.lit(1)).alias("n_out"), F.min("t").alias("down"))
+    passing = cut_lineage(into.join(out, [*key, "v"]).filter("n_in = 1 AND n_out = 1 AND up <> v")
+                          .select(*key, "v", "up", "down"))
+    rounds = max(1, passing.count()).bit_length() + 1
+    for _ in range(rounds):      # after these rounds only rings still point at passing nodes
+        ends = passing.select(*key, F.col("v").alias("x"), F.col("up").alias("x_up"), F.col("down").alias("x_down"))
+        further_up = ends.select(*key, F.col("x").alias("up"), "x_up")
+        further_down = ends.select(*key, F.col("x").alias("down"), "x_down")
+        passing = cut_lineage(passing.join(further_up, [*key, "up"], "left").join(further_down, [*key, "down"], "left")
+                              .select(*key, "v", F.coalesce("x_up", "up").alias("up"), F.coalesce("x_down", "down").alias("down")))
+    names = passing.select(*key, F.col("v").alias("down"))
+    rings = passing.join(names, [*key, "down"], "left_semi").select(*key, "v")
+    paths = passing.join(names, [*key, "down"], "left_anti")
+    inner = passing.select(*key, "v")
+    direct = (core.join(inner.withColumnRenamed("v", "s"), [*key, "s"], "left_anti")
+              .join(inner.withColumnRenamed("v", "t"), [*key, "t"], "left_anti").select(*key, "s", "t"))
+    short = direct.unionByName(paths.select(*key, F.col("up").alias("s"), F.col("down").alias("t"))).distinct()
+    parts = _cycle_parts(short, max_rounds)
+    found = rings.select(*key, F.col("v").alias("entity_id"))
+    if parts is not None:
+        ends = [parts.select(*key, F.col("node").alias(end), F.col("label").alias(f"{end}_part")) for end in ("up", "down")]
+        on = (paths.join(ends[0], [*key, "up"]).join(ends[1], [*key, "down"]).filter("up_part = down_part")
+              .select(*key, F.col("v").alias("entity_id")))
+        found = found.unionByName(parts.select(*key, F.col("node").alias("entity_id"))).unionByName(on)
+    return found.distinct()
+
+
+def _cycle_parts(core: DataFrame, max_rounds: int) -> DataFrame | None:
+    """Nodes on cycles with a label of their strongly connected part; None if there are none.
+
     First trim, round by round, every edge whose source nobody enters or whose target nobody
     leaves. What remains are cycles and the paths between them; there a node is on a cycle
     if its strongly connected part has two nodes or it has a self loop. Parts are found by
     spreading the smallest label forward and backward, one label pair per round.
     """
-    kinds = relation_types or ACYCLIC_TYPES
-    core = (edges.filter(F.col("relation_type").isin(kinds))
-            .select("tenant_id", "relation_type", F.col("source_entity").alias("s"),
-                    F.col("target_entity").alias("t")).distinct())
-    key = ["tenant_id", "relation_type"]
+    key = CYCLE_KEY
 
     def trim(e):
         size, rounds = -1, 0
@@ -229,8 +269,8 @@ def cycle_nodes(edges: DataFrame, relation_types: list[str] | None = None, max_r
         part = both.filter("f = b").select(*key, "node", F.col("f").alias("label"))
         sizes = part.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n"))
         loops = core.filter("s = t").select(*key, F.col("s").alias("node")).distinct()
-        hit = part.join(sizes.filter("n > 1"), [*key, "label"], "left_semi").select(*key, "node").unionByName(
-            part.select(*key, "node").join(loops, [*key, "node"], "left_semi")).distinct()
+        hit = part.join(sizes.filter("n > 1"), [*key, "label"], "left_semi").select(*key, "node", "label").unionByName(
+            part.select(*key, "node", "label").join(loops, [*key, "node"], "left_semi")).distinct()
         found = hit if found is None else found.unionByName(hit)
         found = cut_lineage(found)
         done = part.select(*key, F.col("node"))
@@ -239,6 +279,4 @@ def cycle_nodes(edges: DataFrame, relation_types: list[str] | None = None, max_r
         core = trim(core)
     else:
         raise RuntimeError("cycles did not settle; raise max_rounds")
-    if found is None:
-        return core.select(*key, F.col("s").alias("entity_id"))
-    return found.distinct().withColumnRenamed("node", "entity_id")
+    return found

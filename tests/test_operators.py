@@ -152,3 +152,14 @@ def test_repeated_patches_and_actions_add_no_rows(spark):
     a = p.withColumn("action", F.when(F.col("seq") == 2, "confirm").otherwise("reject"))
     after = {r.fact_id: (r.provenance, r.stale) for r in fct.apply_review(f, a, 9.0)[0].collect()}
     assert after == {"f1": ("extracted", False), "f2": ("inferred", True)}
+
+
+def test_cycles_beside_a_long_chain(spark):
+    kind = graph.ACYCLIC_TYPES[0]
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(300)]
+    ring = [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)]
+    rows = chain + ring + [("n100", "x1"), ("x1", "x2"), ("x2", "n090"), ("r5", "n000"), ("l", "l"), ("n300", "l"), ("p", "q"), ("q", "p"), ("p", "q2"), ("q2", "q3"), ("q3", "p")]
+    e = spark.createDataFrame([("t", kind, a, b) for a, b in rows], "tenant_id string, relation_type string, source_entity string, target_entity string")
+    want = {f"r{i}" for i in range(40)} | {f"n{i:03}" for i in range(90, 101)} | {"x1", "x2", "l", "p", "q", "q2", "q3"}
+    got = [r.entity_id for r in graph.cycle_nodes(e, [kind], max_rounds=12).collect()]
+    assert sorted(got) == sorted(want)
