@@ -21,15 +21,28 @@ def as_documents(kb):
     return kb.documents.select("tenant_id", "document_id", "content")
 
 
-@query("src01_read_corpus", "SELECT document_id, content FROM kb_documents")
+@query("src01_read_corpus", """
+SELECT 't' || (item_id % 4) AS tenant_id, CAST(item_id AS VARCHAR) AS item, text || chr(10) AS content FROM benchmark""")
 def _(kb):
-    return kb.documents.select("document_id", "content")
+    # One file per item, of equal names in folders of tenants and items.
+    root = corpus.run_folder(kb.spark, "corpus")
+    i = F.col("item_id")
+    (kb.raw("benchmark").select(F.concat(F.lit("t"), (i % 4).cast("string")).alias("tenant"), i.alias("item"), "text")
+     .repartition("tenant").write.partitionBy("tenant", "item").text(root))
+    return corpus.read_text_corpus(kb.spark, root).select(
+        F.regexp_extract("tenant_id", "^tenant=(.*)$", 1).alias("tenant_id"),
+        F.regexp_extract("document_id", "^item=([0-9]+)/", 1).alias("item"), "content")
+
+
+@query("src01_documents", "SELECT tenant_id, document_id, content FROM kb_documents")
+def _(kb):
+    return kb.documents.select("tenant_id", "document_id", "content")
 
 
 @query("src02_plan_shards", """
-SELECT document_id, CAST(s // 4 AS BIGINT) AS shard, CAST(greatest(0, CASE WHEN s > 0 THEN s - 1 ELSE s END) AS BIGINT) AS page_start,
+SELECT tenant_id, document_id, CAST(s // 4 AS BIGINT) AS shard, CAST(greatest(0, CASE WHEN s > 0 THEN s - 1 ELSE s END) AS BIGINT) AS page_start,
        CAST(least(s + 4, page_count) AS BIGINT) AS page_end
-FROM (SELECT document_id, page_count, unnest(range(0, page_count, 4)) AS s FROM kb_documents)""")
+FROM (SELECT tenant_id, document_id, page_count, unnest(range(0, page_count, 4)) AS s FROM kb_documents)""")
 def _(kb):
     return corpus.plan_shards(kb.documents, size=4, overlap=1)
 

@@ -18,20 +18,28 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_text_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per text or markdown file: document id from the file name, whole text."""
-    return (spark.read.text(paths, wholetext=True)
-            .select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("document_id"),
+def read_text_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """One row per text or markdown file below ``root``: tenant_id (the first folder), document_id, content (whole text).
+
+    The document id is the path below the tenant's folder without the ending, so files of equal name in two folders
+    stay apart.
+    """
+    name = root.rstrip("/").rsplit("/", 1)[-1]
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    inner = F.substring_index(path, f"/{name}/", -1)
+    return (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+            .select(F.substring_index(inner, "/", 1).alias("tenant_id"),
+                    F.regexp_extract(inner, r"^[^/]*/(.*?)(\.[^./]*)?$", 1).alias("document_id"),
                     F.col("value").alias("content")))
 
 
 def plan_shards(documents: DataFrame, size: int = 40, overlap: int = 1) -> DataFrame:
     """Page ranges of ``size`` pages, each but the first reaching back ``overlap`` pages."""
     starts = documents.filter("page_count > 0").select(
-        "document_id", "page_count",
+        "tenant_id", "document_id", "page_count",
         F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("page_count") - 1, F.lit(size).cast("long"))).alias("shard", "s"))
     return starts.select(
-        "document_id", F.col("shard").cast("long").alias("shard"),
+        "tenant_id", "document_id", F.col("shard").cast("long").alias("shard"),
         F.greatest(F.lit(0), F.col("s") - F.when(F.col("s") > 0, overlap).otherwise(0)).alias("page_start"),
         F.least(F.col("s") + size, F.col("page_count")).alias("page_end"))
 
