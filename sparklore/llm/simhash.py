@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparklore.llm.common import stored, texts_of, with_arrow
+from sparklore.llm.common import spread, stored, texts_of, with_arrow
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Members of one half beyond which its pairs are not written out but met in the middle.
@@ -104,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
 def links(nodes: DataFrame) -> DataFrame:
     """fp, root: the component of each distinct fingerprint of ``nodes`` (fp: long, stored)."""
     one = _masks([(), *((i,) for i in range(64))])
-    variants = nodes.select("fp", F.explode(F.transform(one, lambda m: F.col("fp").bitwiseXOR(m))).alias("z"))
+    variants = spread(nodes, "fp").select("fp", F.explode(F.transform(one, lambda m: F.col("fp").bitwiseXOR(m))).alias("z"))
     stars = (variants.groupBy("z").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
              .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b"))
     near = components(stars)
@@ -117,7 +117,7 @@ def links(nodes: DataFrame) -> DataFrame:
     exact = placed.select("fp", "root", F.explode(halves).alias("h")).select("fp", "root", "h.side", "h.v")
     low = _masks([(), *((i,) for i in range(32))])
     known = (exact.groupBy("side", "v").agg(F.min("root").alias("least"), F.max("root").alias("most")))
-    met = stored(exact.select("fp", "root", "side", F.explode(F.transform(low, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+    met = stored(spread(exact, "fp").select("fp", "root", "side", F.explode(F.transform(low, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
                  .join(known, ["side", "v"]).filter("root <> least OR root <> most").select("side", "v", "fp", "root"))
     crowd = met.groupBy("side", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("side", "v")
     crowd = stored(crowd)
@@ -136,7 +136,7 @@ def links(nodes: DataFrame) -> DataFrame:
     def emitted(rows: DataFrame, masks: Column) -> DataFrame:
         return (rows.select("root", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("z")).distinct())
 
-    crowded = stored(crowded)
+    crowded = spread(stored(crowded), "fp")
     middle = (emitted(crowded.filter(odd), two).withColumnRenamed("root", "a")
               .join(emitted(crowded.filter(~odd), single).withColumnRenamed("root", "b"), "z").filter("a <> b").select("a", "b"))
     merged = components(edges.union(middle)).withColumnRenamed("root", "whole")
