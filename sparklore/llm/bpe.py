@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from sparklore.llm.common import of_worker, texts_of, with_arrow
 
-KEPT = 200_000
+KEPT = 100_000
 #: The same for pre-tokens.
-KEPT_PRE_TOKENS = 800_000
+KEPT_PRE_TOKENS = 250_000
+#: The same for pairs of tokens known to be compatible or not.
+KEPT_PAIRS = 250_000
 #: Pieces longer than this are not kept in the table of known pieces.
 KEPT_LENGTH = 64
 
@@ -165,7 +167,7 @@ class Vocabulary:
 
     def _pair(self, a: int, b: int) -> bool:
         """``compatible`` for ids, entered in the table of pairs."""
-        if len(self._compatible) > 1_000_000:
+        if len(self._compatible) > KEPT_PAIRS:
             self._compatible.clear()
         known = self._compatible[a << 32 | b] = self.compatible(self._token[a], self._token[b])
         return known
@@ -297,14 +299,14 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.pre_tokens = Known(lambda p: vocabulary.encode_pre_token(p.encode().decode("latin-1")), KEPT_PRE_TOKENS)
+        # Packed: a few bytes per entry instead of a list of numbers.
+        self.pre_tokens = Known(lambda p: array("i", vocabulary.encode_pre_token(p.encode().decode("latin-1"))).tobytes(),
+                                KEPT_PRE_TOKENS)
         self.known = Known(self._make, KEPT)
 
     def _make(self, piece: str) -> tuple[str, bytes]:
-        ids = []
-        for p in self.v.pre_tokens(piece):
-            ids += self.pre_tokens[p]
-        return ",".join(map(str, ids)), array("i", ids).tobytes()
+        packed = b"".join(map(self.pre_tokens.__getitem__, self.v.pre_tokens(piece)))
+        return ",".join(map(str, array("i", packed))), packed
 
     def encode(self, text: str) -> tuple[str, np.ndarray]:
         """Decimal ids joined by commas, and the ids."""
@@ -345,22 +347,28 @@ def _shipped(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text`` in a new column ``ids`` (array of int).
 
     Null counts as the empty text, which has no ids. Strings of special tokens inside a text become
-    their ids. A column of ``docs`` with the name ``ids`` is replaced. Rows are never merged or dropped.
+    their ids. ``check`` names one more column: does decoding the ids in the same task give the text back? Columns of
+    ``docs`` with these names are replaced. Rows are never merged or dropped.
     """
     source = _shipped(docs, tokenizer)
 
     def run(batch: pa.RecordBatch) -> dict:
         encoder = _worker(Encoder, source.value)
-        rows = [encoder.encode(t)[1] for t in texts_of(batch.column(0))]
+        texts = texts_of(batch.column(0))
+        rows = [encoder.encode(t)[1] for t in texts]
         ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
         flat = pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]))
-        return {ids: pa.ListArray.from_arrays(pa.array(ends), flat)}
+        made = {ids: pa.ListArray.from_arrays(pa.array(ends), flat)}
+        if check:
+            made[check] = pa.array([encoder.v.decode(r) == t.encode() for r, t in zip(rows, texts)], pa.bool_())
+        return made
 
-    return with_arrow(docs, run, {ids: "array<int>"}, [text], [c for c in docs.columns if c != ids])
+    new = {ids: "array<int>"} | ({check: "boolean"} if check else {})
+    return with_arrow(docs, run, new, [text], [c for c in docs.columns if c not in new])
 
 
 def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast up to this many rows, each of a few numbers and short strings; beyond it the join shuffles.
 BROADCAST_ROWS = 10_000
 
+#: Rows of an Arrow batch that a task works on at once.
+SLICE = 1_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +40,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """``df`` dealt by a column to all shuffle partitions; for narrow rows that are exploded many times next.
+
+    The number is stated, so that the optimizer does not join partitions that are small before the explosion.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if ``df`` (narrow rows, already stored) has at most ``rows`` rows, else ``df``."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -58,11 +69,13 @@ def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: dict[st
     schema, names = probe.schema, [f"n{i}" for i in range(len(new))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = fn(batch.select(range(n, batch.num_columns)))
-            cols = [batch.column(i) for i in range(n)] + [
-                x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()]
-            yield pa.RecordBatch.from_arrays(cols, names=[f"k{i}" for i in range(n)] + names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):      # bounds what a task holds at once
+                batch = whole.slice(at, SLICE)
+                made = fn(batch.select(range(n, batch.num_columns)))
+                cols = [batch.column(i) for i in range(n)] + [
+                    x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()]
+                yield pa.RecordBatch.from_arrays(cols, names=[f"k{i}" for i in range(n)] + names)
 
     out = inner.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
