@@ -95,8 +95,9 @@ SELECT page_id, host, len(list_filter(ls, lambda x: trim(x, ' ' || chr(9) || chr
 FROM done
 """)
 def op8(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"),
-                                                 lines.html_lines(F.col("html")).alias("text"))
+    # Read twice, so pages are turned into lines once.
+    pages = stored(table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"),
+                                                        lines.html_lines(F.col("html")).alias("text")))
     return lines.drop_boilerplate(pages, keep=["page_id", "host"]).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
