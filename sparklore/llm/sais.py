@@ -1,8 +1,7 @@
 """Suffix arrays by induced sorting, and permuted common prefixes. Plain arrays, no Spark.
 
 ``suffix_array`` classifies suffixes, sorts the leftmost-smaller substrings by inducing, names them, sorts
-the string of names by recursion, and induces the whole array from that order. With a small alphabet a bucket is induced in
-array operations, wave by wave; with a large one (the names of the recursion) suffix by suffix.
+the string of names by recursion, and induces the whole array from that order, in array operations over blocks of buckets.
 """
 
 from __future__ import annotations
@@ -32,10 +31,10 @@ def _sorted_suffixes(t: np.ndarray, sigma: int) -> np.ndarray:
     small = np.ones(n, bool)
     small[:-1] = step[np.minimum(following, n - 2)] > 0
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    induce = _induce_waves if sigma * 64 < n else _induce_one_by_one
+    inducer = _Inducer(t, small, sigma)
+    first = inducer.induce(lms)
     if len(lms) == 0:
-        return induce(t, small, sigma, lms)
-    first = induce(t, small, sigma, lms)
+        return first
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ranked = first[is_lms[first]]
@@ -49,7 +48,7 @@ def _sorted_suffixes(t: np.ndarray, sigma: int) -> np.ndarray:
         order[names] = np.arange(count)
     else:
         order = _sorted_suffixes(names, count)
-    return induce(t, small, sigma, lms[order])
+    return inducer.induce(lms[order])
 
 
 def _equal_neighbours(t: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -72,75 +71,112 @@ def _equal_neighbours(t: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.
     return equal
 
 
-def _induce_waves(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
-    n = len(t)
-    counts = np.bincount(t, minlength=sigma)
-    ends = np.cumsum(counts)
-    heads = ends - counts
-    narrow = np.uint16 if sigma <= 1 << 16 else np.int64
-    tn = t.astype(narrow)
-    sa = np.full(n, -1, np.int64)
-    large_before = np.zeros(n, bool)            # is the suffix before this one larger (L)?
-    large_before[1:] = ~small[:-1]
-    small_before = np.zeros(n, bool)
-    small_before[1:] = small[:-1]
-    of_lms = np.bincount(t[lms], minlength=sigma)
-    order = lms[np.argsort(tn[lms], kind="stable")]
-    chars = t[order]
-    sa[ends[chars] - of_lms[chars] + _place_in_run(chars)] = order
-
-    filled = heads.copy()
-
-    def append(found: np.ndarray) -> None:
-        chars = tn[found]
-        order = np.argsort(chars, kind="stable")
-        chars = chars[order].astype(np.int64)
-        sa[filled[chars] + _place_in_run(chars)] = found[order]
-        filled[:] += np.bincount(chars, minlength=sigma)
-
-    for c in range(sigma):
-        if not counts[c]:
-            continue
-        done = heads[c]
-        while done < filled[c]:
-            wave, done = sa[done:filled[c]], filled[c]
-            found = wave[large_before[wave]] - 1
-            if len(found):
-                append(found)
-        if of_lms[c]:
-            wave = sa[ends[c] - of_lms[c]:ends[c]]
-            found = wave[large_before[wave]] - 1
-            if len(found):
-                append(found)
-    large_end = filled                          # the larger suffixes of a bucket end here
-    for c in np.flatnonzero(of_lms):
-        sa[ends[c] - of_lms[c]:ends[c]] = -1
-    filled = ends.copy()                        # from here on filled from the right
-
-    def prepend(found: np.ndarray) -> None:
-        chars = tn[found]
-        order = np.argsort(chars, kind="stable")
-        chars = chars[order].astype(np.int64)
-        sa[filled[chars] - 1 - _place_in_run(chars)] = found[order]
-        filled[:] -= np.bincount(chars, minlength=sigma)
-
-    sa[0] = n - 1
-    for c in range(sigma - 1, -1, -1):
-        if not counts[c]:
-            continue
-        if c == 0:
-            break
-        done = ends[c]
-        while done > filled[c]:
-            wave, done = sa[filled[c]:done][::-1], filled[c]
-            found = wave[small_before[wave]] - 1
-            if len(found):
-                prepend(found)
-        wave = sa[heads[c]:large_end[c]][::-1]
-        found = wave[small_before[wave]] - 1
-        if len(found):
-            prepend(found)
-    return sa
+class _Inducer:
+    """Induces all suffixes of a string from an order of its leftmost-smaller ones.
+
+    Buckets are gone through in order. Neighbouring buckets are taken together as long as nothing that they induce falls
+    into one of them; a bucket that induces into itself (runs of one character) is taken in waves. So the
+    steps are few for small and large alphabets.
+    """
+
+    def __init__(self, t: np.ndarray, small: np.ndarray, sigma: int):
+        self.t, self.n = t, len(t)
+        counts = np.bincount(t, minlength=sigma)
+        self.count = np.arange(self.n)
+        self.ends = np.cumsum(counts)
+        self.heads = self.ends - counts
+        self.sort_as = t.astype(np.uint16) if sigma <= 1 << 16 else t     # 16 bits sort in linear time
+        self.large_before = np.zeros(self.n, bool)                        # is the suffix before this one larger (L)?
+        self.large_before[1:] = ~small[:-1]
+        self.small_before = np.zeros(self.n, bool)
+        self.small_before[1:] = small[:-1]
+        # The nearest bucket that each bucket induces into, upwards and downwards.
+        up, down = np.full(sigma, sigma), np.full(sigma, -1)
+        i = np.flatnonzero(self.large_before)
+        np.minimum.at(up, t[i], t[i - 1])
+        i = np.flatnonzero(self.small_before)
+        np.maximum.at(down, t[i], t[i - 1])
+        self.upwards = self._blocks(up.tolist())
+        mirrored = self._blocks([sigma - 1 - x for x in reversed(down.tolist())])
+        self.downwards = [(sigma - 1 - b, sigma - 1 - a) for a, b in mirrored]
+
+    @staticmethod
+    def _blocks(nearest: list[int]) -> list[tuple[int, int]]:
+        """First and last bucket of each block."""
+        out, first, bound = [], 0, len(nearest)
+        for c, x in enumerate(nearest):
+            if c > first and min(bound, x) <= c or c > first and nearest[first] == first:
+                out.append((first, c - 1))
+                first, bound = c, len(nearest)
+            bound = min(bound, x)
+        out.append((first, len(nearest) - 1))
+        return out
+
+    def _place(self, sa: np.ndarray, filled: np.ndarray, found: np.ndarray, step: int) -> None:
+        """Put suffixes into their buckets, in order, where these are filled to."""
+        found = found[self.sort_as[found].argsort(kind="stable")]
+        chars, n = self.t[found], len(found)
+        first = np.empty(n, bool)
+        first[0] = True
+        np.not_equal(chars[1:], chars[:-1], out=first[1:])
+        change = first.nonzero()[0]
+        sizes = np.empty(len(change), np.int64)
+        np.subtract(change[1:], change[:-1], out=sizes[:-1])
+        sizes[-1] = n - change[-1]
+        heads = chars[change]
+        if step > 0:
+            sa[(filled[heads] - change).repeat(sizes) + self.count[:n]] = found
+            filled[heads] += sizes
+        else:
+            sa[(filled[heads] - 1 + change).repeat(sizes) - self.count[:n]] = found
+            filled[heads] -= sizes
+
+    def induce(self, lms: np.ndarray) -> np.ndarray:
+        t, heads, ends = self.t, self.heads, self.ends
+        sa = np.full(self.n, -1, np.int64)
+        order = lms[np.argsort(self.sort_as[lms], kind="stable")]
+        of_lms = np.bincount(t[lms], minlength=len(heads))
+        chars = t[order]
+        tails = ends[chars] - of_lms[chars] + _place_in_run(chars)
+        sa[tails] = order
+
+        filled = heads.copy()
+        for a, b in self.upwards:
+            if a == b:
+                done = heads[a]
+                while done < filled[a]:         # waves, while the bucket induces into itself
+                    wave, done = sa[done:filled[a]], filled[a]
+                    wave = wave[self.large_before[wave]]
+                    if len(wave):
+                        self._place(sa, filled, wave - 1, 1)
+                wave = sa[ends[a] - of_lms[a]:ends[a]]
+            else:
+                wave = sa[heads[a]:ends[b]]
+                wave = wave[wave >= 0]
+            wave = wave[self.large_before[wave]]
+            if len(wave):
+                self._place(sa, filled, wave - 1, 1)
+        large_end = filled                      # the larger suffixes of a bucket end here
+        sa[tails] = -1
+
+        filled = ends.copy()                    # from here on filled from the right
+        for a, b in self.downwards:
+            if a == b:
+                done = ends[a]
+                while done > filled[a]:
+                    wave, done = sa[filled[a]:done][::-1], filled[a]
+                    wave = wave[self.small_before[wave]]
+                    if len(wave):
+                        self._place(sa, filled, wave - 1, -1)
+                wave = sa[heads[a]:large_end[a]][::-1]
+            else:
+                wave = sa[heads[a]:ends[b]][::-1]
+                wave = wave[wave >= 0]
+            wave = wave[self.small_before[wave]]
+            if len(wave):
+                self._place(sa, filled, wave - 1, -1)
+        sa[0] = self.n - 1
+        return sa
 
 
 def _place_in_run(chars: np.ndarray) -> np.ndarray:
@@ -152,34 +188,6 @@ def _place_in_run(chars: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.maximum.accumulate(start)
 
 
-def _induce_one_by_one(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
-    counts = np.bincount(t, minlength=sigma)
-    ends = np.cumsum(counts)
-    chars, is_small, n = t.tolist(), small.tolist(), len(t)
-    sa = [-1] * n
-    tail = ends.tolist()
-    for i in reversed(lms.tolist()):
-        c = chars[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    head = (ends - counts).tolist()
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not is_small[j]:
-            c = chars[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and is_small[j]:
-            c = chars[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
-
-
 def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each position in text order: its common prefix with the suffix before it in ``sa``, and that suffix.
 
