@@ -171,7 +171,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 
     Of rows equal in id and text one stays.
     """
-    rows = grouped(docs, text, doc_id, words)
+    return one_of_each(docs, grouped(docs, text, doc_id, words), text, doc_id)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, one of each root of ``rows`` (doc_id, text_hash, root), as ``keep_one`` chooses it."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m")
     stay = stored(rows.groupBy("root").agg(best).select(F.col("m.doc_id").alias("stay_id"),
                                                         F.col("m.text_hash").alias("stay_hash")))
