@@ -137,6 +137,6 @@ def op5(spark, sf_dir):
 @query("op4_secret_scan")
 def op4(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "pos", F.concat(F.substring("value", 1, 4), F.lit("...")).alias("starts"),
+    return found.select("doc_id", "pos", "run", F.concat(F.substring("value", 1, 4), F.lit("...")).alias("starts"),
                         F.sha2("value", 256).alias("value_sha256"), "name", "path", "length", "changes", "surprise", "known",
                         "score", "is_secret")

@@ -1,6 +1,6 @@
 """Secret scans: a random forest removes false positives (op 4). DataFrame operations only.
 
-Candidates are runs of 12 or more key-like characters with a digit among them. Their features: length, kinds of characters and
+Candidates are runs of 12 or more key-like characters, all of each word. Their features: length, kinds of characters and
 how often the kind changes, how unlikely the transitions of characters are beside those of the corpus' words, which share of
 the candidate known words cover, and, hashed, its path, its assignment name and the neighbouring words. The forest is trained
 here on labelled findings; at most ``TRAIN_ROWS`` of them, those with the smallest hashes.
@@ -22,34 +22,40 @@ TREES, DEPTH, HASHED = 24, 8, 128
 #: A word is known if this many documents hold it.
 KNOWN_DOCUMENTS = 3
 THRESHOLD = 0.5
-_RUN = r"""(?:^|[=:"'(\[<,;])([A-Za-z0-9+/_.\-]{12,}={0,2})"""
-_NAME = r"""^["'(\[<]*([A-Za-z_][A-Za-z0-9_.\-]*)["']?[=:]"""
+#: A name as the left side of an assignment: digits only in short groups at the end of a part, so no key looks like one.
+_NAME = r"[A-Za-z_](?:[A-Za-z_.\-]|[0-9]{1,3}(?=[_.\-\"'=:]))*"
+#: Groups 1 and 2: the name that the run is assigned to, if any, and the run. A name that = or : follows is no run; one or two = are
+#: padding only where the value ends.
+_RUN = (r"(?<![A-Za-z0-9+/_.\-À-ɏ])(?:(" + _NAME + r"|[A-Za-z_][A-Za-z0-9_.\-]{0,10})[\"']?[=:]+>?[\"'(\[<{]*)?"
+        r"(?!" + _NAME + r"[\"']?(?::|=(?!=|\z)))(?!(?=[^=]*_)" + _NAME + r"=\z)"
+        r"([A-Za-z0-9+/_.\-]{12,}+(?:={1,2}(?![^\"',;)\]}>&]))?)")
 NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private_?key|credential)s?"
 SCALARS = ["length", "digits", "uppers", "distinct_chars", "changes", "surprise", "known", "hex"]
 HASHED_COLUMNS = ["path", "name", "before2", "before", "after"]
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, pos (number of the word, from 0), value, name, path, before2, before, after: one row per candidate.
+    """doc_id, pos (number of the word, from 0), run, value, name, path, before2, before, after: one row per candidate.
 
-    Null and empty texts have none. ``name`` is what the value is assigned to inside its word; neighbours are words in lower
-    case, "" at the ends of a text. Rows that are repeated have repeated candidates. Only documents with a digit are cut into words.
+    Null and empty texts have none. A word has as many candidates as it has values; ``run`` numbers them from 0. ``name`` is what the
+    value is assigned to inside its word; neighbours are words in lower case, "" at the ends of a text. Rows that are repeated
+    have repeated candidates. Whether a digit is among the characters is left to the forest.
     """
-    cut = (docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), F.col(text).alias("text"))
-           .filter(F.col("text").rlike("[0-9]")).select("doc_id", "path", F.split("text", r"[\x20\x09-\x0D]+", -1).alias("ws")))
-    found = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))),
-                     lambda x: (F.length(x["word"]) >= 12) & x["word"].rlike("[0-9]"))
+    cut = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), F.split(F.col(text), r"[\x20\x09-\x0D]+", -1).alias("ws"))
+    found = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.length(x["word"]) >= 12)
 
     def word(i: Column) -> Column:
         return F.when((i >= 0) & (i < F.size("ws")), F.lower(F.element_at("ws", i + 1))).otherwise("")
 
     p = F.col("f.pos")
     # The neighbours are picked before the words of the document are dropped.
-    rows = cut.select("doc_id", "path", "ws", F.explode(found).alias("f"))
-    return (rows.select("doc_id", p.cast("long").alias("pos"), F.regexp_extract("f.word", _RUN, 1).alias("value"),
-                        F.lower(F.regexp_extract("f.word", _NAME, 1)).alias("name"), F.coalesce("path", F.lit("")).alias("path"),
-                        word(p - 2).alias("before2"), word(p - 1).alias("before"), word(p + 1).alias("after"))
-            .filter(F.col("value").rlike("[0-9]")))
+    rows = (cut.select("doc_id", "path", "ws", F.explode(found).alias("f"))
+            .select("doc_id", p.cast("long").alias("pos"), F.coalesce("path", F.lit("")).alias("path"), word(p - 2).alias("before2"),
+                    word(p - 1).alias("before"), word(p + 1).alias("after"),
+                    *[F.regexp_extract_all("f.word", F.lit(_RUN), F.lit(g)).alias(c) for g, c in ((1, "names"), (2, "values"))]))
+    return (rows.select("*", F.posexplode(F.arrays_zip("names", "values")).alias("run", "r"))
+            .select("doc_id", "pos", F.col("run").cast("long").alias("run"), F.col("r.values").alias("value"),
+                    F.lower("r.names").alias("name"), "path", "before2", "before", "after"))
 
 
 def words_known(docs: DataFrame, text: str = "text", least: int = KNOWN_DOCUMENTS) -> DataFrame:
@@ -105,13 +111,13 @@ def labelled(found: DataFrame) -> DataFrame:
     """``found`` with ``secret``: 1 for findings of a certain format, 0 for certain non-secrets, else null.
 
     Certain secrets: access keys with a fixed prefix and length, and mixed digits and letters without words that are assigned to a
-    password-like name. Certain non-secrets: numbers, addresses, versions, file names and words with a number.
+    password-like name. Certain non-secrets: numbers, addresses, versions, file names and words with a number, unless assigned to such a name.
     """
     v = F.col("value")
     named = F.col("name").rlike(NAMES) | (F.col("before").isin("=", ":") & F.col("before2").rlike(NAMES))
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(r"^[A-Za-z]+[0-9]{0,4}$")
     return found.withColumn("secret", F.when(v.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$") | (named & mixed), 1.0)
-                            .when(v.rlike(r"^[0-9+/_.\-]+$|^[A-Za-z]+[0-9]{0,4}$|^[a-z]+(?:[._/-][a-z0-9]+)+$"), 0.0))
+                            .when(~named & v.rlike(r"^[0-9+/_.\-]+$|^[A-Za-z]+[0-9]{0,4}$|^[a-z]+(?:[._/-][a-z0-9]+)+$"), 0.0))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -126,9 +132,9 @@ def classify(found: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     ``labels``: rows like those of ``found`` with ``secret`` 1 or 0; null labels are left out, the ``train_rows`` with the
     smallest hashes are used. With labels of one class, or none, there is nothing to tell apart: the score is that class, or 0.
     """
-    h = F.xxhash64(F.lit(seed), "value", "pos", "doc_id")
+    h = F.xxhash64(F.lit(seed), "value", "pos", "run", "doc_id")
     # The 20,000 smallest of partial sorts: a bounded training table.
-    train = stored(labels.filter("secret IS NOT NULL").withColumn("h", h).orderBy("h", "value", "pos", "doc_id").limit(train_rows).drop("h"))
+    train = stored(labels.filter("secret IS NOT NULL").withColumn("h", h).orderBy("h", "value", "pos", "run", "doc_id").limit(train_rows).drop("h"))
     seen = train.agg(F.count(F.lit(1)).alias("n"), F.sum("secret").alias("s")).first()
     if not seen["n"] or seen["s"] in (0, seen["n"]):
         scored = found.withColumn("score", F.lit(1.0 if seen["n"] and seen["s"] else 0.0))
@@ -141,14 +147,15 @@ def classify(found: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 
 def scan(docs: DataFrame, text: str = "text", path: str = "source", doc_id: str = "doc_id", labels: DataFrame | None = None) -> DataFrame:
-    """Findings of ``docs``: doc_id, pos, value, name, path, neighbours, features, score, is_secret.
+    """Findings of ``docs``: doc_id, pos, run, value, name, path, neighbours, features, score, is_secret.
 
-    ``labels``: doc_id, pos, secret of known findings (a null ``secret`` is left out; of contradicting labels the larger counts);
+    ``labels``: doc_id, pos, secret of known findings, and run if a label is meant for one run of a word only (a null ``secret`` is left out; of contradicting labels the larger counts);
     if None, the findings of certain format label themselves (``labelled``). Columns of ``docs`` beyond those named play no part.
     """
     known = words_known(docs, text)
     found = stored(with_features(stored(candidates(docs, text, path, doc_id)), known, transitions(known)))
     if labels is None:
         return classify(found, labelled(found))
-    said = labels.groupBy(F.col("doc_id").alias("l_doc"), F.col("pos").alias("l_pos")).agg(F.max("secret").cast("double").alias("secret"))
-    return classify(found, found.join(said, (F.col("doc_id") == F.col("l_doc")) & (F.col("pos") == F.col("l_pos"))).drop("l_doc", "l_pos"))
+    keys = [c for c in ("doc_id", "pos", "run") if c in labels.columns]
+    said = labels.groupBy(*[F.col(c).alias(f"l_{c}") for c in keys]).agg(F.max("secret").cast("double").alias("secret"))
+    return classify(found, found.join(said, [F.col(c) == F.col(f"l_{c}") for c in keys]).drop(*[f"l_{c}" for c in keys]))
