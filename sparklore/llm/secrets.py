@@ -3,7 +3,7 @@
 Candidates are runs of 12 or more key-like characters, all of each word. Their features: length, kinds of characters and
 how often the kind changes, how unlikely the transitions of characters are beside those of the corpus' words, which share of
 the candidate known words cover, and, hashed, its path, its assignment name and the neighbouring words. The forest is trained
-here on labelled findings; at most ``TRAIN_ROWS`` of them, those with the smallest hashes.
+here on labelled findings; at most half of ``TRAIN_ROWS`` of each class, those with the smallest hashes, and both classes weigh the same.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from sparklore.llm.common import stored
 
 #: Bound of the labelled rows that the forest is fitted on.
 TRAIN_ROWS = 20_000
+#: Labelled rows of a class are repeated to so many at least, so that every tree sees rare secrets; the weights are divided by it.
+LEAST_ROWS = 16
 TREES, DEPTH, HASHED = 24, 8, 128
 #: A word is known if this many documents hold it.
 KNOWN_DOCUMENTS = 3
@@ -129,18 +131,30 @@ def classify(found: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
              seed: int = 7) -> DataFrame:
     """``found`` with score (0 to 1) and is_secret (score >= ``threshold``).
 
-    ``labels``: rows like those of ``found`` with ``secret`` 1 or 0; null labels are left out, the ``train_rows`` with the
-    smallest hashes are used. With labels of one class, or none, there is nothing to tell apart: the score is that class, or 0.
+    ``labels``: rows like those of ``found`` with ``secret`` 1 or 0; null labels are left out. Of each class the ``train_rows`` / 2
+    with the smallest hashes are used, so rare secrets are never crowded out, and both classes weigh the same. With labels of
+    one class, or none, there is nothing to tell apart: the score is that class, or 0.
     """
     h = F.xxhash64(F.lit(seed), "value", "pos", "run", "doc_id")
-    # The 20,000 smallest of partial sorts: a bounded training table.
-    train = stored(labels.filter("secret IS NOT NULL").withColumn("h", h).orderBy("h", "value", "pos", "run", "doc_id").limit(train_rows).drop("h"))
+    # The smallest of partial sorts, per class: a bounded training table.
+    said = stored(labels.filter("secret IS NOT NULL").withColumn("h", h))
+    ones, zeros = (said.filter(F.col("secret") == c).orderBy("h", "value", "pos", "run", "doc_id").limit(train_rows // 2).drop("h")
+                   for c in (1.0, 0.0))
+    train = stored(ones.union(zeros))
     seen = train.agg(F.count(F.lit(1)).alias("n"), F.sum("secret").alias("s")).first()
     if not seen["n"] or seen["s"] in (0, seen["n"]):
         scored = found.withColumn("score", F.lit(1.0 if seen["n"] and seen["s"] else 0.0))
     else:
-        forest = RandomForestClassifier(featuresCol="features", labelCol="secret", numTrees=TREES, maxDepth=DEPTH, seed=seed)
-        model = forest.fit(_vectors(train).select("features", "secret"))
+        sizes = {1.0: int(seen["s"]), 0.0: int(seen["n"] - seen["s"])}
+        copies = {c: max(1, -(-LEAST_ROWS // k)) for c, k in sizes.items()}
+
+        def by_class(values: dict) -> Column:
+            return F.when(F.col("secret") == 1.0, F.lit(values[1.0])).otherwise(F.lit(values[0.0]))
+
+        train = (train.withColumn("weight", by_class({c: seen["n"] / (2.0 * sizes[c] * copies[c]) for c in sizes}))
+                 .withColumn("nth", F.explode(F.sequence(F.lit(1), by_class(copies)))))
+        forest = RandomForestClassifier(featuresCol="features", labelCol="secret", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=seed)
+        model = forest.fit(_vectors(train).select("features", "secret", "weight"))
         scored = (model.transform(_vectors(found)).withColumn("score", vector_to_array("probability")[1])
                   .drop("features", "rawPrediction", "probability", "prediction"))
     return scored.withColumn("is_secret", F.col("score") >= threshold)

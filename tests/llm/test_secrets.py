@@ -68,3 +68,13 @@ def test_labels_of_one_class_and_no_rows(spark, corpus):
 def test_all_runs_of_a_word(spark, word, want):
     got = sorted((r["run"], r["name"], r["value"]) for r in secrets.candidates(docs(spark, [(1, f"say {word} now", "s")])).collect())
     assert got == [(i, *x) for i, x in enumerate(want)]
+
+
+def test_one_positive_in_many_negatives(spark):
+    n = 50_000
+    rows = spark.range(n + 1).selectExpr(
+        "id AS doc_id", "0L AS pos", "0L AS run", f"id = {n} AS yes", "concat('v', id) AS value", "'s' AS path", "'x' AS before2", "'y' AS before", "'z' AS after")
+    rows = rows.selectExpr("*", "if(yes, 'aws_secret_key', concat('n', doc_id % 50)) AS name", "if(yes, 1.0D, 0.0D) AS secret",
+                           *[f"if(yes, 1.0D, doc_id % 7 / 10.0D) AS {c}" for c in secrets.SCALARS])
+    got = secrets.classify(rows.drop("secret"), rows.select(*[c for c in rows.columns if c != "yes"]), train_rows=2_000)
+    assert [r["doc_id"] for r in got.filter("is_secret").collect()] == [n]
