@@ -40,6 +40,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stores tables like ``stored`` and empties their folders with ``clear``, once nothing reads them any more.
+
+    Emptied by overwriting with an empty table, so it works wherever Spark can write.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+        self.paths = []
+
+
 def spread(df: DataFrame, column: str) -> DataFrame:
     """``df`` dealt by a column to all shuffle partitions; for narrow rows that are exploded many times next.
 

@@ -38,7 +38,7 @@ def test_stages(spark, documents):
     assert cut.columns == columns
     assert all("Site menu" not in r["text"] and r["n_chars"] == len(r["text"]) for r in cut.filter("doc_id < 61").collect())
     one = cp.near_dedup(spark, cut, documents)
-    assert one.columns == columns and sorted(r["doc_id"] for r in one.collect()) == [*range(60), 61]  # 61 has the menu line in capitals
+    assert one.columns == columns and sorted(r["doc_id"] for r in one.collect()) == [*range(60)]  # 61 has the menu line in capitals and is a copy of 5 otherwise
     mixed = cp.mix_sources(spark, one, documents)
     assert mixed.columns == columns
     out = cp.tokenize(spark, mixed, documents).collect()
