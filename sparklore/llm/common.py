@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,26 @@ def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: dict[st
                       *[F.col(f"n{i}").alias(c) for i, c in enumerate(new)])
 
 
+def matrix_sum(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the matrices that ``part`` gives for the batches of ``df``; zeros without rows.
+
+    Summed within each partition first; the numbers of one matrix are all that reaches the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                total += part(whole.slice(at, SLICE))
+        yield pa.RecordBatch.from_arrays([pa.array(range(shape[0]), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))],
+                                         names=["i", "row"])
+
+    parts = df.mapInArrow(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
+    out = np.zeros(shape)
+    for i, j, v in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[i, j] = v
+    return out
+
+
 def of_worker(key, make: Callable[[], object]):
     """What ``make`` gives, made once per Python worker for the latest ``key``.
 
