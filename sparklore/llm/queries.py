@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklore.llm import bpe, licenses, lines, mixing, quality, repeats, search, secrets, simhash
+from sparklore.llm import (bpe, centroids, classifier, licenses, lines, mixing, quality, repeats, search, secrets, simhash,
+                           whitening)
 from sparklore.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,8 +131,9 @@ def op6(spark, sf_dir):
 def op5(spark, sf_dir):
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    # text: the remaining bytes; a character that is cut in two shows as the replacement character.
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 @query("op4_secret_scan")
@@ -140,3 +142,45 @@ def op4(spark, sf_dir):
     return found.select("doc_id", "pos", "run", F.concat(F.substring("value", 1, 4), F.lit("...")).alias("starts"),
                         F.sha2("value", 256).alias("value_sha256"), "name", "path", "length", "changes", "surprise", "known",
                         "score", "is_secret")
+
+
+@query("op11_quality_classifier")
+def op11(spark, sf_dir):
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _rounds_sql(rounds: int, k: int) -> str:
+    """k-means on integers as chained CTEs: a<r> places every vector, m<r> moves the centroids."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (SELECT row_no, min(list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT * {k} + m.c) AS best
+    FROM v, m{r} m GROUP BY row_no)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT c, d, sum(x)::BIGINT AS s, count(*) AS n
+    FROM (SELECT best % {k} AS c, unnest(v.x) AS x, unnest(range(1, len(v.x) + 1)) AS d FROM a{r} JOIN v USING (row_no)) GROUP BY c, d),
+m{r + 1} AS (SELECT m.c, coalesce(g.x, m.x) AS x FROM m{r} m
+    LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY d) AS x FROM s{r} GROUP BY c) g USING (c))""")
+    return ",".join(steps)
+
+
+@query("op12_centroid_clustering", f"""
+WITH v AS (
+    SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+m0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS INTEGER) AS c, x FROM v QUALIFY c < 16),{_rounds_sql(3, 16)},
+placed AS (SELECT row_no, (best % 16)::INTEGER AS cluster, best // 16 AS distance FROM a3)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m3.x, ',')) AS centroid_sha256
+FROM placed JOIN v USING (row_no) JOIN m3 ON m3.c = cluster
+""")
+def op12(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
