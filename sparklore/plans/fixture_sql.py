@@ -100,8 +100,10 @@ FROM l"""
 TABLES["kb_concepts"] = """
 SELECT DISTINCT tenant_id, 'con_' || tenant_id || '_' || word AS entity_id, word AS name, 'concept' AS type
 FROM (SELECT 't' || (item_id % 4) AS tenant_id,
-             unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark)
-WHERE length(word) BETWEEN 8 AND 12"""
+             unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark)"""
+
+TABLES["kb_named"] = """
+SELECT tenant_id, entity_id, name, type FROM kb_entities UNION ALL SELECT tenant_id, entity_id, name, type FROM kb_concepts"""
 
 TABLES["kb_questions"] = """
 SELECT 't' || (item_id % 4) AS tenant_id, 'q_' || item_id || '_' || i AS qid, item_id,
@@ -180,8 +182,11 @@ SELECT * FROM (VALUES ('t0', NULL, NULL, NULL), ('t1', 0.25, NULL, 120), ('t2',
   AS s(tenant_id, lint_ambiguous_ratio, lint_hub_inferred_ratio, summary_max_chars)"""
 
 TABLES["kb_mentions"] = """
-SELECT s.tenant_id, c.entity_id, c.name, s.span_id, s.document_id
-FROM kb_concepts c JOIN kb_spans s ON s.tenant_id = c.tenant_id AND contains(lower(s.content), c.name)"""
+SELECT h.tenant_id, c.entity_id, c.name, h.span_id, h.document_id
+FROM (SELECT n.tenant_id, n.needle, s.span_id, s.document_id
+      FROM (SELECT DISTINCT tenant_id, lower(name) AS needle FROM kb_named WHERE length(name) >= 3 AND trim(name) <> '') n
+      JOIN kb_spans s ON s.tenant_id = n.tenant_id AND contains(lower(s.content), n.needle)) h
+JOIN kb_named c ON c.tenant_id = h.tenant_id AND lower(c.name) = h.needle"""
 
 TABLES["kb_degrees"] = """
 SELECT e.tenant_id, e.entity_id, e.name, e.type, coalesce(d.deg, 0) AS degree

@@ -182,10 +182,15 @@ class Kb:
         return (self.raw("benchmark")
                 .select(_tenant(F.col("item_id")).alias("tenant_id"),
                         F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name"))
-                .filter(F.length("name").between(8, 12)).distinct()
+                .distinct()
                 .select("tenant_id", tx.cat("con_", F.col("tenant_id"), F.lit("_"), F.col("name")).alias("entity_id"),
                         "name", F.lit("concept").alias("type")))
 
+    @cached_property
+    def named(self) -> DataFrame:
+        """Everything with a name that text may mention: all entities, and concepts of every length."""
+        return self.entities.select("tenant_id", "entity_id", "name", "type").unionByName(self.concepts)
+
     @cached_property
     def questions(self) -> DataFrame:
         i = F.col("item_id")

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from sparklore.functions.lifecycle import source_confidence
 from sparklore.operators import graph, maintenance as mnt
 from sparklore.plans.fixtures import NOW
 from sparklore.plans.registry import query
+from sparklore.session import stored_table
 
 R = F.round
 
@@ -91,13 +93,14 @@ def _(kb):
     return mnt.orphans(kb.entities, kb.edges).select("tenant_id", "entity_id", "name", "type")
 
 
-def concept_mentions(kb):
-    return mnt.mentions(kb.concepts, kb.spans)
+def name_mentions(kb):
+    """The names of all entities and concepts, short and long, in all spans. Written once, as it is read several times."""
+    return stored_table(mnt.mentions(kb.named, kb.spans))
 
 
-def known_mentions(kb):
-    """Mentions the catalogue has already: each concept with the first span that names it."""
-    return concept_mentions(kb).groupBy("tenant_id", "entity_id").agg(F.min("span_id").alias("span_id"))
+def first_mentions(found):
+    """Mentions the catalogue has already: each name with the first span that has it."""
+    return found.groupBy("tenant_id", "entity_id").agg(F.min("span_id").alias("span_id"))
 
 
 @query("mnt06_unlinked_mentions", """
@@ -105,7 +108,8 @@ WITH known AS (SELECT tenant_id, entity_id, min(span_id) AS span_id FROM kb_ment
 SELECT m.tenant_id, m.entity_id, m.span_id FROM kb_mentions m ANTI JOIN known k
   ON k.entity_id = m.entity_id AND k.span_id = m.span_id""")
 def _(kb):
-    return mnt.unlinked_mentions(concept_mentions(kb), known_mentions(kb))
+    found = name_mentions(kb)
+    return mnt.unlinked_mentions(found, first_mentions(found))
 
 
 @query("mnt07_co_mentions", """
@@ -114,7 +118,41 @@ SELECT a.tenant_id, a.entity_id AS source_entity, b.entity_id AS target_entity,
 FROM kb_mentions a JOIN kb_mentions b ON a.tenant_id = b.tenant_id AND a.span_id = b.span_id
   AND a.entity_id < b.entity_id GROUP BY 1, 2, 3""")
 def _(kb):
-    return mnt.co_mentions(concept_mentions(kb))
+    return mnt.co_mentions(mnt.mentions(kb.named, kb.spans))
+
+
+KNOWN_PAIRS_SQL = """
+WITH pairs AS (
+  SELECT a.tenant_id, a.entity_id AS source_entity, b.entity_id AS target_entity, count(*) AS shared, min(a.span_id) AS span_id
+  FROM kb_mentions a JOIN kb_mentions b ON a.tenant_id = b.tenant_id AND a.span_id = b.span_id
+    AND a.entity_id < b.entity_id GROUP BY 1, 2, 3),
+old AS (SELECT tenant_id, source_entity, 'co_mention' AS relation_type, target_entity, shared - 1 AS n FROM pairs WHERE shared > 1
+        UNION ALL SELECT tenant_id, source_entity, relation_type, target_entity, source_count FROM kb_edges WHERE relation_type = 'belongs_to'),
+new AS (SELECT tenant_id, source_entity, 'co_mention' AS relation_type, target_entity, 1 AS n FROM pairs)
+"""
+
+
+def known_relations(found):
+    """Pairs with several shared spans as relations that were seen once less often."""
+    pairs = mnt.co_mentions(found).filter("shared_spans > 1")
+    n = F.col("shared_spans") - 1
+    return pairs.select(graph.relation_id("tenant_id", "source_entity", F.lit(mnt.CO_MENTION), "target_entity").alias("relation_id"),
+                        "tenant_id", "source_entity", F.lit(mnt.CO_MENTION).alias("relation_type"), "target_entity",
+                        n.alias("source_count"), source_confidence(n).alias("confidence"), F.lit(NOW - 1).alias("last_confirmed"))
+
+
+@query("mnt07_co_mention_relations", KNOWN_PAIRS_SQL + """
+SELECT 'rl_' || left(sha256(tenant_id || ':' || source_entity || ':' || relation_type || ':' || target_entity), 16) AS relation_id,
+       tenant_id, source_entity, relation_type, target_entity, CAST(sum(n) AS BIGINT) AS source_count,
+       round(CASE WHEN sum(n) > 1 THEN 1.0 - 1.0 / (1.0 + sum(n)) ELSE 1.0 END, 9) AS confidence
+FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY ALL""")
+def _(kb):
+    found = name_mentions(kb)
+    home = kb.edges.filter("relation_type = 'belongs_to'").withColumn("last_confirmed", F.lit(0.0))
+    known = known_relations(found).unionByName(home)
+    return mnt.co_mention_relations(found, known, NOW).select(
+        "relation_id", "tenant_id", "source_entity", "relation_type", "target_entity", "source_count",
+        R("confidence", 9).alias("confidence"))
 
 
 @query("mnt08_review_split", PLAIN + """, ranked AS (
@@ -143,7 +181,7 @@ def some_promoted(kb):
     return kb.observations.withColumn("promoted_to", F.when(gone, "ob_x"))
 
 
-@query("mnt10_daily_maintenance", LINT_SQL.replace("{settings}", "kb_settings") + """,
+SUMMARY_SQL = (LINT_SQL.replace("{settings}", "kb_settings") + """,
 known AS (SELECT tenant_id, entity_id, min(span_id) AS span_id FROM kb_mentions GROUP BY 1, 2),
 au AS (SELECT tenant_id, count(*) AS audited, count(*) FILTER (priority >= 1) AS to_human_review,
               count(*) FILTER (priority < 1) AS auto_fixable FROM findings GROUP BY 1),
@@ -162,6 +200,35 @@ SELECT tenant_id, coalesce(decayed_facts, 0) AS decayed_facts, coalesce(audited,
        coalesce(promote_semantic, false) AS promote_semantic, coalesce(promote_procedural, false) AS promote_procedural
 FROM de FULL JOIN au USING (tenant_id) FULL JOIN ad USING (tenant_id) FULL JOIN re USING (tenant_id)
 FULL JOIN pr USING (tenant_id)""")
+
+
+@query("mnt10_daily_maintenance", SUMMARY_SQL)
+def _(kb):
+    return daily(kb)["summary"]
+
+
+def daily(kb):
+    found = name_mentions(kb)
+    return mnt.daily_outputs(kb.entities, kb.edges.withColumn("last_confirmed", F.lit(0.0)), kb.facts, kb.spans,
+                             first_mentions(found), some_promoted(kb), NOW, kb.settings, linkable=kb.named)
+
+
+@query("mnt10_daily_review_requests", LINT_SQL.replace("{settings}", "kb_settings") + """
+SELECT tenant_id, name AS entity, entity_id, rule, round(priority, 2) AS priority,
+       CASE rule WHEN 'R1_ambiguous' THEN 'ambiguous ' || n_ambiguous || ' of ' || n
+                 WHEN 'R2_unsourced_inferred' THEN n_unsourced || ' inferred without a source'
+                 ELSE 'degree ' || degree || ', inferred ' || n_inferred || ' of ' || n END AS detail
+FROM findings WHERE priority >= 1""")
+def _(kb):
+    return daily(kb)["review_requests"]
+
+
+SUMMARY_COLUMNS = ("decayed_facts audited to_human_review auto_fixable added_mentions added_relations "
+                   "promote_semantic promote_procedural").split()
+
+
+@query("mnt10_daily_audit_rows", SUMMARY_SQL.replace("SELECT tenant_id, coalesce(decayed_facts, 0)", ", result AS (SELECT tenant_id, coalesce(decayed_facts, 0)") + f""")
+SELECT tenant_id, 'daily_maintenance' AS action, {NOW}::DOUBLE AS ts,
+       CAST(to_json({{{', '.join(f"'{c}': {c}" for c in SUMMARY_COLUMNS)}}}) AS VARCHAR) AS detail FROM result""")
 def _(kb):
-    return mnt.daily_maintenance(kb.entities, kb.edges, kb.facts, kb.spans, known_mentions(kb),
-                                 some_promoted(kb), NOW, kb.settings, linkable=kb.concepts)
+    return daily(kb)["audit"]
