@@ -368,7 +368,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         return made
 
     new = {ids: "array<int>"} | ({check: "boolean"} if check else {})
-    return with_arrow(docs, run, new, [text], [c for c in docs.columns if c not in new])
+    return with_arrow(docs, run, new, [text], [c for c in docs.columns if c not in new], state=True)
 
 
 def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -390,7 +390,7 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text"
             out.append(v.decode(good).decode("utf-8", "replace"))
         return {text: pa.array(out, pa.string())}
 
-    return with_arrow(docs, run, {text: "string"}, [ids], [c for c in docs.columns if c != text])
+    return with_arrow(docs, run, {text: "string"}, [ids], [c for c in docs.columns if c != text], state=True)
 
 
 def digests(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -411,7 +411,7 @@ def digests(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text"
         return {"n": pa.array(n, pa.int64()), "a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())}
 
     return with_arrow(docs, run, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"},
-                      [text], keep)
+                      [text], keep, state=True)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 1024) -> DataFrame:
@@ -430,4 +430,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
                 "n_tokens": pa.array([counter.count(t) for t in texts], pa.int64())}
 
     keep = [c for c in docs.columns if c not in (*new, "over_limit")]
-    return with_arrow(docs, run, new, [text], keep).withColumn("over_limit", F.col("n_tokens") > limit)
+    return with_arrow(docs, run, new, [text], keep, state=True).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -140,7 +140,7 @@ def cluster(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_id",
         _, best, distance = placed(batch.column(0), now)
         return {"cluster": best, "distance": distance}
 
-    assigned = stored(with_arrow(coded, assign, {"cluster": "int", "distance": "long"}, ["x"], ["vec_id"]))
+    assigned = stored(with_arrow(coded, assign, {"cluster": "int", "distance": "long"}, ["x"], ["vec_id"], state=True))
     scratch.clear()
     sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
     of = F.element_at(F.array(*[F.lit(s) for s in sha]), F.col("cluster") + 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,12 +79,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: dict[str, str],
-               read: list[str], keep: list[str]) -> DataFrame:
+               read: list[str], keep: list[str], state: bool = False) -> DataFrame:
     """Columns ``keep`` of ``df`` and the new columns that ``fn`` makes of columns ``read``, batch by batch.
 
     ``fn`` gets a record batch with the columns ``read`` in that order and returns one list or
     Arrow array per new column. ``new``: column name to Spark type. Inside, the columns have
-    positional names, so columns of ``df`` with clashing names do no harm.
+    positional names, so columns of ``df`` with clashing names do no harm. ``state``: ``fn`` uses ``of_worker``; else what
+    earlier operators left there is given up first, so that workers of long sessions stay small.
     """
     inner = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
                       *[F.col(c).alias(f"r{i}") for i, c in enumerate(read)])
@@ -91,6 +95,9 @@ def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: dict[st
     schema, names = probe.schema, [f"n{i}" for i in range(len(new))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not state:
+            _worker_state().clear()
+            _trim()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):      # bounds what a task holds at once
                 batch = whole.slice(at, SLICE)
@@ -98,6 +105,8 @@ def with_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], new: dict[st
                 cols = [batch.column(i) for i in range(n)] + [
                     x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()]
                 yield pa.RecordBatch.from_arrays(cols, names=[f"k{i}" for i in range(n)] + names)
+                del cols, made, batch
+        _trim()
 
     out = inner.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
@@ -124,18 +133,27 @@ def matrix_sum(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shap
     return out
 
 
-def of_worker(key, make: Callable[[], object]):
-    """What ``make`` gives, made once per Python worker for the latest ``key``.
+def _worker_state() -> dict:
+    """Task functions travel by value, so their own globals are new in each task; this lives in a module of the worker itself."""
+    return sys.modules.setdefault("sparklore_worker_state", ModuleType("sparklore_worker_state")).__dict__
 
-    Task functions travel by value, so their own globals are new in each task; this lives in a module
-    of the worker itself.
-    """
-    kept = sys.modules.setdefault("sparklore_worker_state", ModuleType("sparklore_worker_state")).__dict__
+
+def of_worker(key, make: Callable[[], object]):
+    """What ``make`` gives, made once per Python worker for the latest ``key``."""
+    kept = _worker_state()
     if kept.get("key") != key:
         kept["key"], kept["made"] = key, make()
     return kept["made"]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: workers live on after a task, beside those of the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of an Arrow column, null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]
