@@ -165,7 +165,7 @@ def requirement_edges(kb):
 
 
 @query("grf10_cycles", """
-WITH e AS MATERIALIZED (SELECT DISTINCT 't' || (l_partkey % 4) AS tenant_id, 'part_' || l_partkey AS s, 'part_' || l_suppkey AS t,
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 't' || (l_partkey % 4) AS tenant_id, 'part_' || l_partkey AS s, 'part_' || l_suppkey AS t,
        CASE WHEN l_linestatus = 'O' THEN 'depends_on' ELSE 'caused_by' END AS relation_type FROM lineitem),
 reach AS (SELECT tenant_id, relation_type, s AS start, t AS node FROM e
           WHERE (tenant_id, relation_type, s) IN (SELECT (tenant_id, relation_type, t) FROM e)

@@ -54,9 +54,17 @@ def compose(body: str) -> str:
 
     for name in _names_in(body):
         visit(name)
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n].strip()})" for n in ordered)
     text = body.strip()
-    if text.upper().startswith("WITH"):
-        rest = re.sub(r"(?i)^with(\s+recursive)?\s+", "", text, count=1)
-        return f"WITH RECURSIVE {ctes + ', ' if ctes else ''}{rest}"
-    return f"WITH RECURSIVE {ctes}\n{text}" if ctes else text
+    head = re.match(r"(?i)with(\s+recursive)?\s+", text)
+    rest = text[head.end():] if head else text
+    named = " ".join([rest, *(TABLES[n] for n in ordered)])
+
+    def cte(name: str) -> str:
+        # Kept as a table only if it is read more than once.
+        how = "MATERIALIZED " if len(re.findall(rf"\b{name}\b", named)) > 1 else ""
+        return f"{name} AS {how}({TABLES[name].strip()})"
+
+    ctes = ",\n".join(cte(n) for n in ordered)
+    if not (ctes or head):
+        return text
+    return f"WITH {'RECURSIVE ' if head and head.group(1) else ''}{ctes}{', ' if ctes and head else chr(10)}{rest}"
