@@ -6,6 +6,7 @@ replayed after a failure overwrites its own output and changes nothing else.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from sparklore.operators import compile as cp
 from sparklore.operators import facts as fct
 from sparklore.operators import incremental as inc
 from sparklore.operators import memory as mem
+from sparklore.sources.delta_log import DeltaLog
 
 # Attempts before the dead letter, idle time of a session memory in ms.
 MAX_ATTEMPTS = 3
@@ -35,11 +37,33 @@ def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.load(folder)
 
 
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that a query reads when it starts; as they were before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
-                  mode: str = "append") -> None:
-    """Process everything there is and stop; with another trigger the same job runs for good."""
-    (stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
+                  mode: str = "append", conf: dict[str, str] | None = None) -> None:
+    """Process everything there is and stop; with another trigger the same job runs for good.
+
+    ``conf``: settings of this query alone, as ``ROCKSDB`` for operators with state variables and timers.
+    """
+    with settings(stream.sparkSession, conf or {}):
+        query = (stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
 
 
 def batch_folder(path: str, batch_id: int) -> str:
@@ -50,32 +74,32 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def compile_stream(docs: DataFrame, out: str, target: int = tx.CHUNK_TARGET, hard_max: int = tx.CHUNK_MAX) -> None:
+def compile_stream(docs: DataFrame, out: str, target: int = tx.CHUNK_TARGET, hard_max: int = tx.CHUNK_MAX,
+                   compact_every: int = 16) -> None:
     """New documents are redacted, cut into chunks and spans; only new or changed chunks are written.
 
-    Earlier batches are the manifest; it is read with the batch column, cut to the documents
-    of this batch, and the newest hash of each chunk decides.
+    The newest hash of each chunk is kept in a log bucketed by document, of which a batch reads the buckets of its
+    documents and to which it adds its chunks. ``audit`` gets one row per document with something redacted.
     """
+    log = DeltaLog(docs.sparkSession, f"{out}/manifest", "tenant_id string, document_id string, chunk_id string, content_hash string",
+                   ["tenant_id", "document_id"], ["tenant_id", "document_id", "chunk_id"])
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        clean = cp.redact_documents(batch.select("tenant_id", "document_id", "content"))
-        chunks = cp.compile_chunks(clean.drop("hits"), target=target, hard_max=hard_max)
-        label = F.lit("new")
-        if batch_id > 0 and _exists(spark, f"{out}/chunks"):
-            prev = (spark.read.parquet(f"{out}/chunks").filter(F.col("batch_id") < batch_id)
-                    .join(batch.select("tenant_id", "document_id").distinct(), ["tenant_id", "document_id"], "left_semi")
-                    .groupBy("tenant_id", "chunk_id").agg(F.max_by("content_hash", "batch_id").alias("content_hash")))
-            chunks, label = inc.to_compile(chunks, prev).drop("prev_hash"), F.col("change")
-        chunks = chunks.withColumn("change", label)
-        write_batch(chunks, f"{out}/chunks", batch_id)
-        written = spark.read.parquet(batch_folder(f"{out}/chunks", batch_id))
-        write_batch(cp.compile_spans(written), f"{out}/spans", batch_id)
+        clean = cp.redact_documents(batch.select("tenant_id", "document_id", "content")).persist()
+        audit = clean.filter("hits > 0").select("tenant_id", F.col("document_id").alias("target"), F.lit("redact").alias("action"), "hits")
+        write_batch(audit, f"{out}/audit", batch_id)
+        # A batch that is replayed after its commit compares with itself, finds nothing new and must not overwrite its rows.
+        if not any(c["batch_id"] == batch_id for c in log.commits()):
+            docs_of = clean.select("tenant_id", "document_id").distinct()
+            prev = log.read(docs_of).join(docs_of, ["tenant_id", "document_id"], "left_semi").select("tenant_id", "chunk_id", "content_hash")
+            chunks = inc.to_compile(cp.compile_chunks(clean.drop("hits"), target=target, hard_max=hard_max), prev).drop("prev_hash")
+            write_batch(chunks, f"{out}/chunks", batch_id)
+            written = batch.sparkSession.read.schema(chunks.schema).parquet(batch_folder(f"{out}/chunks", batch_id))
+            write_batch(cp.compile_spans(written), f"{out}/spans", batch_id)
+            log.append(written, batch_id)
+        clean.unpersist()
+        if batch_id % compact_every == compact_every - 1:
+            log.compact()
 
     run_available(docs, handle, f"{out}/_checkpoint")
 
@@ -142,14 +166,8 @@ def session_memory_stream(turns: DataFrame, out: str, keep: int = mem.MAX_TURNS)
     State with a time to live asks for batches without data for as long as the query runs, so
     a run to the end of the input must do without them; expired turns leave with the next batch.
     """
-    conf, name = turns.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(name, "true")
-    conf.set(name, "false")
-    try:
-        run_available(session_memory(turns, keep), lambda b, i: write_batch(b, f"{out}/turns", i),
-                      f"{out}/_checkpoint", "update")
-    finally:
-        conf.set(name, before)
+    run_available(session_memory(turns, keep), lambda b, i: write_batch(b, f"{out}/turns", i), f"{out}/_checkpoint", "update",
+                  ROCKSDB | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
 
 
 def newest_batch(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,32 +181,45 @@ FACT_STATE = {"source_count": "CAST(0 AS BIGINT)", "last_confirmed": "CAST(0 AS
               "stale": "false", "superseded_by": "CAST(NULL AS STRING)"}
 
 
-def reinforce_stream(arrivals: DataFrame, out: str, now: float) -> None:
+#: Batches after which the deltas of the fact log are folded into its base.
+COMPACT_EVERY = 16
+
+
+def fact_log(arrivals: DataFrame, out: str, buckets: int = 32) -> DeltaLog:
+    """The fact table of ``reinforce_stream`` below ``out``: bucketed by group, one row per fact; all columns of the arrivals and those of ``FACT_STATE``."""
+    state = {c: F.expr(e) for c, e in FACT_STATE.items()}
+    empty = arrivals.sparkSession.createDataFrame([], arrivals.schema).drop(*state, "seq").withColumns(state)
+    keys = [f"{k} string" for k in fct.GROUP if k not in empty.columns]
+    ddl = ", ".join([*(f"`{c}` {t}" for c, t in empty.dtypes), *keys])
+    return DeltaLog(arrivals.sparkSession, f"{out}/facts", ddl, fct.GROUP, ["tenant_id", "fact_id"], buckets)
+
+
+def reinforce_stream(arrivals: DataFrame, out: str, now: float, compact_every: int = COMPACT_EVERY) -> DeltaLog:
     """Reinforce facts by triple, then supersede in the groups the batch touched. All columns of the arrivals stay.
 
-    Batch n reads the fact table of batch n - 1 and writes its own, so a replayed batch does
-    not count its arrivals twice.
+    A batch reads the buckets of its groups from the log and writes the facts that it changed, so its bytes follow
+    the batch; the log knows the ids of its batches, so a replayed one does not count its arrivals twice.
     """
+    log = fact_log(arrivals, out)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = batch_folder(f"{out}/facts", batch_id - 1)
-        if batch_id > 0:
-            base = spark.read.schema(spark.read.parquet(before).schema).parquet(before)
-        else:
-            own = [c for c in batch.columns if c not in (*FACT_STATE, "seq")]
-            base = batch.limit(0).select(*own, *[F.expr(e).alias(c) for c, e in FACT_STATE.items()])
-        write_batch(fct.reinforce_by_triple(base, batch, now), f"{out}/merged", batch_id)
-        merged = spark.read.parquet(batch_folder(f"{out}/merged", batch_id))
-        patches = fct.check_on_write(merged, batch, now)
-        write_batch(fct.apply_patches(merged, patches), f"{out}/facts", batch_id)
+        batch.persist()
+        touched = fct.with_keys(batch).select(*fct.GROUP).distinct()
+        columns = [c for c in log.columns if c not in ("_deleted", "subject_key", "predicate_key")]
+        base = log.read(touched).join(touched, fct.GROUP, "left_semi").select(*columns)
+        fct.reinforce_by_triple(base, batch, now).write.mode("overwrite").parquet(f"{out}/merged")
+        merged = batch.sparkSession.read.schema(base.schema).parquet(f"{out}/merged")
+        result = fct.apply_patches(merged, fct.check_on_write(merged, batch, now)).select(*columns)
+        whole = F.struct(*columns)
+        before = base.select("tenant_id", "fact_id", whole.alias("before"))
+        changed = result.join(before, ["tenant_id", "fact_id"], "left").filter(~whole.eqNullSafe(F.col("before")))
+        log.append(fct.with_keys(changed), batch_id)
+        batch.unpersist()
+        if batch_id % compact_every == compact_every - 1:
+            log.compact()
 
     run_available(arrivals, handle, f"{out}/_checkpoint")
-
-
-def last_batch(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    last = df.select("batch_id").distinct().agg(F.max("batch_id").alias("batch_id"))
-    return df.join(F.broadcast(last), "batch_id").drop("batch_id")  # one row
+    return log
 
 
 def session_ends(turns: DataFrame, keys: list[str], ts: str = "ts", gap: str = "30 minutes",
@@ -211,5 +242,58 @@ def windowed_metrics(events: DataFrame, labels: list[str], ts: str = "ts", value
                     *[f"le_{i}" for i in range(len(LATENCY_BUCKETS))]))
 
 
-def level_progress(done: DataFrame) -> DataFrame:
-    return done.groupBy("job_id", "level").agg(F.count(F.lit(1)).alias("done"))
+LEVEL_OUT = T.StructType([
+    T.StructField("job_id", T.StringType()), T.StructField("level", T.StringType()), T.StructField("expected", T.LongType()),
+    T.StructField("done", T.LongType()), T.StructField("outcome", T.StringType())])
+
+
+class LevelCompletion(StatefulProcessor):
+    """Counts the finished units of a level. Reports once, when all are there or when nothing has come for the idle time, and forgets the level."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "done long, expected long, timer long")
+
+    def _report(self, key, done: int, expected: int, outcome: str) -> Iterator[pd.DataFrame]:
+        self.count.clear()
+        yield pd.DataFrame([(*key, expected, done, outcome)], columns=LEVEL_OUT.fieldNames())
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done, expected, timer = self.count.get() or (0, None, None)
+        latest = 0
+        for pdf in rows:
+            done += len(pdf)
+            known = pdf["expected"].dropna()
+            expected = int(known.iloc[-1]) if len(known) else expected
+            latest = max(latest, int(pdf["at_ms"].max()))
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        if expected is not None and done >= expected:
+            yield from self._report(key, done, expected, "complete")
+            return
+        timer = max(timer or 0, latest + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(timer)
+        self.count.update((done, expected, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done, expected, _ = self.count.get()
+        yield from self._report(key, done, expected, "abandoned")
+
+    def close(self) -> None:
+        pass
+
+
+def level_progress(done: DataFrame, expected: DataFrame, ts: str = "ts", idle: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """job_id, level, expected, done, outcome: each level once, ``complete`` or ``abandoned``; after that it has no state.
+
+    ``done``: stream of finished units (job_id, level, event time). ``expected``: static (job_id, level, expected). A level
+    without an expected number can only be abandoned. Repeated messages are dropped before, by ``deduplicate``.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    units = done.withWatermark(ts, delay).join(expected.select("job_id", "level", "expected"), ["job_id", "level"], "left")
+    return (units.withColumn("at_ms", F.unix_millis(ts)).groupBy("job_id", "level")
+            .transformWithStateInPandas(statefulProcessor=LevelCompletion(idle_ms), outputStructType=LEVEL_OUT,
+                                        outputMode="Append", timeMode="EventTime"))
