@@ -13,6 +13,7 @@ from sparklore.functions import vectors as vec
 from sparklore.operators import graph
 from sparklore.operators.entities import link_entities
 from sparklore.session import stored_table
+from sparklore.sources.search_index import SearchIndex, band_of, counted_terms
 
 # Candidates per stream, results, fusion constant, trigram cut, BM25, tier weights.
 CANDIDATES, FINAL, RRF_K = 50, 8, 60
@@ -49,17 +50,6 @@ def in_scope(spans: DataFrame, documents: DataFrame | None = None, span_types: l
     return out
 
 
-def lexical_index(spans: DataFrame) -> DataFrame:
-    """(tenant, span, tokens, grams), stored: texts are cut once, and the text and trigram streams read this table."""
-    return stored_table(spans.select("tenant_id", "span_id", tx.simple_tokens("content").alias("tokens"),
-                                     tx.trigrams("content").alias("grams")))
-
-
-def _column(spans: DataFrame, name: str, otherwise: Column) -> Column:
-    """A column of the stored index, or made from the text."""
-    return F.col(name) if name in spans.columns else otherwise
-
-
 def vector_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES, salts: int = 16) -> DataFrame:
     """Exact nearest spans by cosine for all questions, as products of packed blocks.
 
@@ -74,83 +64,83 @@ def vector_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES, s
 
 def postings(spans: DataFrame) -> DataFrame:
     """(tenant, span, term, tf, doc_len); counted inside the row, so nothing is shuffled."""
-    t = spans.select("tenant_id", "span_id", tx.simple_tokens("content").alias("tokens"))
-    return t.select("tenant_id", "span_id", F.size("tokens").alias("doc_len"), "tokens",
-                    F.explode(F.array_distinct("tokens")).alias("term")).select(
-        "tenant_id", "span_id", "term", "doc_len", F.size(F.filter("tokens", lambda x: x == F.col("term"))).alias("tf"))
+    return counted_terms(spans.select("tenant_id", "span_id", F.array_sort(tx.simple_tokens("content")).alias("tokens")))
 
 
 def term_statistics(spans: DataFrame) -> DataFrame:
     return postings(spans).groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-def text_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """BM25 over spans that hold all terms of the question.
+def text_stream(questions: DataFrame, index: SearchIndex, k: int = CANDIDATES) -> DataFrame:
+    """BM25 over spans that hold all terms of the question, from the stored posting lists alone.
 
-    Each question drives the search with its rarest term only: the posting list of that term
-    gives the candidates, and the other terms are checked in the candidate's own text. Long
-    posting lists of common words are never joined unless a question has nothing rarer.
+    Each question drives the search with its rarest term: the list of that term gives the candidates, and the
+    candidates look up the question's other terms by (term, span). Long lists of common words are read, but joined
+    with candidates only.
     """
     q = questions.select("tenant_id", "qid", F.array_distinct(tx.simple_tokens("question")).alias("terms")).filter(
         F.size("terms") > 0)
     small = sized_broadcast(q, "terms")
-    tokens = spans.select("tenant_id", "span_id", _column(spans, "tokens", tx.simple_tokens("content")).alias("tokens"))
-    wanted = q.select("tenant_id", F.explode("terms").alias("term")).distinct()
-    heads = stored_table(tokens.select("tenant_id", "span_id", F.explode(F.array_distinct("tokens")).alias("term")).join(
-        small(wanted), ["tenant_id", "term"], "left_semi"))
-    df = heads.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = tokens.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_spans"), F.avg(F.size("tokens")).alias("avg_len"))
+    asked = q.select("tenant_id", F.explode("terms").alias("term")).distinct()
+    df = index.counts(asked, "term").select("tenant_id", "term", F.col("n").alias("df"))
     known = (q.select("tenant_id", "qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
              .join(df, ["tenant_id", "term"])
              .groupBy("tenant_id", "qid", "n").agg(  # bounded by the length of one question
                  F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms"))
-             .filter("n = size(terms)").join(corpus, "tenant_id"))
-    lead = known.select("tenant_id", "qid", F.get("terms", F.lit(0))["term"].alias("term"))
-    cand = heads.join(small(lead), ["tenant_id", "term"]).select("tenant_id", "qid", "span_id")
-    rows = cand.join(tokens, ["tenant_id", "span_id"]).join(small(known), ["tenant_id", "qid"])
-    rows = rows.filter(F.forall("terms", lambda t: F.array_contains(F.col("tokens"), t["term"])))
-    length = F.lit(BM25_K1) * (1 - BM25_B + BM25_B * F.size("tokens") / F.col("avg_len"))
-
-    def part(acc, t):
-        tf = F.size(F.filter("tokens", lambda x: x == t["term"]))
-        idf = F.log(1 + (F.col("n_spans") - t["df"] + 0.5) / (t["df"] + 0.5))
-        return acc + idf * tf * (BM25_K1 + 1) / (tf + length)
-
-    scored = rows.withColumn("score", F.aggregate("terms", F.lit(0.0), part)).select("tenant_id", "qid", "span_id", "score")
-    return ranked(scored, F.col("score"), k)
-
-
-def trigram_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES,
+             .filter("n = size(terms)").join(index.sizes(q), "tenant_id"))
+    places = stored_table(known.select("tenant_id", "qid", "n", "n_spans", "avg_len", F.posexplode("terms").alias("pos", "t"))
+                          .select("tenant_id", "qid", "n", "n_spans", "avg_len", "pos", "t.term", "t.df"))
+    lead, rest = places.filter("pos = 0"), places.filter("pos > 0").select("tenant_id", "qid", "n", "n_spans", "avg_len", "term", "df")
+    lists = index.terms.read(places)
+    found = stored_table(lists.join(small(lead.drop("pos")), ["tenant_id", "term"]))
+    wanted = found.select("tenant_id", "qid", "span_id").join(small(rest), ["tenant_id", "qid"])
+    others = lists.join(small(asked), ["tenant_id", "term"], "left_semi").join(wanted, ["tenant_id", "term", "span_id"])
+    length = F.lit(BM25_K1) * (1 - BM25_B + BM25_B * F.col("doc_len") / F.col("avg_len"))
+    idf = F.log(1 + (F.col("n_spans") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + length)
+    scored = (found.unionByName(others.select(found.columns)).groupBy("tenant_id", "qid", "span_id", "n")
+              .agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("hits")).filter("hits = n"))
+    return ranked(scored.select("tenant_id", "qid", "span_id", "score"), F.col("score"), k)
+
+
+def trigram_stream(questions: DataFrame, index: SearchIndex, k: int = CANDIDATES,
                    min_similarity: float = TRIGRAM_MIN) -> DataFrame:
-    """Jaccard similarity of trigram sets, at least ``min_similarity``.
+    """Jaccard similarity of trigram sets, at least ``min_similarity``, from the stored trigram lists.
 
     A match of sets with n and s trigrams shares at least a = ceil(t / (1 + t) * (n + s)) of
     them, so among any n - a + m trigrams of the question it shares at least m. The rarest
-    are taken and only their occurrences are joined and counted; the full sets decide for the
-    pairs that reach m. Common trigrams are hardly ever joined.
+    are looked up, in the size bands that allow a match, and the more of them the smaller the band; the
+    full sets decide for the pairs that reach m. Common trigrams are hardly ever looked up.
     """
     q = questions.select("tenant_id", "qid", tx.trigrams("question").alias("qg")).filter(F.size("qg") > 0)
     small = sized_broadcast(q, "qg")
-    s = spans.select("tenant_id", "span_id", _column(spans, "grams", tx.trigrams("content")).alias("sg"))
-    asked = q.select("tenant_id", F.explode("qg").alias("g")).distinct()
-    grams = s.select("tenant_id", "span_id", F.size("sg").alias("sn"), F.explode("sg").alias("g"))
-    by_gram = grams.join(small(asked), ["tenant_id", "g"], "left_semi")
-    freq = by_gram.groupBy("tenant_id", "g").agg(F.count(F.lit(1)).alias("c"))
+    asked = q.select("tenant_id", F.explode("qg").alias("term")).distinct()
+    freq = index.counts(asked, "gram").select("tenant_id", F.col("term").alias("g"), F.col("n").alias("c"))
     ordered = (q.select("tenant_id", "qid", F.size("qg").alias("qn"), F.explode("qg").alias("g"))
                .join(freq, ["tenant_id", "g"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
                .groupBy("tenant_id", "qid", "qn").agg(  # bounded by the length of one question
                    F.array_sort(F.collect_list(F.struct("c", "g"))).alias("gs")))
-    places = ordered.select("tenant_id", "qid", "qn", F.posexplode("gs").alias("pos", "p")).select(
-        "tenant_id", "qid", "qn", "pos", F.col("p.g").alias("g"))
     t = min_similarity
-    least = F.ceil((F.col("qn") + F.col("sn")) * (t / (1 + t)) - 1e-9)
-    need = F.greatest(F.lit(1), F.floor(least / 5))
-    fits = (F.col("sn") >= F.col("qn") * t - 1e-9) & (F.col("qn") >= F.col("sn") * t - 1e-9)
-    cand = (by_gram.join(small(places), ["tenant_id", "g"])
-            .filter(fits & (F.col("pos") < F.col("qn") - least + need))
-            .groupBy("tenant_id", "qid", "span_id", "qn", "sn").agg(F.count(F.lit(1)).alias("hits"))
-            .filter(F.col("hits") >= need).select("tenant_id", "qid", "span_id"))
-    both = cand.join(s, ["tenant_id", "span_id"]).join(small(q), ["tenant_id", "qid"])
+
+    def least(sn: Column) -> Column:
+        return F.ceil((F.col("qn") + sn) * (t / (1 + t)) - 1e-9)
+
+    def need(sn: Column) -> Column:
+        return F.greatest(F.lit(1), F.floor(least(sn) / 5))
+
+    qn, sn = F.col("qn"), F.col("sn")
+    low, high = F.pow(F.lit(2), F.col("band")), F.pow(F.lit(2), F.col("band") + 1) - 1       # sizes of a band
+    low = F.greatest(low, F.ceil(qn * t - 1e-9))
+    bands = F.sequence(band_of(F.greatest(F.ceil(qn * t - 1e-9), F.lit(1))), band_of(F.floor(qn / t + 1e-9)))
+    places = (ordered.withColumn("band", F.explode(bands)).select("tenant_id", "qid", "qn", "band", F.posexplode("gs").alias("pos", "p"))
+              .filter(F.col("pos") < qn - least(low) + need(high)).select("tenant_id", "qid", "qn", "band", "pos", F.col("p.g").alias("g")))
+    fits = (sn >= qn * t - 1e-9) & (qn >= sn * t - 1e-9)
+    cand = stored_table(index.grams.read(asked.withColumnRenamed("term", "g")).join(small(places), ["tenant_id", "g", "band"])
+                        .filter(fits & (F.col("pos") < qn - least(sn) + need(sn)))
+                        .groupBy("tenant_id", "qid", "span_id", "qn", "sn").agg(F.count(F.lit(1)).alias("hits"))
+                        .filter(F.col("hits") >= need(sn)).select("tenant_id", "qid", "span_id"))
+    grams = index.spans.read(cand).select("tenant_id", "span_id", F.col("grams").alias("sg"))
+    both = grams.join(cand, ["tenant_id", "span_id"]).join(small(q), ["tenant_id", "qid"])
     shared = F.size(F.array_intersect("sg", "qg"))
     scored = both.select("tenant_id", "qid", "span_id",
                          (shared / (F.size("sg") + F.size("qg") - shared)).alias("score"))
@@ -252,10 +242,9 @@ def evidence_pack(results: DataFrame, spans: DataFrame, keep: int = FINAL, sep:
 
 
 def hybrid_search(questions: DataFrame, spans: DataFrame, chunks: DataFrame, entities: DataFrame,
-                  edges: DataFrame, edge_spans: DataFrame, scores: DataFrame | None = None,
+                  edges: DataFrame, edge_spans: DataFrame, index: SearchIndex, scores: DataFrame | None = None,
                   keep: int = FINAL) -> DataFrame:
-    """All four streams, fusion, rerank and tier weights for a table of questions in one job."""
-    index = lexical_index(spans)
+    """All four streams, fusion, rerank and tier weights for a table of questions in one job. ``index``: that of the spans."""
     streams = [vector_stream(questions, spans), text_stream(questions, index), trigram_stream(questions, index),
                graph_stream(questions, spans, entities, edges, edge_spans)]
     return weigh_by_tier(rerank(fuse(streams), scores, keep * 2), spans, chunks, keep)

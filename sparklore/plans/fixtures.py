@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sparklore.functions import text as tx
 from sparklore.operators import graph
+from sparklore.session import ensure_checkpoint_dir
+from sparklore.sources.search_index import SearchIndex
 from sparklore.plans.fixture_sql import NOW
 
 __all__ = ["Kb", "NOW"]
@@ -307,9 +309,18 @@ class Kb:
         return self.spans.join(v, ["doc_id", "span_no"], "left")
 
     @cached_property
-    def lexical_index(self) -> DataFrame:
-        from sparklore.operators import retrieval
-        return retrieval.lexical_index(self.spans)
+    def search_index(self) -> SearchIndex:
+        """The stored index of all spans of this data folder: written by the first query that asks for it, read by all others.
+
+        Its folder is named by the files of the documents, so changed data has an index of its own.
+        """
+        files = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet").select(
+            "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        name = files.agg(F.sum(F.xxhash64("*").cast("decimal(20,0)")).alias("n")).first()["n"]
+        index = SearchIndex(self.spark, f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/search-index-{name}")
+        if not index.exists():
+            index.extend(self.spans, 0)
+        return index
 
     @cached_property
     def model_scores(self) -> DataFrame:

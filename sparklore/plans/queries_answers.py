@@ -101,7 +101,7 @@ def measured(kb, stream):
 
 @query("evl07_retrieval_quality", QUALITY.format(stream="kb_text_stream"))
 def _(kb):
-    return measured(kb, ret.text_stream(kb.questions, kb.lexical_index))
+    return measured(kb, ret.text_stream(kb.questions, kb.search_index))
 
 
 def answer_buckets(kb):
@@ -123,7 +123,7 @@ SELECT bucket, metric, before, after, round(after - before, 6) AS change FROM (
   SELECT bucket, 'recall_at_k' AS metric, b.recall_at_k AS before, n.recall_at_k AS after FROM b FULL JOIN n USING (bucket)
   UNION ALL SELECT bucket, 'mrr', b.mrr, n.mrr FROM b FULL JOIN n USING (bucket))""")
 def _(kb):
-    old = measured(kb, ret.text_stream(kb.questions, kb.lexical_index))
+    old = measured(kb, ret.text_stream(kb.questions, kb.search_index))
     new = measured(kb, ret.vector_stream(kb.question_vectors, kb.spans_with_vectors))
     return ev.metric_diff(old, new, "bucket", ["recall_at_k", "mrr"]).withColumn("change", R("change", 6))
 

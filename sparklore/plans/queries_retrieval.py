@@ -49,12 +49,12 @@ def _(kb):
 
 @query("ret03_text_top_k", shown_sql("kb_text_stream"))
 def _(kb):
-    return shown(ret.text_stream(kb.questions, kb.lexical_index))
+    return shown(ret.text_stream(kb.questions, kb.search_index))
 
 
 @query("ret04_trigram_top_k", shown_sql("kb_trigram_stream"))
 def _(kb):
-    return shown(ret.trigram_stream(kb.questions, kb.lexical_index))
+    return shown(ret.trigram_stream(kb.questions, kb.search_index))
 
 
 def graph_rows(kb):
@@ -67,8 +67,8 @@ def _(kb):
 
 
 def fused(kb):
-    return ret.fuse([ret.vector_stream(kb.question_vectors, kb.spans_with_vectors), ret.text_stream(kb.questions, kb.lexical_index),
-                     ret.trigram_stream(kb.questions, kb.lexical_index), graph_rows(kb)])
+    return ret.fuse([ret.vector_stream(kb.question_vectors, kb.spans_with_vectors), ret.text_stream(kb.questions, kb.search_index),
+                     ret.trigram_stream(kb.questions, kb.search_index), graph_rows(kb)])
 
 
 @query("ret06_rank_fusion", shown_sql("kb_fused"))
@@ -171,7 +171,7 @@ def _(kb):
 
 
 def hybrid(kb):
-    return ret.hybrid_search(kb.question_vectors, kb.spans_with_vectors, kb.chunks, kb.entities, kb.edges, kb.edge_spans)
+    return ret.hybrid_search(kb.question_vectors, kb.spans_with_vectors, kb.chunks, kb.entities, kb.edges, kb.edge_spans, kb.search_index)
 
 
 @query("ret15_hybrid_search", """
