@@ -1,12 +1,13 @@
 """Quality rules with cutoffs whose risk is controlled (op 3).
 
-Labelled documents are split by a hash into two holdouts. The first proposes cutoffs for each rule, the
-second tests them: per stratum and rule, from the mildest cutoff on, the exact binomial test must
-show that the rule rejects at most a share ``alpha`` of good documents; the first cutoff that fails
-ends the sequence (fixed-sequence testing), and the tests of all strata and rules share the error
-``delta`` (Bonferroni). Of the cutoffs that passed the mildest is taken that rejects nearly as many bad documents as the
-strictest, so clean documents near the border stay. So with probability ``1 - delta`` no rule in any stratum rejects more
-than ``alpha`` of the good documents there. A stratum with too few labels gets no cutoffs and rejects nothing.
+Labelled documents are split by a hash into two holdouts. The first proposes, per stratum, a cutoff for each rule (the mildest
+that rejects nearly as many bad documents as the strictest tolerable one) and an order of the rules by the bad documents they reject.
+The second tests the rules together: first the best rule alone, then the best two joined by OR, and so on. The exact binomial
+test must show that the union rejects at most a share ``alpha`` of the good documents; the first union that fails ends the
+sequence (fixed-sequence testing), and the strata share the error ``delta`` (Bonferroni). So with probability
+``1 - delta`` the rules of a stratum, all together, reject at most ``alpha`` of its good documents, in every stratum at once. A
+stratum whose second holdout has fewer good labels than ``log(delta / strata) / log(1 - alpha)`` (437 with the defaults and four
+strata) can show nothing; it gets no cutoffs and rejects nothing beyond the base rules.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ RULES: dict[str, Column | str] = {
     "few_words": "- n_words",
 }
 ALPHA, DELTA, CUTOFFS = 0.01, 0.05, 32
-#: Share of the bad documents rejected by the strictest tested cutoff that a milder one must reject to be preferred.
+#: Share of the bad documents rejected by the strictest tolerable cutoff that a milder one must reject to be preferred.
 NEARLY = 0.95
+#: A proposed cutoff is tolerable if it rejects at most this share of ``alpha`` of the good documents of the first holdout.
+TOLERABLE = 0.25
 WINDOW = 5
 MEASURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long",
             "n_repeat_words": "long", "n_lines": "long"}
@@ -133,7 +136,7 @@ def _beta(a: float, b: float, x: float) -> float:
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id",
                 alpha: float = ALPHA, delta: float = DELTA, cutoffs: int = CUTOFFS) -> DataFrame:
-    """One row per stratum and rule with a cutoff: stratum, rule, cutoff, n_good, n_rejected, tests.
+    """One row per stratum and rule in use: stratum, rule, cutoff, n_good, n_rejected (by this rule and those before it), tests.
 
     ``measured``: result of ``measure``, stored. ``labels``: doc_id, quality (1 good, 0 bad; others are
     ignored). A document labelled twice is good if any label says so. A null stratum is a stratum of its own.
@@ -142,43 +145,62 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", d
     said = (labels.filter("quality IN (0, 1)").groupBy(F.col(doc_id).alias("label_id"))
             .agg(F.max("quality").alias("quality")))
     half = (F.xxhash64(F.lit("holdout"), F.col(doc_id)).bitwiseAND(F.lit(1))).alias("half")
-    values = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _value(r).alias("value")) for r in RULES])).alias("v")
-    rows = stored(measured.filter("NOT base_failed").join(said, F.col(doc_id) == F.col("label_id"))
-                  .select(F.col(stratum).alias("stratum"), "quality", half, values)
-                  .select("stratum", "quality", "half", "v.rule", "v.value").filter("value IS NOT NULL"))
+    values = F.array(*[F.struct(F.lit(r).alias("rule"), _value(r).alias("value")) for r in RULES]).alias("values")
+    docs = stored(measured.filter("NOT base_failed").join(said, F.col(doc_id) == F.col("label_id"))
+                  .select(F.col(stratum).alias("stratum"), "quality", half, values))
+    rows = (docs.filter("half = 0").select("stratum", "quality", F.explode("values").alias("v"))
+            .select("stratum", "quality", "v.rule", "v.value").filter("value IS NOT NULL"))
     # Proposals: quantiles of all documents of the first half, and of its bad ones.
     high = F.array(*[F.lit(round(0.5 + 0.5 * i / cutoffs, 6)) for i in range(1, cutoffs + 1)])
     even = F.array(*[F.lit(round(i / cutoffs, 6)) for i in range(cutoffs + 1)])
-    grid = (rows.filter("half = 0").groupBy("stratum", "rule")
+    grid = (rows.groupBy("stratum", "rule")
             .agg(F.percentile_approx("value", high, F.lit(10000)).alias("a"),
                  F.percentile_approx(F.when(F.col("quality") == 0, F.col("value")), even, F.lit(10000)).alias("b"))
             .select("stratum", "rule", F.array_sort(F.array_distinct(F.concat(
                 "a", F.coalesce("b", F.array().cast("array<double>"))))).alias("grid")))
-    # How many proposals each good document of the second half, and each bad one of the first, exceeds: counts per number.
-    tested = (rows.filter("half = quality").alias("t")
-              .join(grid.alias("g"), F.expr("t.stratum <=> g.stratum AND t.rule = g.rule"))
-              .select("t.stratum", "t.rule", "t.quality", "g.grid", F.expr("size(filter(g.grid, c -> t.value > c))").alias("over"))
-              .groupBy("stratum", "rule", "quality", "over").agg(F.count(F.lit(1)).alias("n"), F.first("grid").alias("grid")))
-    tests = grid.count()
-
-    names = ["stratum", "rule", "cutoff", "n_good", "n_rejected", "tests"]
-
-    def choose(pdf):
-        grid, passed = pdf["grid"].iloc[0], []
+    # How many proposals each document exceeds: counts per number, at most as many as proposals.
+    tried = (rows.alias("t").join(grid.alias("g"), F.expr("t.stratum <=> g.stratum AND t.rule = g.rule"))
+             .select("t.stratum", "t.rule", "t.quality", "g.grid", F.expr("size(filter(g.grid, c -> t.value > c))").alias("over"))
+             .groupBy("stratum", "rule", "quality", "over").agg(F.count(F.lit(1)).alias("n"), F.first("grid").alias("grid")))
+    names = ["stratum", "rule", "cutoff", "bad"]
+
+    def propose(pdf):
+        grid, tolerable = pdf["grid"].iloc[0], []
         good, bad = (pdf[pdf["quality"] == q] for q in (1, 0))
-        n = int(good["n"].sum())
         for i in range(len(grid) - 1, -1, -1):          # from the mildest cutoff on
-            rejected = int(good.loc[good["over"] > i, "n"].sum())
-            if binomial_tail(rejected, n, alpha) > delta / tests:
+            if good.loc[good["over"] > i, "n"].sum() > TOLERABLE * alpha * good["n"].sum():
                 break
-            passed.append((grid[i], rejected, int(bad.loc[bad["over"] > i, "n"].sum())))
-        if not passed or not passed[-1][2]:
+            tolerable.append((grid[i], int(bad.loc[bad["over"] > i, "n"].sum())))
+        if not tolerable or not tolerable[-1][1]:
             return pd.DataFrame([], columns=names)
-        cutoff, rejected, _ = next(x for x in passed if x[2] >= NEARLY * passed[-1][2])
-        return pd.DataFrame([[pdf["stratum"].iloc[0], pdf["rule"].iloc[0], cutoff, n, rejected, tests]], columns=names)
-
-    return tested.groupBy("stratum", "rule").applyInPandas(
-        choose, "stratum string, rule string, cutoff double, n_good long, n_rejected long, tests long")
+        cutoff, rejected = next(x for x in tolerable if x[1] >= NEARLY * tolerable[-1][1])
+        return pd.DataFrame([[pdf["stratum"].iloc[0], pdf["rule"].iloc[0], cutoff, rejected]], columns=names)
+
+    proposed = stored(tried.groupBy("stratum", "rule").applyInPandas(propose, "stratum string, rule string, cutoff double, bad long"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("bad")).alias("a"), "rule", "cutoff")))     # one entry per rule
+    rules = proposed.groupBy(F.col("stratum").alias("of")).agg(order.alias("rules"))
+    # The place of the first rule that a good document of the second half breaks; 0 if none.
+    first = F.array_position(F.transform("rules", lambda r: F.exists(
+        "values", lambda v: (v["rule"] == r["rule"]) & (v["value"] > r["cutoff"]))), True)
+    broken = (docs.filter("half = 1 AND quality = 1").join(small(stored(rules)), F.col("stratum").eqNullSafe(F.col("of")))
+              .groupBy("of", first.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.first("rules").alias("rules")))
+    counted = broken.groupBy("of").agg(F.first("rules").alias("rules"), F.collect_list(F.struct("place", "n")).alias("places"))
+    tests = rules.count()
+    out = ["stratum", "rule", "cutoff", "n_good", "n_rejected", "tests"]
+
+    def passed(batches):                                # a few numbers per stratum
+        for pdf in batches:
+            kept = []
+            for of, in_order, places in zip(pdf["of"], pdf["rules"], pdf["places"]):
+                n, rejected = sum(p["n"] for p in places), 0
+                for i, rule in enumerate(in_order):
+                    rejected += sum(p["n"] for p in places if p["place"] == i + 1)
+                    if binomial_tail(rejected, n, alpha) > delta / tests:
+                        break
+                    kept.append([of, rule["rule"], rule["cutoff"], n, rejected, tests])
+            yield pd.DataFrame(kept, columns=out)
+
+    return counted.mapInPandas(passed, "stratum string, rule string, cutoff double, n_good long, n_rejected long, tests long")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -66,13 +66,27 @@ def test_cutoffs(spark, corpus):
         assert quality.binomial_tail(r["n_rejected"], r["n_good"], quality.ALPHA) <= quality.DELTA / r["tests"]
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(measured, cutoffs).collect()}
     good, bad = [kept[i] for i, q in labels if q], [kept[i] for i, q in labels if not q]
-    assert sum(good) >= (1 - len(quality.RULES) * quality.ALPHA) * len(good)
+    for lang in ("en", "fr", None):        # all rules of a stratum together
+        of = [kept[i] for (i, _, s), (_, q) in zip(rows, labels) if s == lang and q]
+        assert sum(of) >= (1 - quality.ALPHA) * len(of)
+    assert len(good) > 4000
     assert sum(bad) <= 0.1 * len(bad)
     out = quality.filter_documents(docs(spark, rows), said)
     assert out.columns == docs(spark, rows[:1]).columns
     assert {r["doc_id"] for r in out.collect()} == {i for i in kept if kept[i]}
 
 
+def test_joint_bound_on_documents(spark):
+    """At sf0.1 the base survivors among labelled good documents are rejected by no more than alpha per stratum."""
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    measured = quality.stored(quality.measure(docs_, keep=["doc_id", "lang"]))
+    judged = quality.judge(measured, quality.stored(quality.fit_cutoffs(measured, labels))).join(labels.filter("quality = 1"), "doc_id")
+    for r in judged.filter("NOT base_failed").groupBy("lang").agg({"doc_id": "count", "kept": "count"}).collect():
+        n = r["count(doc_id)"]
+        lost = judged.filter("NOT base_failed AND NOT kept").filter(judged["lang"].eqNullSafe(r["lang"])).count()
+        assert lost <= quality.ALPHA * n
+
+
 def test_few_labels_reject_nothing_beyond_the_base(spark):
     text = " ".join(f"w{i}" for i in range(20))
     rows = [(1, text, "en"), (1, text, "en"), (2, None, "en"), (3, "", None), (4, "# " * 40, "en"), (None, text, None)]
