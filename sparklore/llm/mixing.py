@@ -2,9 +2,9 @@
 
 Targets: each source gets its share by weight of all words; what a source would get beyond ``epochs`` times
 its own size is shared again by weight among the others, until no source is above its cap. Then
-each document is taken ``floor(target / size of its source)`` times, and some documents once more: those
-whose seeded hash lies below a threshold, set so that their words add up to the rest of the target.
-The threshold is found on two levels of hash cells, so no task sees the rows of a source.
+each document is taken ``floor(target / size of its source)`` times, and some documents once more, in the order of a seeded
+hash: all up to the first that would pass the rest of the target, then, without the documents that are too large for what is left,
+further on in the same order, and so on. Borders are found on two levels of hash cells, so no task sees the rows of a source.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from sparklore.llm.common import WORD, small, stored
 EPOCHS, SEED = 3, 17
 #: Fixed value: the weights of sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Bits of the hash per level; cells per source on each level.
-BITS = 12
+#: Bits of the hash per level; cells per source on each level. Steps of the walk.
+BITS, STEPS = 12, 12
 
 
 def word_count(text: Column) -> Column:
@@ -75,64 +75,71 @@ def targets(sources: DataFrame, epochs: float = EPOCHS, total: float | None = No
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
-def _cell(hash_column: Column, lvl: int) -> Column:
-    return F.shiftrightunsigned(hash_column, 64 - BITS * (lvl + 1)).bitwiseAND(F.lit((1 << BITS) - 1))
+def _walk(sized: DataFrame, open_sources: DataFrame) -> DataFrame:
+    """One step of the walk: name, left, lo, most, border, taken for each of ``open_sources`` (name, left, lo) with documents that fit.
 
-
-def _up_to(cells: DataFrame, cell: str, wanted: str) -> DataFrame:
-    """Of each source the first cell at which the running size reaches ``wanted``: source, cell, before.
-
-    At most 4,096 cells per source stand in a window.
+    ``sized``: source, size, top (number of its cell). Of the documents from cell ``lo`` on with at most ``most`` = floor(left) words, those
+    before cell ``border`` are taken: the first cell with which they would be too much, or the end. At most 4,096 cells per source stand in a window.
     """
-    run = Window.partitionBy("source").orderBy(cell)
-    reached = cells.withColumn("__run", F.sum("size").over(run)).filter(F.col("__run") >= F.col(wanted))
-    best = reached.groupBy("source").agg(F.min(F.struct(cell, (F.col("__run") - F.col("size")).alias("before"))).alias("m"))
-    return best.select("source", F.col(f"m.{cell}").alias(cell), F.col("m.before").alias("before"))
+    most = F.floor("left").cast("long")
+    fit = (sized.join(small(open_sources), F.col("source").eqNullSafe(F.col("name")))
+           .filter((F.col("top") >= F.col("lo")) & (F.col("size") > 0) & (F.col("size") <= most)))
+
+    def over(cells: DataFrame, cell: str, base: Column) -> DataFrame:
+        """Per source the first cell that passes ``left``, if any, and what stands before it."""
+        run = base + F.sum("size").over(Window.partitionBy("name").orderBy(cell))
+        first = F.min(F.when(F.col("run") > F.col("left"), F.struct(cell, (F.col("run") - F.col("size")).alias("before")))).alias("m")
+        return (cells.withColumn("run", run).groupBy("name", "left", "lo").agg(first, F.max("run").alias("all"))
+                .select("name", "left", "lo", F.col(f"m.{cell}").alias("border"), F.coalesce("m.before", "all").alias("taken")))
+
+    c0 = F.shiftright("top", BITS)
+    coarse = stored(over(fit.groupBy("name", "left", "lo", c0.alias("c0")).agg(F.sum("size").alias("size")), "c0", F.lit(0)))
+    at = coarse.filter("border IS NOT NULL").select(F.col("name").alias("in_name"), F.col("border").alias("in_c0"), F.col("taken").alias("before"))
+    inner = (fit.join(small(at), F.col("name").eqNullSafe(F.col("in_name")) & (c0 == F.col("in_c0")))
+             .groupBy("name", "left", "lo", "before", "top").agg(F.sum("size").alias("size")))
+    fine = over(inner, "top", F.col("before"))
+    end = F.lit(1 << 2 * BITS).cast("long")
+    whole = coarse.filter("border IS NULL").select("name", "left", "lo", end.alias("border"), "taken")
+    return stored(whole.unionByName(fine.select("name", "left", "lo", F.col("border").cast("long").alias("border"), "taken"))
+                  .select("name", "left", "lo", most.alias("most"), "border", "taken"))
 
 
 def takes(sized: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, total: float | None = None) -> DataFrame:
-    """Per source: source, source_size, target, whole (repetitions of each document), edge (hash threshold).
+    """Per source: source, source_size, target, whole (repetitions of each document), picks (array of lo, hi, most).
 
-    ``sized``: source, size (words), h (seeded hash of the document), stored. A document is taken
-    ``whole`` times, and once more if the top 24 bits of its hash are below ``edge``. The threshold is the
-    cell border nearest to the rest of the target, so a source misses its target by
-    half the words of one of 16.7 million cells: in a large source a ten-millionth part, in a small one half a document.
+    ``sized``: source, size (words), h (seeded hash of the document), stored. A document is taken ``whole`` times, and once more if the top
+    24 bits of its hash lie in [lo, hi) of a pick and it has at most ``most`` words. The walk ends after ``STEPS`` steps, or when nothing
+    open fits; until then a source misses its target by less than its smallest document behind the last border.
     """
-    sized = sized.select("source", "size", _cell(F.col("h"), 0).alias("c0"), _cell(F.col("h"), 1).alias("c1"))
-    level0 = stored(sized.groupBy("source", "c0").agg(F.sum("size").alias("size")))
-    sources = stored(with_weights(level0.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
+    sized = sized.select("source", "size", F.shiftrightunsigned("h", 64 - 2 * BITS).alias("top"))
+    sources = stored(with_weights(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aims = stored(targets(sources, epochs, total)
                   .withColumn("whole", F.floor(share + F.lit(1e-9)).cast("long"))
                   .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
                   .withColumnRenamed("source", "name"))
-    same = F.col("source").eqNullSafe(F.col("name"))
-    aimed = level0.join(small(aims.select("name", "rest")), same).select("source", "c0", "size", "rest")
-    first = stored(_up_to(aimed, "c0", "rest").select(F.col("source").alias("name"), F.col("c0").alias("first"), "before"))
-    # The cells of the second level, inside the border cell of each source only.
-    inner = (sized.join(small(first), same & (F.col("c0") == F.col("first")))
-             .groupBy("source", "first", "before", "c1").agg(F.sum("size").alias("size"))
-             .join(small(aims.select("name", "rest")), same)
-             .withColumn("rest", F.col("rest") - F.col("before")))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("c1"))
-    # Take the cells whose middle lies before the wanted size.
-    nearest = (inner.withColumn("run", run).filter(F.col("run") - F.col("size") / 2 <= F.col("rest"))
-               .groupBy(F.col("source").alias("edge_name")).agg(F.max("c1").alias("last")))
-    border = first.withColumnRenamed("name", "first_name")
-    return stored(aims.join(border, F.col("name").eqNullSafe(F.col("first_name")), "left")
-                  .join(nearest, F.col("name").eqNullSafe(F.col("edge_name")), "left")
-                  .select(F.col("name").alias("source"), "source_size", "target", "whole",
-                          F.when(F.col("rest") <= 0, F.lit(0)).otherwise(
-                              F.coalesce(F.shiftleft("first", BITS) + F.coalesce(F.col("last") + 1, F.lit(0)), F.lit(0)))
-                          .cast("long").alias("edge")))
+    walk = stored(aims.filter("rest >= 1").select("name", F.col("rest").alias("left"), F.lit(0).cast("long").alias("lo")))
+    picks = aims.select("name", F.lit(None).cast("struct<lo:long,hi:long,most:long>").alias("pick")).limit(0)
+    for _ in range(STEPS):
+        if walk.isEmpty():
+            break
+        step = _walk(sized, walk)
+        picks = picks.unionByName(step.filter("taken > 0").select("name", F.struct("lo", F.col("border").alias("hi"), "most").alias("pick")))
+        # A border cell that is too much even alone is passed by.
+        on = F.when(F.col("taken") > 0, F.col("border")).otherwise(F.col("border") + 1)
+        walk = stored(step.select("name", (F.col("left") - F.col("taken")).alias("left"), on.alias("lo"))
+                      .filter(f"left >= 1 AND lo < {1 << 2 * BITS}"))
+    picked = picks.groupBy(F.col("name").alias("pick_name")).agg(F.array_sort(F.collect_list("pick")).alias("picks"))     # STEPS at most
+    return stored(aims.join(picked, F.col("name").eqNullSafe(F.col("pick_name")), "left")
+                  .select(F.col("name").alias("source"), "source_size", "target", "whole", "picks"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS,
         epochs: float = EPOCHS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with size, source_size, target (of its source), copies, taken = copies * size.
 
-    Null texts have size 0; a null source is a source, last in order. Rows that are equal in id and text are
-    taken alike. Columns of ``docs`` with the new names are replaced. The same rows and seed give
+    Null texts have size 0; a null source is a source, last in order. Rows that are equal in id and text (and copies with null ids) have one
+    hash and are taken alike, so a source that consists mostly of one repeated row may miss its target by these rows. Columns of ``docs`` with the new names are replaced. The same rows and seed give
     the same mix, whatever their order.
     """
     new = ("size", "source_size", "target", "copies", "taken")
@@ -147,10 +154,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         plan = takes(sized, weights, epochs)
     plan = plan.withColumnRenamed("source", "plan_source")
     top = F.shiftrightunsigned("h", 64 - 2 * BITS)
-    copies = F.col("whole") + (top < F.col("edge")).cast("long")
-    return (sized.join(small(plan), F.col("source").eqNullSafe(F.col("plan_source")))
+    once = F.exists("picks", lambda p: (top >= p["lo"]) & (top < p["hi"]) & (F.col("size") <= p["most"]))
+    copies = F.col("whole") + F.coalesce(once, F.lit(False)).cast("long")
+    # The copies first: beside the new names a lambda would see those of the kept columns.
+    return (sized.join(small(plan), F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("__copies", copies)
             .select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target",
-                    copies.alias("copies"), (copies * F.col("size")).alias("taken")))
+                    F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken")))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

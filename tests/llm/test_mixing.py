@@ -57,10 +57,23 @@ def test_mix(spark, rows):
         assert r["target"] == pytest.approx(want[r["source"]], rel=1e-9)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= largest[s], s
+        # What is left is less than any document that could still be taken, but for rows that are taken alike.
+        least = min((r["size"] for r in got if r["source"] == s and r["size"] and r["copies"] == min(x["copies"] for x in got if x["source"] == s)), default=0)
+        assert want[s] - taken[s] < max(1, 2 * least), s
     again = mixing.mix(docs(spark, rows[::-1]).repartition(3))
     assert sorted(map(str, again.collect())) == sorted(map(str, got))
 
 
+def test_large_documents_at_the_border_are_passed_by(spark):
+    rows = [(i, "w " * (4000 if i % 3 == 0 else 3), s) for s in "abcd" for i in range(ord(s) * 1000, ord(s) * 1000 + 200)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    for s in "abcd":
+        of = [r for r in got if r["source"] == s]
+        whole = min(r["copies"] for r in of)
+        left = of[0]["target"] - sum(r["taken"] for r in of)
+        assert 0 <= left < min((r["size"] for r in of if r["copies"] == whole), default=1), s     # nothing that fits is open
+
+
 def test_repeated(spark, rows):
     mixed = mixing.mix(docs(spark, rows))
     out = mixing.repeated(mixed, ["doc_id", "text", "source"])
