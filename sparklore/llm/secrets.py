@@ -44,16 +44,16 @@ def candidates(docs: DataFrame, text: str = "text", path: str = "source", doc_id
     have repeated candidates. Whether a digit is among the characters is left to the forest.
     """
     cut = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), F.split(F.col(text), r"[\x20\x09-\x0D]+", -1).alias("ws"))
-    found = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.length(x["word"]) >= 12)
 
     def word(i: Column) -> Column:
-        return F.when((i >= 0) & (i < F.size("ws")), F.lower(F.element_at("ws", i + 1))).otherwise("")
-
-    p = F.col("f.pos")
-    # The neighbours are picked before the words of the document are dropped.
-    rows = (cut.select("doc_id", "path", "ws", F.explode(found).alias("f"))
-            .select("doc_id", p.cast("long").alias("pos"), F.coalesce("path", F.lit("")).alias("path"), word(p - 2).alias("before2"),
-                    word(p - 1).alias("before"), word(p + 1).alias("after"),
+        return F.when((i >= 0) & (i < F.size("ws")), F.lower(F.get("ws", i))).otherwise("")
+
+    # Long words take their neighbours with them before they are exploded, so that no row carries the words of the document.
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("ws") - 1, F.lit(0))), lambda i: F.length(F.get("ws", i)) >= 12)
+    found = F.transform(places, lambda i: F.struct(i.alias("pos"), F.get("ws", i).alias("word"), word(i - 2).alias("before2"),
+                                                   word(i - 1).alias("before"), word(i + 1).alias("after")))
+    rows = (cut.filter("ws IS NOT NULL").select("doc_id", "path", F.explode(found).alias("f"))
+            .select("doc_id", F.col("f.pos").cast("long").alias("pos"), F.coalesce("path", F.lit("")).alias("path"), "f.before2", "f.before", "f.after",
                     *[F.regexp_extract_all("f.word", F.lit(_RUN), F.lit(g)).alias(c) for g, c in ((1, "names"), (2, "values"))]))
     return (rows.select("*", F.posexplode(F.arrays_zip("names", "values")).alias("run", "r"))
             .select("doc_id", "pos", F.col("run").cast("long").alias("run"), F.col("r.values").alias("value"),
@@ -163,7 +163,7 @@ def classify(found: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 def scan(docs: DataFrame, text: str = "text", path: str = "source", doc_id: str = "doc_id", labels: DataFrame | None = None) -> DataFrame:
     """Findings of ``docs``: doc_id, pos, run, value, name, path, neighbours, features, score, is_secret.
 
-    ``labels``: doc_id, pos, secret of known findings, and run if a label is meant for one run of a word only (a null ``secret`` is left out; of contradicting labels the larger counts);
+    Null ids are ids like others, also of labels. ``labels``: doc_id, pos, secret of known findings, and run if a label is meant for one run of a word only (a null ``secret`` is left out; of contradicting labels the larger counts);
     if None, the findings of certain format label themselves (``labelled``). Columns of ``docs`` beyond those named play no part.
     """
     known = words_known(docs, text)
@@ -172,4 +172,4 @@ def scan(docs: DataFrame, text: str = "text", path: str = "source", doc_id: str
         return classify(found, labelled(found))
     keys = [c for c in ("doc_id", "pos", "run") if c in labels.columns]
     said = labels.groupBy(*[F.col(c).alias(f"l_{c}") for c in keys]).agg(F.max("secret").cast("double").alias("secret"))
-    return classify(found, found.join(said, [F.col(c) == F.col(f"l_{c}") for c in keys]).drop(*[f"l_{c}" for c in keys]))
+    return classify(found, found.join(said, [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in keys]).drop(*[f"l_{c}" for c in keys]))

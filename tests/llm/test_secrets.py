@@ -1,5 +1,6 @@
 """Secret scans: candidates by cases, the forest on held-out findings."""
 
+import math
 import random
 import string
 
@@ -78,3 +79,52 @@ def test_one_positive_in_many_negatives(spark):
                            *[f"if(yes, 1.0D, doc_id % 7 / 10.0D) AS {c}" for c in secrets.SCALARS])
     got = secrets.classify(rows.drop("secret"), rows.select(*[c for c in rows.columns if c != "yes"]), train_rows=2_000)
     assert [r["doc_id"] for r in got.filter("is_secret").collect()] == [n]
+
+
+def test_features_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = ["apple", "banana", "cherry", "window"]
+    texts = [(i, " ".join(rng.choices(words, k=30) + ["".join(rng.choices(string.ascii_letters + string.digits + "-_/", k=rng.randint(12, 40))),
+                                                       f"{rng.choice(words)}-{rng.choice(words)}-{rng.randrange(99)}"]), "s") for i in range(40)]
+    d = docs(spark, texts)
+    known = secrets.words_known(d)
+    counts = {}
+    for _, t, _ in texts:
+        for w in {w for w in "".join(c if c.isascii() and c.isalpha() else " " for c in t.lower()).split() if len(w) >= 4}:
+            counts[w] = counts.get(w, 0) + 1
+    counts = {w: n for w, n in counts.items() if n >= secrets.KNOWN_DOCUMENTS}
+    assert {r["word"]: r["n"] for r in known.collect()} == counts
+    pairs, firsts = {}, {}
+    for w, n in counts.items():
+        for a, b in zip(f"-{w}-", f"{w}-"):
+            pairs[a + b] = pairs.get(a + b, 0) + n
+            firsts[a] = firsts.get(a, 0) + n
+    cost = {p: -math.log((n + 1) / (firsts[p[0]] + 38)) for p, n in pairs.items()}
+    table = secrets.transitions(known)
+    assert {r["pair"]: pytest.approx(r["cost"]) for r in table.collect()} == cost
+
+    def kind(c):
+        return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "sign"
+    found = secrets.stored(secrets.candidates(d))
+    rows = secrets.with_features(found, known, table).collect()
+    assert len(rows) == found.count() > 40
+    for r in rows:
+        v, n = r["value"], len(r["value"])
+        kinds = "".join(c.lower() if c.isalnum() else "-" for c in v)
+        steps = [cost.get(kinds[i:i + 2], secrets.UNSEEN) for i in range(n - 1)]
+        runs = [w for w in "".join(c if c.isalpha() else " " for c in v.lower()).split() if len(w) >= 4]
+        want = (n, sum(c.isdigit() for c in v) / n, sum(c.isupper() for c in v) / n, len(set(v)) / n,
+                sum(kind(a) != kind(b) for a, b in zip(v, v[1:])) / n, sum(steps) / len(steps), sum(len(w) for w in runs if w in counts) / n)
+        assert [r[c] for c in secrets.SCALARS[:7]] == pytest.approx(list(want)), v
+
+
+def test_null_ids_and_very_long_texts(spark):
+    key = "6f9d6b7548cd69922210"
+    long = f"say password={key} and " + "some words of a long text " * 60_000 + f" token={key[::-1]} end"
+    rows = [(None, f"x secret={key} y", "s"), (1, long, None), (2, f"y {'word' * 5} z", "s")]
+    labels = spark.createDataFrame([(None, 1, 1), (2, 1, 0)], "doc_id long, pos long, secret int")
+    got = {(r["doc_id"], r["pos"]): r for r in secrets.scan(docs(spark, rows), labels=labels).collect()}
+    assert set(got) == {(None, 1), (1, 1), (1, 3 + 6 * 60_000), (2, 1)}
+    assert got[None, 1]["is_secret"] and not got[2, 1]["is_secret"]
+    last = got[1, 3 + 6 * 60_000]
+    assert (last["before2"], last["before"], last["after"]) == ("long", "text", "end")
