@@ -9,7 +9,8 @@ into one token automaton:
 Everything else is mandatory and must match word by word. Words are runs of ASCII letters and digits and of all
 other characters above U+007F, lower case in A-Z. A text holds a license where a path through the
 automaton accepts consecutive words. The automaton starts at its rarest way in: a text is searched
-for the mandatory words that every match begins with, and runs only from there.
+for the mandatory words that every match begins with, and runs only from there. Templates that begin with the same words share these
+starts; a long text with one changed mandatory word is left at that word.
 """
 
 from __future__ import annotations
@@ -19,16 +20,15 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparklore.llm.common import texts_of, with_arrow
+from sparklore.llm.common import of_worker, texts_of, with_arrow
+from sparklore.llm.license_texts import WHOLE_TEXTS
 
 # Fixed values of the contract: phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Wording of license notices (public texts), with markup.
-TEMPLATES: dict[str, str] = {
+# Wording of short license notices (public texts), with markup; whole texts are in ``license_texts``.
+NOTICES: dict[str, str] = {
     "apache-2.0": "licensed under the apache license [[,]] version 2 0",
     "mit": "released under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-                 "associated documentation files [[the software]] to deal in the software without restriction",
     "gpl-3.0": "licensed under the [[gnu]] general public license [[as published by the free software foundation]] "
                "[[either]] version 3 [[0]] [[of the license]]",
     "gpl-2.0": "licensed under the [[gnu]] general public license [[as published by the free software foundation]] "
@@ -36,10 +36,9 @@ TEMPLATES: dict[str, str] = {
     "cc-by-nc-4.0": "licensed under [[a]] [[the]] cc by nc [[license]] [[version]] 4 0",
     "cc-by-4.0": "licensed under [[a]] [[the]] cc by [[license]] [[version]] 4 0",
     "cc-by-sa-4.0": "licensed under [[a]] [[the]] cc by sa [[license]] [[version]] 4 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided "
-           "that the following conditions are met",
     "copyright-notice": "copyright [[c]] {{year:1..2}} [[by]] {{holder:1..6}} all rights reserved",
 }
+TEMPLATES: dict[str, str] = NOTICES | WHOLE_TEXTS
 _WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
                     for c in range(256))
 
@@ -186,10 +185,11 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))
 
     def run(batch: pa.RecordBatch) -> dict:
-        scanner = Scanner(*used)
+        scanner = of_worker(("licenses", repr(used)), lambda: Scanner(*used))     # automata are compiled once per worker
         rows = [scanner.scan(t) for t in texts_of(batch.column(0))]
         spans = [[[dict(zip(("start", "end", "label"), s)) for s in r[k]] for r in rows] for k in ("places", "found")]
         return {"n": pa.array([r["n_words"] for r in rows], pa.int64()), "p": pa.array(spans[0], span),
                 "t": pa.array(spans[1], span), "s": pa.array([r["score"] for r in rows], pa.float64())}
 
-    return with_arrow(docs, run, new, [text], [c for c in (docs.columns if keep is None else keep) if c not in new])
+    return with_arrow(docs, run, new, [text], [c for c in (docs.columns if keep is None else keep) if c not in new],
+                      state=True)

@@ -55,3 +55,40 @@ def test_scan(spark):
                    (4, 12, ["gpl"], ["gpl-3.0"], 0.75), (5, 3, ["reserved"], [], 1.0), (6, 0, [], [], 0.0), (6, 0, [], [], 0.0), (7, 0, [], [], 0.0),
                    (8, 20008, [], [], 0.0), (9, 9, ["reserved"], ["copyright-notice"], 1.0)]
     assert licenses.scan(table.limit(0)).collect() == []
+
+
+def plain(template):
+    """A text of a template: optional words left out, replaceable ones filled in."""
+    while "[[" in template:
+        template = re.sub(r"\[\[[^\[\]]*\]\]", " ", template)
+    return re.sub(r"\{\{[^}]*\}\}", "Some Holder", template)
+
+
+@pytest.mark.parametrize("label", sorted(licenses.WHOLE_TEXTS))
+def test_whole_texts(label):
+    rng, scanner = random.Random(3), licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    template = licenses.WHOLE_TEXTS[label]
+    text = plain(template)
+    full = re.sub(r"\{\{[^}]*\}\}", "The Holders of it", template.replace("[[", "").replace("]]", ""))     # all optional words in
+    for t in (text, full, "Intro words.\n" + text.upper() + "\nmore words", text.replace(" ", "\n * ")):
+        assert label in {x for _, _, x in scanner.scan(t)["found"]}, t
+    mandatory = [w.decode() for w in licenses.words_of(text)]
+    fixed = [i for i, w in enumerate(mandatory) if w not in ("some", "holder")]
+    # A word next to a replaceable region may be taken into it, so changed words are taken from within the wording.
+    inner = [i for i in fixed if {i - 1, i + 1} <= set(fixed) and 0 < i < len(mandatory) - 1]
+    for i in rng.sample(inner, min(40, len(inner))):
+        changed = " ".join(mandatory[:i] + ["xyzzy"] + mandatory[i + 1:])
+        assert label not in {x for _, _, x in scanner.scan(changed)["found"]}, (i, mandatory[i])
+        dropped = " ".join(mandatory[:i] + mandatory[i + 1:])
+        assert mandatory[i] in (mandatory[i - 1], mandatory[i + 1]) or label not in {x for _, _, x in scanner.scan(dropped)["found"]}, (i, mandatory[i])
+
+
+def test_first_sentences_are_no_license():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    for t in ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+              "Redistribution and use in source and binary forms, with or without modification, are permitted",
+              "This software is provided 'as-is', without any express or implied warranty."):
+        assert scanner.scan(t)["found"] == []
+    two, three = (plain(licenses.WHOLE_TEXTS[f"bsd-{n}-clause-text"]) for n in (2, 3))
+    assert [x for _, _, x in scanner.scan(two)["found"]] == ["bsd-2-clause-text"]
+    assert [x for _, _, x in scanner.scan(three)["found"]] == ["bsd-3-clause-text"]
