@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklore.functions import lifecycle as lc
+from sparklore.functions import responses as rs
 from sparklore.functions.text import strip
 from sparklore.session import cut_lineage
 
@@ -42,6 +43,27 @@ def opponents(facts: DataFrame, chosen: DataFrame) -> DataFrame:
             .select("tenant_id", F.col("chosen_id").alias("fact_id"), F.col("fact_id").alias("contradicts")))
 
 
+def contradiction_requests(facts: DataFrame) -> DataFrame:
+    """One question for a model per pair of different values that a (subject, predicate) states: GROUP, value_a < value_b, request.
+
+    Values, not facts, are paired: however many facts state a value, it is asked about once. The answers, read by
+    ``contradiction_verdicts``, go to ``mark_ambiguous``.
+    """
+    stated = with_keys(facts).groupBy(*GROUP, "object_key").agg(
+        F.min(F.struct("fact_id", "subject_entity", "predicate", "object_value")).alias("f"))
+    a = stated.select(*GROUP, F.col("object_key").alias("value_a"), F.col("f").alias("a"))
+    b = stated.select(*GROUP, F.col("object_key").alias("value_b"), F.col("f.object_value").alias("said_b"))
+    request = F.to_json(F.struct(F.col("a.subject_entity").alias("subject"), F.col("a.predicate").alias("predicate"),
+                                 F.col("a.object_value").alias("value_a"), F.col("said_b").alias("value_b")))
+    return a.join(b, GROUP).filter("value_a < value_b").select(*GROUP, "value_a", "value_b", request.alias("request"))
+
+
+def contradiction_verdicts(answers: DataFrame) -> DataFrame:
+    """The pairs of ``answers`` (GROUP, value_a, value_b, response) that a model confirms; unreadable answers confirm nothing."""
+    said = rs.parse(F.col("response"), "contradict boolean")
+    return answers.filter(F.coalesce(said["contradict"], F.lit(False))).select(*GROUP, "value_a", "value_b")
+
+
 def mark_ambiguous(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Facts whose object takes part in a confirmed contradiction become ambiguous.
 

@@ -73,6 +73,26 @@ def purge(rows: DataFrame, purged: DataFrame) -> DataFrame:
     return rows.join(purged.select("tenant_id"), "tenant_id", "left_anti")
 
 
+def purge_tables(root: str, names: list[str], tenants: DataFrame, purged: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """Physically empties the partitions of purged tenants in all tables; (tenants with the new status, audit rows).
+
+    ``root``/name are Parquet tables with one folder per tenant (``write_by_tenant``). ``purged``: tenant_id, the list of one
+    administrative act. Each of their folders is overwritten by an empty file of the same columns, so no file of
+    another tenant is read, moved or listed anew; a repeated purge does nothing more. audit: one row per tenant and table.
+    """
+    spark = tenants.sparkSession
+    gone = [r["tenant_id"] for r in purged.select("tenant_id").distinct().collect()]
+    audit = []
+    for name in names:
+        table = spark.read.parquet(f"{root}/{name}")
+        counted = {r["tenant_id"]: r["count"] for r in table.filter(F.col("tenant_id").isin(gone)).groupBy("tenant_id").count().collect()}
+        for tenant, n in sorted(counted.items()):
+            table.drop("tenant_id").limit(0).write.mode("overwrite").parquet(f"{root}/{name}/tenant_id={tenant}")
+            audit.append((tenant, "purge", name, n, float(now)))
+    after = tenants.withColumn("status", F.when(F.col("tenant_id").isin(gone), "suspended").otherwise(F.col("status")))
+    return after, spark.createDataFrame(audit, "tenant_id string, action string, target string, n_rows long, ts double")
+
+
 def counters(events: DataFrame, labels: list[str], amount: str | None = None) -> DataFrame:
     value = F.sum(F.col(amount)) if amount else F.count(F.lit(1))
     return events.groupBy(*labels).agg(value.alias("total"))

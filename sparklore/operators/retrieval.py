@@ -21,7 +21,7 @@ TRIGRAM_MIN = 0.3
 BM25_K1, BM25_B = 1.2, 0.75
 TIER_WEIGHTS = {"core": 1.0, "supporting": 0.7, "peripheral": 0.3}
 NO_TIER_WEIGHT = 0.7
-CATALOGUE_ROWS = 80
+CATALOGUE_ROWS, WIKI_HINTS = 80, 10
 
 
 def ranked(rows: DataFrame, score: Column, k: int, keys=("tenant_id", "qid")) -> DataFrame:
@@ -159,6 +159,24 @@ def graph_stream(questions: DataFrame, spans: DataFrame, entities: DataFrame, ed
     return ranked(real, F.col("score"), k)
 
 
+def navigation_scope(questions: DataFrame, entities: DataFrame, edges: DataFrame, pages: DataFrame, hops: int = 1,
+                     hints: int = WIKI_HINTS) -> tuple[DataFrame, DataFrame]:
+    """Where the answer to each question may stand: (documents, wiki hints).
+
+    Documents (tenant_id, qid, document_id) are those of the linked entities and of all entities within ``hops`` edges. Hints (tenant_id,
+    qid, rank, node_id, title, tier) are the first pages of these entities, at most ``hints`` of each question.
+    """
+    seeds = link_entities(questions, entities).select("tenant_id", "entity_id", "qid")
+    nodes, _ = graph.neighborhood(edges, seeds, hops=hops)
+    near = nodes.select("tenant_id", "qid", "entity_id").distinct()
+    documents = near.join(entities.select("tenant_id", "entity_id", "document_id"), ["tenant_id", "entity_id"]).select(
+        "tenant_id", "qid", "document_id").distinct()
+    w = Window.partitionBy("tenant_id", "qid").orderBy("entity_id", "node_id")
+    shown = (near.join(pages.select("tenant_id", "entity_id", "node_id", "title", "tier"), ["tenant_id", "entity_id"])
+             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= hints))
+    return documents, shown.select("tenant_id", "qid", "rank", "node_id", "title", "tier")
+
+
 def fuse(streams: list[DataFrame], k: int = RRF_K, keep: int = CANDIDATES) -> DataFrame:
     """Reciprocal rank fusion; a question with one stream keeps that stream's order."""
     rows = reduce(DataFrame.unionByName, [s.select("tenant_id", "qid", "span_id", "rank") for s in streams])
@@ -180,6 +198,13 @@ def rerank(fused: DataFrame, scores: DataFrame | None = None, keep: int = FINAL)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).drop("equal")
 
 
+def score_pairs(candidates: DataFrame, questions: DataFrame, spans: DataFrame, scorer) -> DataFrame:
+    """tenant_id, qid, span_id, model_score of candidate rows, by a scorer of two texts (``functions.scorers``). Only candidates bring their texts."""
+    texts = (candidates.select("tenant_id", "qid", "span_id").join(questions.select("tenant_id", "qid", "question"), ["tenant_id", "qid"])
+             .join(spans.select("tenant_id", "span_id", "content"), ["tenant_id", "span_id"]))
+    return texts.select("tenant_id", "qid", "span_id", scorer("question", "content").alias("model_score"))
+
+
 def tier_weight(tier: Column) -> Column:
     w = F.lit(NO_TIER_WEIGHT)
     for name, value in TIER_WEIGHTS.items():

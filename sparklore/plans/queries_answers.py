@@ -9,6 +9,7 @@ from sparklore.operators import memory as mem
 from sparklore.operators import retrieval as ret
 from sparklore.operators import wiki
 from sparklore.plans.registry import query
+from sparklore.sources import corpus
 
 R = F.round
 
@@ -256,6 +257,26 @@ def _(kb):
     return gov.purge(kb.facts, tenants(kb).filter("status = 'suspended'")).select("tenant_id", "fact_id")
 
 
+@query("gov03_purge_all_tables", "WITH " + TENANTS + """,
+t AS (SELECT 'facts' AS name, tenant_id, count(*) AS n FROM kb_facts GROUP BY 2 UNION ALL
+      SELECT 'spans', tenant_id, count(*) FROM kb_spans GROUP BY 2 UNION ALL SELECT 'turns', tenant_id, count(*) FROM kb_turns GROUP BY 2)
+SELECT name, tenant_id, CASE WHEN status = 'suspended' THEN 0 ELSE n END AS n_left, CASE WHEN status = 'suspended' THEN n ELSE 0 END AS n_purged, status
+FROM t JOIN tn USING (tenant_id)""")
+def _(kb):
+    root, tables = corpus.run_folder(kb.spark, "purge"), {"facts": kb.facts, "spans": kb.spans, "turns": kb.turns}
+    for name, df in tables.items():
+        corpus.write_by_tenant(df, f"{root}/{name}")
+    who = tenants(kb)
+    status, audit = gov.purge_tables(root, [*tables], who.withColumn("status", F.lit("active")), who.filter("status = 'suspended'"), 0.0)
+    rows = None
+    for name, df in tables.items():
+        left = kb.spark.read.schema(df.schema).parquet(f"{root}/{name}").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_left"))
+        part = status.select(F.lit(name).alias("name"), "tenant_id", "status").join(left, "tenant_id", "left")
+        rows = part if rows is None else rows.unionByName(part)
+    purged = audit.select("tenant_id", F.col("target").alias("name"), F.col("n_rows").alias("n_purged"))
+    return rows.join(purged, ["tenant_id", "name"], "left").na.fill(0).filter("n_left + n_purged > 0")
+
+
 @query("gov04_effective_settings", """
 SELECT d.document_id, CAST(coalesce(s.lint_ambiguous_ratio, 0.15) AS DOUBLE) AS lint_ambiguous_ratio,
        CAST(coalesce(s.lint_hub_inferred_ratio, 0.20) AS DOUBLE) AS lint_hub_inferred_ratio,
@@ -342,6 +363,32 @@ def pages(kb):
     return wiki.page_sources(kb.entities, kb.facts, kb.edges)
 
 
+def fact_spans(kb):
+    """Link rows: the own span of a fact, and for extracted facts one or two more."""
+    more = F.when(F.col("provenance") == "extracted", F.when(F.col("source_count") >= 3, F.array(F.lit("c"), F.lit("b"))).otherwise(F.array(F.lit("b"))))
+    ends = F.concat(F.array(F.lit("")), F.coalesce(more, F.array().cast("array<string>")))
+    return kb.facts.filter("span_id IS NOT NULL").select("tenant_id", "fact_id", "span_id", F.posexplode(ends).alias("pos", "end")).select(
+        "tenant_id", "fact_id", F.concat("span_id", "end").alias("span_id"), "pos")
+
+
+@query("wik03_pages_with_two_spans", PAGES_SQL.replace("coalesce(span_id, '')", """coalesce(span_id || CASE
+    WHEN provenance = 'extracted' AND source_count >= 3 THEN ',' || span_id || 'c'
+    WHEN provenance = 'extracted' THEN ',' || span_id || 'b' ELSE '' END, '')"""))
+def _(kb):
+    return wiki.page_sources(kb.entities, kb.facts, kb.edges, fact_spans(kb)).select("tenant_id", "entity_id", "content")
+
+
+@query("wik03_page_entities", """
+SELECT tenant_id, document_id, entity_id, pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, document_id ORDER BY entity_id) AS pos FROM (
+    SELECT DISTINCT e.tenant_id, d.source_uri AS document_id, e.entity_id FROM kb_entities e JOIN kb_documents d USING (tenant_id, document_id)))
+WHERE pos <= 50""")
+def _(kb):
+    """Sources as documents of many entities, so that the bound of pages per document shows."""
+    of = kb.entities.select("tenant_id", "entity_id", "document_id").join(kb.documents.select("tenant_id", "document_id", "source_uri"), ["tenant_id", "document_id"])
+    return wiki.page_entities(of.select("tenant_id", F.col("source_uri").alias("document_id"), "entity_id"))
+
+
 @query("wik03_page_sources", PAGES_SQL)
 def _(kb):
     return pages(kb).select("tenant_id", "entity_id", "content")
@@ -355,11 +402,19 @@ def nodes(kb):
 @query("wik04_upsert_pages", """
 SELECT tenant_id, 'wk_' || entity_id AS node_id, CASE WHEN type IN ('product', 'org') THEN name ELSE 'new ' || name END AS title,
        entity_id, CASE WHEN type IN ('product', 'org') THEN 'core' ELSE 'supporting' END AS tier,
-       CASE WHEN type = 'product' THEN type ELSE 'v2 ' || type END AS content FROM kb_entities""")
-def _(kb):
-    n = nodes(kb)
+       CASE WHEN type = 'product' THEN type ELSE 'v2 ' || type END AS content,
+       CASE WHEN type = 'product' THEN '{}' ELSE mix END AS provenance_mix
+FROM kb_entities LEFT JOIN (
+  SELECT tenant_id, entity_id, '{' || string_agg('"' || provenance || '":' || CASE WHEN share = 1 THEN '1.0' ELSE CAST(CAST(share AS DOUBLE) AS VARCHAR) END,
+                                                 ',' ORDER BY provenance) || '}' AS mix FROM (
+    SELECT tenant_id, entity_id, provenance, round(n / sum(n) OVER (PARTITION BY tenant_id, entity_id), 3) AS share
+    FROM (SELECT tenant_id, subject_entity AS entity_id, provenance, count(*) AS n FROM kb_facts GROUP BY 1, 2, 3)) GROUP BY 1, 2)
+USING (tenant_id, entity_id)""")
+def _(kb):
+    n = nodes(kb).withColumn("provenance_mix", F.lit("{}"))
     fresh = n.filter("content <> 'product'").withColumns({
-        "title": F.concat(F.lit("new "), "title"), "tier": F.lit("supporting"), "content": F.concat(F.lit("v2 "), "content")})
+        "title": F.concat(F.lit("new "), "title"), "tier": F.lit("supporting"), "content": F.concat(F.lit("v2 "), "content")}).drop("provenance_mix").join(
+        wiki.mix_column(kb.facts), ["tenant_id", "entity_id"], "left")
     return wiki.upsert_pages(n.filter("content in ('product', 'org')"), fresh)
 
 

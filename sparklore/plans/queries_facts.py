@@ -56,6 +56,37 @@ def verdicts(kb):
             .filter("value_a <> value_b"))
 
 
+PAIRS = f"""
+WITH k AS ({KEYED}),
+v AS (SELECT tenant_id, sk, pk, ok, min(fact_id) AS fact_id FROM k GROUP BY ALL),
+s AS (SELECT v.*, k.subject_entity, k.predicate, k.object_value FROM v JOIN k USING (tenant_id, fact_id)),
+p AS (SELECT a.tenant_id, a.sk AS subject_key, a.pk AS predicate_key, a.ok AS value_a, b.ok AS value_b,
+             CAST(to_json({{'subject': a.subject_entity, 'predicate': a.predicate, 'value_a': a.object_value, 'value_b': b.object_value}}) AS VARCHAR) AS request
+      FROM s a JOIN s b ON a.tenant_id = b.tenant_id AND a.sk = b.sk AND a.pk = b.pk AND a.ok < b.ok)"""
+
+
+@query("fct02_contradiction_requests", PAIRS + "SELECT * FROM p")
+def _(kb):
+    return fct.contradiction_requests(kb.facts)
+
+
+@query("fct02_mark_by_answers", PAIRS + """,
+yes AS (SELECT * FROM p WHERE length(subject_key) % 2 = 0),
+sides AS (SELECT tenant_id, subject_key, predicate_key, value_a AS ok FROM yes UNION ALL
+          SELECT tenant_id, subject_key, predicate_key, value_b FROM yes),
+n AS (SELECT tenant_id, subject_key AS sk, predicate_key AS pk, ok, count(*) AS contradicts FROM sides GROUP BY ALL)
+SELECT k.tenant_id, k.fact_id, CASE WHEN n.contradicts > 0 THEN 'ambiguous' ELSE provenance END AS provenance,
+       CAST(coalesce(n.contradicts, 0) AS INTEGER) AS contradicts
+FROM k LEFT JOIN n USING (tenant_id, sk, pk, ok)""")
+def _(kb):
+    """The model says yes, in a code fence, where the subject's name has an even length, and else no or nothing readable."""
+    n = F.length("subject_key")
+    said = F.when(n % 2 == 0, F.lit('```json\n{"contradict": true}\n```')).when(n % 3 == 0, '{"contradict": false}').otherwise("unsure")
+    answers = fct.contradiction_requests(kb.facts).withColumn("response", said)
+    return fct.mark_ambiguous(kb.facts, fct.contradiction_verdicts(answers)).select(
+        "tenant_id", "fact_id", "provenance", F.col("contradicts").cast("int").alias("contradicts"))
+
+
 @query("fct02_mark_ambiguous", f"""
 WITH k AS ({KEYED}),
 v AS (SELECT tenant_id, sk, pk, min(ok) AS a, max(ok) AS b FROM k GROUP BY 1, 2, 3 HAVING min(ok) <> max(ok))

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from sparklore.functions import vectors as vec
 from sparklore.operators import retrieval as ret
-from sparklore.operators.entities import link_entities
-from sparklore.operators import graph
+from sparklore.functions.scorers import pair_scorer
+from sparklore.operators import wiki
 from sparklore.plans.registry import query
 
 R = F.round
@@ -186,16 +186,54 @@ def _(kb):
     return shown(hybrid(kb))
 
 
-@query("grf12_navigation_scope", """
+NEAR = """
 WITH near AS (SELECT l.tenant_id, l.qid, unnest([e.source_entity, e.target_entity]) AS entity_id FROM kb_linked l
               JOIN kb_edges e ON e.tenant_id = l.tenant_id AND l.entity_id IN (e.source_entity, e.target_entity)
               UNION SELECT tenant_id, qid, entity_id FROM kb_linked)
+"""
+
+
+def scope(kb):
+    pages = kb.degrees.select("tenant_id", "entity_id", F.concat(F.lit("wk_"), "entity_id").alias("node_id"), F.col("name").alias("title"),
+                              wiki.importance(F.col("degree")).alias("tier")).filter("tier <> 'peripheral'")
+    return ret.navigation_scope(kb.question_vectors, kb.entities, kb.edges, pages)
+
+
+@query("grf12_navigation_scope", NEAR + """
 SELECT DISTINCT n.tenant_id, n.qid, e.document_id FROM near n JOIN kb_entities e USING (tenant_id, entity_id)""")
 def _(kb):
-    seeds = link_entities(kb.question_vectors, kb.entities).select("tenant_id", "entity_id", "qid")
-    nodes, _ = graph.neighborhood(kb.edges, seeds, hops=1)
-    return nodes.join(kb.entities.select("tenant_id", "entity_id", "document_id"), ["tenant_id", "entity_id"]).select(
-        "tenant_id", "qid", "document_id").distinct()
+    return scope(kb)[0]
+
+
+@query("grf12_wiki_hints", NEAR + """
+SELECT tenant_id, qid, rank, 'wk_' || entity_id AS node_id, title, tier FROM (
+  SELECT n.tenant_id, n.qid, d.entity_id, d.name AS title, CASE WHEN degree >= 5 THEN 'core' ELSE 'supporting' END AS tier,
+         row_number() OVER (PARTITION BY n.tenant_id, n.qid ORDER BY d.entity_id) AS rank
+  FROM (SELECT DISTINCT tenant_id, qid, entity_id FROM near) n JOIN kb_degrees d USING (tenant_id, entity_id) WHERE degree >= 1) WHERE rank <= 10""")
+def _(kb):
+    return scope(kb)[1]
+
+
+def word_overlap():
+    """The share of a question's words that a text has: a scorer without a model file, loaded like one."""
+    import re
+
+    def score(questions, texts):
+        both = [(set(re.findall(r"[a-z0-9]+", q.lower())), set(re.findall(r"[a-z0-9]+", t.lower()))) for q, t in zip(questions, texts)]
+        return [len(a & b) / len(a) if a else 0.0 for a, b in both]
+    return score
+
+
+@query("ret07_rerank_by_scorer", """
+WITH w AS (SELECT v.tenant_id, v.qid, v.span_id, v.rank AS before, list_distinct(regexp_extract_all(lower(q.question), '[a-z0-9]+')) AS a,
+                  list_distinct(regexp_extract_all(lower(s.content), '[a-z0-9]+')) AS b
+           FROM kb_vector_stream v JOIN kb_questions q USING (tenant_id, qid) JOIN kb_spans s USING (tenant_id, span_id)),
+x AS (SELECT *, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0.0 END AS score FROM w)
+SELECT tenant_id, qid, span_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (
+  PARTITION BY tenant_id, qid ORDER BY round(score, 9) DESC, before) AS rank FROM x) WHERE rank <= 8""")
+def _(kb):
+    found = ret.vector_stream(kb.question_vectors, kb.spans_with_vectors)
+    return shown(ret.rerank(found, ret.score_pairs(found, kb.questions, kb.spans, pair_scorer(word_overlap))))
 
 
 @query("ext10_align_vectors", """

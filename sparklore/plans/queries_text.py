@@ -21,17 +21,15 @@ def as_documents(kb):
     return kb.documents.select("tenant_id", "document_id", "content")
 
 
-@query("src01_read_corpus", """
-SELECT 't' || (item_id % 4) AS tenant_id, CAST(item_id AS VARCHAR) AS item, text || chr(10) AS content FROM benchmark""")
+@query("src01_read_corpus", "SELECT tenant_id, document_id, content || chr(10) AS content FROM kb_documents")
 def _(kb):
-    # One file per item, of equal names in folders of tenants and items.
+    """All documents as one file each, in folders of tenants; rows are sorted by folder, so a task has one file open at a time."""
     root = corpus.run_folder(kb.spark, "corpus")
-    i = F.col("item_id")
-    (kb.raw("benchmark").select(F.concat(F.lit("t"), (i % 4).cast("string")).alias("tenant"), i.alias("item"), "text")
-     .repartition("tenant").write.partitionBy("tenant", "item").text(root))
+    (kb.documents.select(F.col("tenant_id").alias("tenant"), F.col("document_id").alias("doc"), "content")
+     .repartition("tenant", "doc").sortWithinPartitions("tenant", "doc").write.partitionBy("tenant", "doc").text(root))
     return corpus.read_text_corpus(kb.spark, root).select(
         F.regexp_extract("tenant_id", "^tenant=(.*)$", 1).alias("tenant_id"),
-        F.regexp_extract("document_id", "^item=([0-9]+)/", 1).alias("item"), "content")
+        F.regexp_extract("document_id", "^doc=([^/]+)/", 1).alias("document_id"), "content")
 
 
 @query("src01_documents", "SELECT tenant_id, document_id, content FROM kb_documents")
