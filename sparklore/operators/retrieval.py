@@ -14,6 +14,7 @@ from sparklore.operators import graph
 from sparklore.operators.entities import link_entities
 from sparklore.session import stored_table
 from sparklore.sources.search_index import SearchIndex, band_of, counted_terms
+from sparklore.sources.vector_index import VectorIndex
 
 # Candidates per stream, results, fusion constant, trigram cut, BM25, tier weights.
 CANDIDATES, FINAL, RRF_K = 50, 8, 60
@@ -62,6 +63,12 @@ def vector_stream(questions: DataFrame, spans: DataFrame, k: int = CANDIDATES, s
     return ranked(rows, F.col("score"), k)
 
 
+def vector_search(questions: DataFrame, index: VectorIndex, k: int = CANDIDATES) -> DataFrame:
+    """The exact nearest spans like ``vector_stream``, from stored blocks: blocks that cannot hold one of the ``k`` best are not opened."""
+    hits, _, _ = index.search(questions, k)
+    return ranked(hits, F.col("score"), k)
+
+
 def postings(spans: DataFrame) -> DataFrame:
     """(tenant, span, term, tf, doc_len); counted inside the row, so nothing is shuffled."""
     return counted_terms(spans.select("tenant_id", "span_id", F.array_sort(tx.simple_tokens("content")).alias("tokens")))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from sparklore.functions import text as tx
 from sparklore.operators import graph
+from sparklore.plans.fixture_sql import NOW
 from sparklore.session import ensure_checkpoint_dir
+from sparklore.sources.adjacency import Adjacency
 from sparklore.sources.search_index import SearchIndex
-from sparklore.plans.fixture_sql import NOW
+from sparklore.sources.vector_index import VectorIndex
 
 __all__ = ["Kb", "NOW"]
 
@@ -308,20 +310,38 @@ class Kb:
                                           F.lit(1).cast("long").alias("span_no"))
         return self.spans.join(v, ["doc_id", "span_no"], "left")
 
+    def _stored_at(self, kind: str, *tables: str) -> str:
+        """The folder of something derived from tables, named by their files: changed data has a folder of its own."""
+        files = None
+        for name in tables:
+            meta = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").select(
+                "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+            files = meta if files is None else files.union(meta)
+        number = files.agg(F.sum(F.xxhash64("*").cast("decimal(20,0)")).alias("n")).first()["n"]
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/{kind}-{number}"
+
     @cached_property
     def search_index(self) -> SearchIndex:
-        """The stored index of all spans of this data folder: written by the first query that asks for it, read by all others.
-
-        Its folder is named by the files of the documents, so changed data has an index of its own.
-        """
-        files = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet").select(
-            "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        name = files.agg(F.sum(F.xxhash64("*").cast("decimal(20,0)")).alias("n")).first()["n"]
-        index = SearchIndex(self.spark, f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/search-index-{name}")
+        """The stored index of all spans: written by the first query that asks for it, read by all others."""
+        index = SearchIndex(self.spark, self._stored_at("search-index", "documents"))
         if not index.exists():
             index.extend(self.spans, 0)
         return index
 
+    @cached_property
+    def vector_index(self) -> VectorIndex:
+        index = VectorIndex(self.spark, self._stored_at("vector-index", "documents", "embeddings"))
+        if not index.exists():
+            index.extend(self.spans_with_vectors, "span_id", "embedding", 0)
+        return index
+
+    @cached_property
+    def adjacency(self) -> Adjacency:
+        stored = Adjacency(self.spark, self._stored_at("adjacency", "lineitem", "customer"))
+        if not stored.log.exists():
+            stored.extend(self.edges, 0)
+        return stored
+
     @cached_property
     def model_scores(self) -> DataFrame:
         """Outside scores of (question, span) pairs: by text length, for the head of each document."""

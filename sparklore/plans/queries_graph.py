@@ -95,7 +95,7 @@ hop2 AS (SELECT DISTINCT w.tenant_id, w.b AS entity_id FROM both_ways w JOIN hop
 SELECT tenant_id, entity_id, 0 AS hop FROM seed UNION ALL SELECT tenant_id, entity_id, 1 FROM hop1
 UNION ALL SELECT tenant_id, entity_id, 2 FROM hop2""")
 def _(kb):
-    return graph.neighborhood(kb.edges, seeds(kb), hops=2, checkpoint=True)[0]
+    return kb.adjacency.neighborhood(seeds(kb), hops=2)[0]
 
 
 @query("grf05_neighborhood_edges", "WITH " + WALK + """,
@@ -103,7 +103,14 @@ front AS (SELECT tenant_id, entity_id FROM seed UNION ALL SELECT * FROM hop1)
 SELECT DISTINCT e.tenant_id, e.relation_id FROM kb_edges e JOIN front f ON f.tenant_id = e.tenant_id
   AND f.entity_id IN (e.source_entity, e.target_entity)""")
 def _(kb):
-    return graph.neighborhood(kb.edges, seeds(kb), hops=2, checkpoint=True)[1].select("tenant_id", "relation_id")
+    return kb.adjacency.neighborhood(seeds(kb), hops=2)[1].select("tenant_id", "relation_id")
+
+
+@query("grf05_neighborhood_of_edge_table", "WITH " + WALK + """
+SELECT tenant_id, entity_id, 0 AS hop FROM seed UNION ALL SELECT tenant_id, entity_id, 1 FROM hop1
+UNION ALL SELECT tenant_id, entity_id, 2 FROM hop2""")
+def _(kb):
+    return graph.neighborhood(kb.edges, seeds(kb), hops=2, checkpoint=True)[0]
 
 
 @query("grf06_typed_edges", "WITH " + SEEDS + """

@@ -25,6 +25,11 @@ def _(kb):
     return shown(ret.vector_stream(kb.question_vectors, kb.spans_with_vectors))
 
 
+@query("ret01_vector_search_by_blocks", shown_sql("kb_vector_stream"))
+def _(kb):
+    return shown(ret.vector_search(kb.question_vectors, kb.vector_index))
+
+
 @query("ret01_vector_top_k_by_label", """
 SELECT * FROM (SELECT v.label, e.vec_id, round(list_cosine_similarity(v.vector, CAST(e.embedding AS DOUBLE[])), 6) AS sim,
   row_number() OVER (PARTITION BY v.label ORDER BY round(list_cosine_similarity(v.vector, CAST(e.embedding AS DOUBLE[])), 9) DESC,
