@@ -6,8 +6,9 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 # How each kind of line starts.
 LINE_KINDS = [
@@ -78,14 +79,21 @@ def blocks(text: str) -> Iterator[tuple[str, int, str]]:
             at += 1
 
 
-def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, block_no, type, level, payload) of every document, in Arrow batches."""
-    kind = dict(docs.dtypes)[id_col]
+@udtf(returnType="block_no int, type string, level int, payload string")
+class MarkdownBlocks:
+    """The blocks of one text, row by row: a task holds one document at a time. Usable in SQL after ``register``."""
+
+    def eval(self, text: str):
+        for n, block in enumerate(blocks(text)):
+            yield n, *block
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, n, *b) for i, t in zip(pdf[id_col], pdf[text_col]) for n, b in enumerate(blocks(t))]
-            yield pd.DataFrame(rows, columns=[id_col, "block_no", "type", "level", "payload"])
+def register(spark: SparkSession, name: str = "markdown_blocks") -> None:
+    """Makes the function known to SQL: ``SELECT d.id, b.* FROM docs d, LATERAL markdown_blocks(d.content) b``."""
+    spark.udtf.register(name, MarkdownBlocks)
 
-    return docs.select(id_col, text_col).mapInPandas(
-        run, f"`{id_col}` {kind}, block_no int, type string, level int, payload string")
+
+def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, block_no, type, level, payload) of every document. A null text has no blocks."""
+    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
+    return rows.lateralJoin(MarkdownBlocks(F.col("_text").outer())).drop("_text")

@@ -181,45 +181,108 @@ def with_attributes(edges: DataFrame) -> DataFrame:
 CYCLE_KEY = ["tenant_id", "relation_type"]
 
 
+def _steps(n: int) -> int:
+    """Pointer doublings that pass ``n`` nodes."""
+    return max(1, n).bit_length() + 1
+
+
+def _contract(core: DataFrame, inward: bool) -> dict[str, DataFrame] | None:
+    """Merges every node with a single edge in (``inward``; else out) into the other end of that edge, along whole trees at once.
+
+    A cycle through a merged node passes its tree's root, so the smaller graph has the same strongly connected parts. Returns core (the
+    smaller graph), loops (nodes that got an edge to themselves), rings (node, label: cycles that nothing enters or leaves by
+    merged ends, complete parts) and what ``_expand`` needs; None if there is nothing to merge.
+    """
+    key, (a, b) = CYCLE_KEY, ("s", "t") if inward else ("t", "s")
+    parents = cut_lineage(core.groupBy(*key, F.col(b).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(a).alias("p"))
+                          .filter("n = 1").select(*key, "v", "p"))
+    merged = parents.count()
+    if not merged:
+        return None
+    ptr = parents.select(*key, "v", F.col("p").alias("top"), F.col("v").alias("low"))
+    for _ in range(_steps(merged)):
+        ahead = ptr.select(*key, F.col("v").alias("top"), F.col("top").alias("further"), F.col("low").alias("other"))
+        ptr = cut_lineage(ptr.join(ahead, [*key, "top"], "left").select(
+            *key, "v", F.coalesce("further", "top").alias("top"), F.least("low", F.coalesce("other", "low")).alias("low")))
+    # Who still points at a merged node hangs on a ring of them, and after so many steps points at the ring itself.
+    names = parents.select(*key, F.col("v").alias("top"))
+    hanging = cut_lineage(ptr.join(names, [*key, "top"], "left_semi"))
+    on_ring = hanging.select(*key, F.col("top").alias("v")).distinct()
+    rings = cut_lineage(hanging.join(on_ring, [*key, "v"], "left_semi").select(*key, F.col("v").alias("node"), F.col("low").alias("label")))
+    roots = cut_lineage(ptr.join(hanging.select(*key, "v"), [*key, "v"], "left_anti").select(*key, "v", F.col("top").alias("root")))
+    # The one edge at the merged end of a node is its tree's; all others end at roots.
+    others = core.join(parents.select(*key, F.col("v").alias(b)), [*key, b], "left_anti")
+    others = cut_lineage(others.join(hanging.select(*key, F.col("v").alias(a)), [*key, a], "left_anti").select(*key, "s", "t"))
+    moved = (others.join(roots.withColumnRenamed("v", a), [*key, a], "left").withColumn(a, F.coalesce("root", a)).drop("root")
+             .select(*key, "s", "t").distinct())
+    moved = cut_lineage(moved)
+    trees = cut_lineage(parents.join(roots.select(*key, "v"), [*key, "v"], "left_semi"))
+    return {"core": moved.filter("s <> t"), "loops": moved.filter("s = t").select(*key, F.col("s").alias("node"), F.col("s").alias("label")),
+            "rings": rings, "roots": roots, "parents": trees, "others": others.select(*key, F.col(a).alias("v"), F.col(b).alias("end"))}
+
+
+def _expand(found: DataFrame, level: dict[str, DataFrame]) -> DataFrame:
+    """Nodes on cycles (node, label) before a contraction, from those after it.
+
+    A merged node is on a cycle if it, or a node below it in its tree, has another edge to the part of its root; so the nodes with such
+    edges are marked, and with them all nodes up to the root, by pointer doubling.
+    """
+    key = CYCLE_KEY
+    back = (level["others"].join(found.withColumnRenamed("node", "end"), [*key, "end"]).join(level["roots"], [*key, "v"])
+            .join(found.select(*key, F.col("node").alias("root"), F.col("label").alias("own")), [*key, "root"]).filter("label = own"))
+    marked, jump = cut_lineage(back.select(*key, "v", "label").distinct()), level["parents"]
+    names = level["parents"].select(*key, F.col("v").alias("p"))
+    while True:
+        inner = cut_lineage(jump.join(names, [*key, "p"], "left_semi").select(*key, "v", "p"))     # jumps that end below the root
+        if inner.isEmpty():
+            break
+        up = marked.join(inner, [*key, "v"]).select(*key, F.col("p").alias("v"), "label")
+        marked = cut_lineage(marked.unionByName(up).distinct())
+        jump = inner.join(inner.select(*key, F.col("v").alias("p"), F.col("p").alias("q")), [*key, "p"]).select(*key, "v", F.col("q").alias("p"))
+    return cut_lineage(found.unionByName(marked.withColumnRenamed("v", "node").select(found.columns)))
+
+
+def _trimmed(core: DataFrame) -> DataFrame:
+    """Without the edges whose source nobody enters or whose target nobody leaves."""
+    key = CYCLE_KEY
+    heads, tails = core.select(*key, F.col("t").alias("s")).distinct(), core.select(*key, F.col("s").alias("t")).distinct()
+    return cut_lineage(core.join(heads, [*key, "s"], "left_semi").join(tails, [*key, "t"], "left_semi").select(*key, "s", "t"))
+
+
 def cycle_nodes(edges: DataFrame, relation_types: list[str] | None = None, max_rounds: int = 200) -> DataFrame:
     """Nodes that lie on a directed cycle of one acyclic relation type.
 
-    Paths are shortened first: a node with one edge in and one out passes on what enters it, and pointer doubling
-    finds both ends of such a path in a logarithmic number of rounds. Rings of such nodes are cycles. What
-    remains is trimmed and split into strongly connected parts; a path lies on a cycle if
-    both its ends are in one part. Raises if ``max_rounds`` do not suffice; never returns a part of the result.
+    Rounds of trimming and contraction: nodes with a single edge in or out are merged into the other end, whole trees at once by pointer
+    doubling, so paths, trees and ladders of any length vanish in a few rounds. What cannot be merged is split into strongly
+    connected parts (``_cycle_parts``); then the contractions are undone one by one. Raises if ``max_rounds`` do not
+    suffice; never returns a part of the result.
     """
-    kinds = relation_types or ACYCLIC_TYPES
-    core = cut_lineage(edges.filter(F.col("relation_type").isin(kinds))
-                       .select("tenant_id", "relation_type", F.col("source_entity").alias("s"),
-                               F.col("target_entity").alias("t")).distinct())
-    key = CYCLE_KEY
-    into = core.groupBy(*key, F.col("t").alias("v")).agg(F.count(F.lit(1)).alias("n_in"), F.min("s").alias("up"))
-    out = core.groupBy(*key, F.col("s").alias("v")).agg(F.count(F.lit(1)).alias("n_out"), F.min("t").alias("down"))
-    passing = cut_lineage(into.join(out, [*key, "v"]).filter("n_in = 1 AND n_out = 1 AND up <> v")
-                          .select(*key, "v", "up", "down"))
-    rounds = max(1, passing.count()).bit_length() + 1
-    for _ in range(rounds):      # after these rounds only rings still point at passing nodes
-        ends = passing.select(*key, F.col("v").alias("x"), F.col("up").alias("x_up"), F.col("down").alias("x_down"))
-        further_up = ends.select(*key, F.col("x").alias("up"), "x_up")
-        further_down = ends.select(*key, F.col("x").alias("down"), "x_down")
-        passing = cut_lineage(passing.join(further_up, [*key, "up"], "left").join(further_down, [*key, "down"], "left")
-                              .select(*key, "v", F.coalesce("x_up", "up").alias("up"), F.coalesce("x_down", "down").alias("down")))
-    names = passing.select(*key, F.col("v").alias("down"))
-    rings = passing.join(names, [*key, "down"], "left_semi").select(*key, "v")
-    paths = passing.join(names, [*key, "down"], "left_anti")
-    inner = passing.select(*key, "v")
-    direct = (core.join(inner.withColumnRenamed("v", "s"), [*key, "s"], "left_anti")
-              .join(inner.withColumnRenamed("v", "t"), [*key, "t"], "left_anti").select(*key, "s", "t"))
-    short = direct.unionByName(paths.select(*key, F.col("up").alias("s"), F.col("down").alias("t"))).distinct()
-    parts = _cycle_parts(short, max_rounds)
-    found = rings.select(*key, F.col("v").alias("entity_id"))
-    if parts is not None:
-        ends = [parts.select(*key, F.col("node").alias(end), F.col("label").alias(f"{end}_part")) for end in ("up", "down")]
-        on = (paths.join(ends[0], [*key, "up"]).join(ends[1], [*key, "down"]).filter("up_part = down_part")
-              .select(*key, F.col("v").alias("entity_id")))
-        found = found.unionByName(parts.select(*key, F.col("node").alias("entity_id"))).unionByName(on)
-    return found.distinct()
+    kinds, key = relation_types or ACYCLIC_TYPES, CYCLE_KEY
+    whole = cut_lineage(edges.filter(F.col("relation_type").isin(kinds))
+                        .select("tenant_id", "relation_type", F.col("source_entity").alias("s"),
+                                F.col("target_entity").alias("t")).distinct())
+    core, levels = whole.filter("s <> t"), []
+    own = whole.filter("s = t").select(*key, F.col("s").alias("node"), F.col("s").alias("label"))
+    for _ in range(max_rounds):
+        before = core.count()
+        core = _trimmed(core)
+        merges = 0
+        for inward in (True, False):
+            level = _contract(core, inward)
+            if level is not None:
+                levels.append(level)
+                core, merges = level["core"], merges + 1
+        if not merges and core.count() == before or core.isEmpty():
+            break
+    else:
+        raise RuntimeError("contraction did not settle; raise max_rounds")
+    parts = _cycle_parts(core, max_rounds)
+    found = own.limit(0) if parts is None else parts.select(*key, "node", "label")
+    for level in reversed(levels):
+        # A loop counts by itself unless its node is in a larger part already.
+        alone = level["loops"].join(found.select(*key, "node"), [*key, "node"], "left_anti")
+        found = _expand(found.unionByName(alone), level).unionByName(level["rings"])
+    return found.unionByName(own).select(*key, F.col("node").alias("entity_id")).distinct()
 
 
 def _cycle_parts(core: DataFrame, max_rounds: int) -> DataFrame | None:

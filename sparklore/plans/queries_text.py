@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparklore.functions import text as tx
-from sparklore.functions.markdown import markdown_blocks
+from sparklore.functions.markdown import markdown_blocks, register
 from sparklore.functions.vectors import cosine, parse_vector
 from sparklore.operators import compile as cp
 from sparklore.operators import governance as gov
@@ -271,11 +271,33 @@ def _(kb):
     return cp.size_profile(kb.raw("documents"), "source", "text")
 
 
-@query("txt12_markdown_blocks")
+BLOCKS_SQL = r"""
+WITH l AS (SELECT page_id, generate_subscripts(string_split(content, chr(10)), 1) AS i, unnest(string_split(content, chr(10))) AS s FROM kb_page_text),
+k AS (SELECT *, CASE WHEN regexp_matches(s, '^#{1,3}\s+.+') THEN 'h' WHEN s LIKE '> %' THEN 'quote' WHEN regexp_matches(s, '^\s*[-*]\s+') THEN 'ul'
+                     WHEN regexp_matches(s, '^\s*\d+\.\s+') THEN 'ol' WHEN regexp_matches(s, '^\s*$') THEN 'blank' ELSE 'p' END AS kind FROM l),
+f AS (SELECT *, CASE WHEN kind = 'h' OR kind IS DISTINCT FROM lag(kind) OVER w OR (kind = 'p' AND regexp_matches(s, '^(#|>|\s*[-*]\s|\s*\d+\.\s|```|\|)'))
+                     THEN 1 ELSE 0 END AS fresh FROM k WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY i) AS n FROM f),
+b AS (SELECT page_id, n, kind AS type, CASE WHEN kind = 'h' THEN length(regexp_extract(min(s), '^(#{1,3})\s', 1)) ELSE 0 END AS level,
+             CASE kind WHEN 'h' THEN regexp_extract(min(s), '^#{1,3}\s+(.+)', 1) WHEN 'p' THEN string_agg(s, ' ' ORDER BY i)
+                  WHEN 'quote' THEN string_agg(s[3:], ' ' ORDER BY i)
+                  ELSE '[' || string_agg('"' || replace(replace(regexp_extract(s, '^\s*(?:[-*]|\d+\.)\s+(.*)', 1), '\', '\\'), '"', '\"') || '"', ', ' ORDER BY i) || ']'
+             END AS payload
+      FROM g WHERE kind <> 'blank' GROUP BY page_id, n, kind)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS block_no, type, CAST(level AS INTEGER) AS level, payload FROM b"""
+
+
+@query("txt12_markdown_blocks", BLOCKS_SQL)
 def _(kb):
     return markdown_blocks(page_texts(kb).select("page_id", "content"), "page_id", "content")
 
 
+@query("txt12_markdown_blocks_in_sql", BLOCKS_SQL)
+def _(kb):
+    register(kb.spark)
+    return kb.spark.sql("SELECT p.page_id, b.* FROM {pages} p, LATERAL markdown_blocks(p.content) b", pages=page_texts(kb))
+
+
 @query("txt13_table_of_contents", "SELECT DISTINCT tenant_id, document_id, section_path FROM kb_chunks")
 def _(kb):
     return cp.table_of_contents(kb.chunks)
