@@ -114,6 +114,7 @@ class Vocabulary:
         self._fine = re.compile(PRE_TOKEN.format(s=_SPACE, L=ranges_of("L"), N=ranges_of("N")))
         # Made at the first use; tokens are then numbered by their ids.
         self._compatible: dict[int, bool] = {}
+        self.most_pairs = KEPT_PAIRS
         self._alone: dict[str, bool] = {}
         self._automaton = None
 
@@ -167,7 +168,7 @@ class Vocabulary:
 
     def _pair(self, a: int, b: int) -> bool:
         """``compatible`` for ids, entered in the table of pairs."""
-        if len(self._compatible) > KEPT_PAIRS:
+        if len(self._compatible) > self.most_pairs:
             self._compatible.clear()
         known = self._compatible[a << 32 | b] = self.compatible(self._token[a], self._token[b])
         return known
@@ -297,12 +298,13 @@ class Known(dict):
 class Encoder:
     """Ids of whole texts, from tables of pieces and of pre-tokens."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, tables: float = 1.0):
         self.v = vocabulary
+        vocabulary.most_pairs = int(KEPT_PAIRS * tables)
         # Packed: a few bytes per entry instead of a list of numbers.
         self.pre_tokens = Known(lambda p: array("i", vocabulary.encode_pre_token(p.encode().decode("latin-1"))).tobytes(),
-                                KEPT_PRE_TOKENS)
-        self.known = Known(self._make, KEPT)
+                                int(KEPT_PRE_TOKENS * tables))
+        self.known = Known(self._make, int(KEPT * tables))
 
     def _make(self, piece: str) -> tuple[str, bytes]:
         packed = b"".join(map(self.pre_tokens.__getitem__, self.v.pre_tokens(piece)))
@@ -337,9 +339,9 @@ class Counter:
                    for part in self.v.parts_of(text))
 
 
-def _worker(kind, source: str):
+def _worker(kind, source: str, *args):
     """One per Python worker and vocabulary: workers serve many tasks, and keep their table of pieces."""
-    return of_worker((kind.__name__, hashlib.sha256(source.encode()).hexdigest()), lambda: kind(Vocabulary(source)))
+    return of_worker((kind.__name__, hashlib.sha256(source.encode()).hexdigest(), args), lambda: kind(Vocabulary(source), *args))
 
 
 def _shipped(df: DataFrame, path: str):
@@ -347,17 +349,17 @@ def _shipped(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", check: str | None = None, tables: float = 1.0) -> DataFrame:
     """``docs`` with the token ids of ``text`` in a new column ``ids`` (array of int).
 
     Null counts as the empty text, which has no ids. Strings of special tokens inside a text become
-    their ids. ``check`` names one more column: does decoding the ids in the same task give the text back? Columns of
-    ``docs`` with these names are replaced. Rows are never merged or dropped.
+    their ids. ``check`` names one more column: does decoding the ids in the same task give the text back? ``tables``: size
+    of the tables of known pieces as a share of the usual one, for workers with less memory. Columns of ``docs`` with these names are replaced. Rows are never merged or dropped.
     """
     source = _shipped(docs, tokenizer)
 
     def run(batch: pa.RecordBatch) -> dict:
-        encoder = _worker(Encoder, source.value)
+        encoder = _worker(Encoder, source.value, tables)
         texts = texts_of(batch.column(0))
         rows = [encoder.encode(t)[1] for t in texts]
         ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
