@@ -143,10 +143,16 @@ def cluster(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_id",
     assigned = stored(with_arrow(coded, assign, {"cluster": "int", "distance": "long"}, ["x"], ["vec_id"], state=True))
     scratch.clear()
     sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
-    of = F.element_at(F.array(*[F.lit(s) for s in sha]), F.col("cluster") + 1)
     inertia = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)")).alias("own"))
-    total = inertia.agg(F.sum("own").alias("all"))
-    per = inertia.crossJoin(total).select(F.col("cluster").alias("c"), F.expr("try_cast(own AS long)").alias("cluster_inertia"),
-                                          F.expr("try_cast(all AS long)").alias("inertia"))     # k rows and one
-    return (assigned.join(F.broadcast(per), F.col("cluster") == F.col("c"))
-            .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", of.alias("centroid_sha256")))
+    own = {r["cluster"]: int(r["own"]) for r in inertia.collect()}      # k numbers
+    per = [own.get(c, 0) for c in range(len(sha))]
+
+    def of(values: list[Column]) -> Column:
+        """The value of a row's cluster."""
+        return F.element_at(F.array(*values), F.col("cluster") + 1)
+
+    def fitting(v: int) -> Column:
+        return F.lit(v if v < 1 << 63 else None).cast("long")
+
+    return assigned.select("vec_id", "cluster", "distance", of([fitting(v) for v in per]).alias("cluster_inertia"),
+                           fitting(sum(per)).alias("inertia"), of([F.lit(s) for s in sha]).alias("centroid_sha256"))
