@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparklore.functions.lifecycle import source_confidence
 from sparklore.functions.relations import (ACYCLIC_TYPES, names_inverse, normalize_relation,
                                            relation_id, spec_table)
-from sparklore.session import cut_lineage
+from sparklore.session import cut_lineage, stored_table
 
 TRIPLE = ["tenant_id", "source_entity", "relation_type", "target_entity"]
 
@@ -194,7 +194,7 @@ def _contract(core: DataFrame, inward: bool) -> dict[str, DataFrame] | None:
     merged ends, complete parts) and what ``_expand`` needs; None if there is nothing to merge.
     """
     key, (a, b) = CYCLE_KEY, ("s", "t") if inward else ("t", "s")
-    parents = cut_lineage(core.groupBy(*key, F.col(b).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(a).alias("p"))
+    parents = stored_table(core.groupBy(*key, F.col(b).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(a).alias("p"))
                           .filter("n = 1").select(*key, "v", "p"))
     merged = parents.count()
     if not merged:
@@ -202,21 +202,21 @@ def _contract(core: DataFrame, inward: bool) -> dict[str, DataFrame] | None:
     ptr = parents.select(*key, "v", F.col("p").alias("top"), F.col("v").alias("low"))
     for _ in range(_steps(merged)):
         ahead = ptr.select(*key, F.col("v").alias("top"), F.col("top").alias("further"), F.col("low").alias("other"))
-        ptr = cut_lineage(ptr.join(ahead, [*key, "top"], "left").select(
+        ptr = stored_table(ptr.join(ahead, [*key, "top"], "left").select(
             *key, "v", F.coalesce("further", "top").alias("top"), F.least("low", F.coalesce("other", "low")).alias("low")))
     # Who still points at a merged node hangs on a ring of them, and after so many steps points at the ring itself.
     names = parents.select(*key, F.col("v").alias("top"))
-    hanging = cut_lineage(ptr.join(names, [*key, "top"], "left_semi"))
+    hanging = stored_table(ptr.join(names, [*key, "top"], "left_semi"))
     on_ring = hanging.select(*key, F.col("top").alias("v")).distinct()
-    rings = cut_lineage(hanging.join(on_ring, [*key, "v"], "left_semi").select(*key, F.col("v").alias("node"), F.col("low").alias("label")))
-    roots = cut_lineage(ptr.join(hanging.select(*key, "v"), [*key, "v"], "left_anti").select(*key, "v", F.col("top").alias("root")))
+    rings = stored_table(hanging.join(on_ring, [*key, "v"], "left_semi").select(*key, F.col("v").alias("node"), F.col("low").alias("label")))
+    roots = stored_table(ptr.join(hanging.select(*key, "v"), [*key, "v"], "left_anti").select(*key, "v", F.col("top").alias("root")))
     # The one edge at the merged end of a node is its tree's; all others end at roots.
     others = core.join(parents.select(*key, F.col("v").alias(b)), [*key, b], "left_anti")
-    others = cut_lineage(others.join(hanging.select(*key, F.col("v").alias(a)), [*key, a], "left_anti").select(*key, "s", "t"))
+    others = stored_table(others.join(hanging.select(*key, F.col("v").alias(a)), [*key, a], "left_anti").select(*key, "s", "t"))
     moved = (others.join(roots.withColumnRenamed("v", a), [*key, a], "left").withColumn(a, F.coalesce("root", a)).drop("root")
              .select(*key, "s", "t").distinct())
-    moved = cut_lineage(moved)
-    trees = cut_lineage(parents.join(roots.select(*key, "v"), [*key, "v"], "left_semi"))
+    moved = stored_table(moved)
+    trees = stored_table(parents.join(roots.select(*key, "v"), [*key, "v"], "left_semi"))
     return {"core": moved.filter("s <> t"), "loops": moved.filter("s = t").select(*key, F.col("s").alias("node"), F.col("s").alias("label")),
             "rings": rings, "roots": roots, "parents": trees, "others": others.select(*key, F.col(a).alias("v"), F.col(b).alias("end"))}
 
@@ -230,23 +230,23 @@ def _expand(found: DataFrame, level: dict[str, DataFrame]) -> DataFrame:
     key = CYCLE_KEY
     back = (level["others"].join(found.withColumnRenamed("node", "end"), [*key, "end"]).join(level["roots"], [*key, "v"])
             .join(found.select(*key, F.col("node").alias("root"), F.col("label").alias("own")), [*key, "root"]).filter("label = own"))
-    marked, jump = cut_lineage(back.select(*key, "v", "label").distinct()), level["parents"]
+    marked, jump = stored_table(back.select(*key, "v", "label").distinct()), level["parents"]
     names = level["parents"].select(*key, F.col("v").alias("p"))
     while True:
-        inner = cut_lineage(jump.join(names, [*key, "p"], "left_semi").select(*key, "v", "p"))     # jumps that end below the root
+        inner = stored_table(jump.join(names, [*key, "p"], "left_semi").select(*key, "v", "p"))     # jumps that end below the root
         if inner.isEmpty():
             break
         up = marked.join(inner, [*key, "v"]).select(*key, F.col("p").alias("v"), "label")
-        marked = cut_lineage(marked.unionByName(up).distinct())
+        marked = stored_table(marked.unionByName(up).distinct())
         jump = inner.join(inner.select(*key, F.col("v").alias("p"), F.col("p").alias("q")), [*key, "p"]).select(*key, "v", F.col("q").alias("p"))
-    return cut_lineage(found.unionByName(marked.withColumnRenamed("v", "node").select(found.columns)))
+    return stored_table(found.unionByName(marked.withColumnRenamed("v", "node").select(found.columns)))
 
 
 def _trimmed(core: DataFrame) -> DataFrame:
     """Without the edges whose source nobody enters or whose target nobody leaves."""
     key = CYCLE_KEY
     heads, tails = core.select(*key, F.col("t").alias("s")).distinct(), core.select(*key, F.col("s").alias("t")).distinct()
-    return cut_lineage(core.join(heads, [*key, "s"], "left_semi").join(tails, [*key, "t"], "left_semi").select(*key, "s", "t"))
+    return stored_table(core.join(heads, [*key, "s"], "left_semi").join(tails, [*key, "t"], "left_semi").select(*key, "s", "t"))
 
 
 def cycle_nodes(edges: DataFrame, relation_types: list[str] | None = None, max_rounds: int = 200) -> DataFrame:
