@@ -24,6 +24,9 @@ def main() -> None:
     spark = local_session("bench", cpus=cpus, shuffle_partitions=cpus, memory=os.environ.get("BENCH_MEMORY", "16g"))
     spark.range(1000).selectExpr("sum(id)").collect()
     known, seconds = all_queries(), {}
+    start = time.time()
+    Kb(spark, sf_dir).search_index      # stored once; the queries on text only read it
+    seconds["search_index_build"] = round(time.time() - start, 3)
     for name in HEADLINE:
         start = time.time()
         known[name].run(Kb(spark, sf_dir)).write.format("noop").mode("overwrite").save()
