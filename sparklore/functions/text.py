@@ -28,6 +28,8 @@ CHARS_PER_TOKEN = 2.5
 SENTENCE_END = r"(?U)(?<=[。.!?！？])\s*"
 LINE_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 BLANK_LINES = r"(?U)\n\s*\n"
+#: Characters behind the cursor that a search for the next part may walk over.
+LOCATE_STEP = 65_536
 
 
 def col(c) -> Column:
@@ -139,9 +141,17 @@ def sections(c) -> Column:
         return F.filter(F.transform(paths, cut), lambda s: s["body"] != "")
 
     def number(kept):
-        return F.transform(kept, lambda s, i: F.struct(
-            s["path"].alias("path"), s["body"].alias("body"),
-            F.size(F.filter(F.slice(kept, F.lit(1), i), lambda o: o["path"] == s["path"])).alias("ord")))
+        # Equal paths are neighbours once sorted; a section's number is its distance to the first of them.
+        def of_runs(by_path):
+            firsts = F.filter(F.transform(by_path, lambda s, k: k), lambda k: (k == 0) | (
+                F.get(by_path, k)["path"] != F.get(by_path, k - 1)["path"]))
+            return let(firsts, lambda at: F.flatten(F.transform(at, lambda first, j: F.transform(
+                F.sequence(first, F.coalesce(F.get(at, j + 1), F.size(by_path)) - 1),
+                lambda k: F.struct(F.get(by_path, k)["i"].alias("i"), (k - first).alias("ord"))))))
+
+        by_path = F.array_sort(F.transform(kept, lambda s, i: F.struct(s["path"].alias("path"), i.alias("i"))))
+        return let(F.array_sort(let(by_path, of_runs)), lambda ords: F.transform(kept, lambda s, i: F.struct(
+            s["path"].alias("path"), s["body"].alias("body"), F.get(ords, i)["ord"].alias("ord"))))
 
     return let(F.split(col(c), LINE_BREAK, -1), lambda lines: let(
         heading_paths(lines), lambda paths: let(bodies(lines, paths), number)))
@@ -199,16 +209,30 @@ def span_texts(chunk, target: int = SPAN_TARGET) -> Column:
 
 
 def locate_parts(parent, parts, fallback_to_cursor: bool) -> Column:
-    """Zero-based offset of each part: searched forward, then anywhere, then a fallback."""
-    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("offs"))
+    """Zero-based offset of each part: searched forward, then anywhere, then a fallback; an empty part stands at the cursor.
+
+    A search by position counts characters from the start of its text, so the fold carries the text from ``base`` on
+    and cuts off what lies more than ``LOCATE_STEP`` characters behind the cursor.
+    """
+    zero = F.struct(F.lit(0).alias("cursor"), F.lit(0).alias("base"), col(parent).alias("rest"),
+                    F.array().cast("array<int>").alias("offs"))
 
     def step(acc, p):
-        ahead = F.call_function("locate", p, col(parent), acc["cursor"] + 1) - 1
-        anywhere = F.call_function("locate", p, col(parent), F.lit(1)) - 1
-        fallback = acc["cursor"] if fallback_to_cursor else F.lit(0)
-        off = F.when(ahead >= 0, ahead).when(anywhere >= 0, anywhere).otherwise(fallback)
-        return F.struct(F.greatest(acc["cursor"], off + F.length(p)).alias("cursor"),
-                        F.concat(acc["offs"], F.array(off)).alias("offs"))
+        done = acc["cursor"] - acc["base"]
+        far = done > LOCATE_STEP
+        left = F.struct(F.when(far, acc["cursor"]).otherwise(acc["base"]).alias("base"),
+                        F.when(far, F.call_function("substring", acc["rest"], done + 1)).otherwise(acc["rest"]).alias("rest"))
+        anywhere = let(F.call_function("locate", p, col(parent), F.lit(1)), lambda at: F.when(at > 0, at - 1).otherwise(
+            acc["cursor"] if fallback_to_cursor else F.lit(0)))
+
+        def found(now):
+            ahead = F.call_function("locate", p, now["rest"], acc["cursor"] - now["base"] + 1)
+            off = let(ahead, lambda at: F.when(at > 0, at - 1 + now["base"]).otherwise(anywhere))
+            return let(F.when(p == "", acc["cursor"]).otherwise(off), lambda o: F.struct(
+                F.greatest(acc["cursor"], o + F.length(p)).alias("cursor"), now["base"].alias("base"),
+                now["rest"].alias("rest"), F.concat(acc["offs"], F.array(o)).alias("offs")))
+
+        return let(left, found)
 
     return F.aggregate(parts, zero, step, lambda a: a["offs"])
 

@@ -201,4 +201,5 @@ def link_entities(questions: DataFrame, entities: DataFrame, top_k: int = 5, sal
     named = (found.join(owners, ["tenant_id", "name_key"]).select("tenant_id", "qid", "entity_id")
              .withColumn("rank", F.row_number().over(h)).filter(F.col("rank") <= top_k)
              .select("tenant_id", "qid", "entity_id", F.lit(1.0).alias("sim")))
-    return top.unionByName(named.join(top, ["tenant_id", "qid", "entity_id"], "left_anti"))
+    both = top.withColumn("by_name", F.lit(False)).unionByName(named.withColumn("by_name", F.lit(True)))
+    return both.groupBy("tenant_id", "qid", "entity_id").agg(F.min_by("sim", "by_name").alias("sim"))

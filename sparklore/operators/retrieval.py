@@ -156,14 +156,23 @@ def trigram_stream(questions: DataFrame, index: SearchIndex, k: int = CANDIDATES
 
 def graph_stream(questions: DataFrame, spans: DataFrame, entities: DataFrame, edges: DataFrame,
                  edge_spans: DataFrame, k: int = CANDIDATES, top_entities: int = 5) -> DataFrame:
-    """Spans behind the edges around the linked entities, by edge confidence."""
-    seeds = link_entities(questions, entities, top_entities).select("tenant_id", "entity_id", "qid")
-    _, around = graph.neighborhood(edges, seeds, hops=1)
-    cited = around.select("tenant_id", "qid", "relation_id", "confidence").join(
+    """Spans behind the edges around the linked entities, by edge confidence.
+
+    A span's score for a question is its best score for one of the question's entities, so the ``k`` best spans of each
+    entity hold the ``k`` best of every question. They are found once per asked entity, however many questions ask for a hub.
+    """
+    seeds = stored_table(link_entities(questions, entities, top_entities).select("tenant_id", "entity_id", "qid").distinct())
+    asked = seeds.select("tenant_id", "entity_id").distinct()
+    ends = edges.select("tenant_id", "relation_id", "confidence", F.explode(F.array_distinct(
+        F.array("source_entity", "target_entity"))).alias("entity_id"))
+    cited = ends.join(asked, ["tenant_id", "entity_id"], "left_semi").join(
         edge_spans.select("tenant_id", "relation_id", "span_id"), ["tenant_id", "relation_id"])
-    best = cited.groupBy("tenant_id", "qid", "span_id").agg(F.max("confidence").alias("score"))
+    best = cited.groupBy("tenant_id", "entity_id", "span_id").agg(F.max("confidence").alias("score"))
     real = best.join(spans.select("tenant_id", "span_id"), ["tenant_id", "span_id"], "left_semi")
-    return ranked(real, F.col("score"), k)
+    of_entity = ranked(real, F.col("score"), k, ("tenant_id", "entity_id")).drop("rank")
+    rows = seeds.join(of_entity, ["tenant_id", "entity_id"]).groupBy("tenant_id", "qid", "span_id").agg(
+        F.max("score").alias("score"))
+    return ranked(rows, F.col("score"), k)
 
 
 def navigation_scope(questions: DataFrame, entities: DataFrame, edges: DataFrame, pages: DataFrame, hops: int = 1,

@@ -66,6 +66,41 @@ def test_skipped_heading_levels(spark):
     assert got == [("", "pre", 0), ("A > B", "b", 0), ("A > B > C", "c", 0), ("A > D", "d", 0), ("A > B", "again", 1)]
 
 
+def test_numbers_of_equal_paths(spark):
+    import random
+    rnd = random.Random(3)
+    heads = [rnd.choice(["# A", "# B", "# C", "## A", "## B"]) for _ in range(400)]
+    text = "\n".join(f"{h}\nbody {i}" for i, h in enumerate(heads))
+    stack, seen, want = [], {}, []
+    for i, h in enumerate(heads):
+        stack = stack[:h.index(" ") - 1] + [h.split()[1]]
+        path = " > ".join(stack)
+        want.append((path, f"body {i}", seen.get(path, 0)))
+        seen[path] = seen.get(path, 0) + 1
+    assert [(s["path"], s["body"], s["ord"]) for s in one(spark, text, tx.sections("x"))] == want
+    assert one(spark, "", tx.sections("x")) == [] and one(spark, " \n ", tx.sections("x")) == []
+
+
+def test_offsets_of_parts_equal_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    words = [rnd.choice(["aa", "ab", "é", "报告", "x"]) * rnd.randint(1, 400) for _ in range(900)]
+    text = " ".join(words)                  # several times longer than a search walks over
+    assert len(text) > 3 * tx.LOCATE_STEP
+    parts = words[:300] + ["not there", "", words[2] + " " + words[3]] + words[300:700] + ["", "nor there"] + words[700:]
+    for fallback in (True, False):
+        cursor, want = 0, []
+        for p in parts:
+            at = text.find(p, cursor)
+            at = at if at >= 0 else text.find(p)
+            at = at if at >= 0 else cursor if fallback else 0
+            want.append(at)
+            cursor = max(cursor, at + len(p))
+        got = spark.createDataFrame([(text, parts)], "x string, parts array<string>").select(
+            tx.locate_parts("x", F.col("parts"), fallback).alias("y")).first()["y"]
+        assert got == want
+
+
 def test_summary(spark):
     assert one(spark, "a" * 500, tx.summary("x", 200)) == "a" * 197 + "..."
     assert one(spark, "a\nb\nc", tx.summary("x", 10)) == "a b c"
