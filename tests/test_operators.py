@@ -31,6 +31,23 @@ def test_contradiction_winner(spark):
     assert [tuple(r) for r in fct.resolve_groups(facts, 200.0).collect()] == [("t", "b", "a")]
 
 
+def test_patches_are_applied_within_groups_by_one_shuffle(spark):
+    rows = [("t", f"f{i}", f"S{i % 3}", "p" if i % 2 else "P", "xyz"[i % 3], 1 + i % 4, float(i % 5), i % 7 == 0, None) for i in range(60)]
+    facts = spark.createDataFrame(rows, "tenant_id string, fact_id string, subject_entity string, predicate string, object_value string, "
+                                  "source_count long, last_confirmed double, stale boolean, superseded_by string")
+    want = {}
+    for r in rows:
+        mates = sorted((-m[5], -m[6], m[1]) for m in rows if m[2] == r[2])
+        want[r[1]] = None if mates[0][2] == r[1] else mates[0][2]
+    got = fct.resolve_in_place(facts, 100.0)
+    assert got.columns == facts.columns
+    assert {r.fact_id: (r.superseded_by, r.stale) for r in got.collect()} == {
+        r[1]: (want[r[1]], r[7] or want[r[1]] is not None) for r in rows}
+    assert {r.fact_id: r.superseded_by for r in fct.resolve_groups(facts, 100.0).collect()} == {k: v for k, v in want.items() if v}
+    for df in (got, fct.resolve_groups(facts, 100.0)):
+        assert df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_hot_contradiction_group_is_counted_not_paired(spark):
     facts = spark.range(2000).select(F.lit("t").alias("tenant_id"), F.lit("s").alias("subject_entity"),
                                      F.lit("p").alias("predicate"), (F.col("id") % 5).cast("string").alias("object_value"))
