@@ -48,6 +48,19 @@ def test_patches_are_applied_within_groups_by_one_shuffle(spark):
         assert df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_chains_of_neighbours_need_one_round(spark, monkeypatch):
+    rows = [(f"t{i % 2}", f"f{i}", f"f{i + 2}") for i in range(0, 600)] + [("t0", "a", "b"), ("t0", "b", "c"), ("t0", "c", "b"), ("t1", "n", None)]
+    tables = []
+    monkeypatch.setattr(fct, "stored_table", lambda df: tables.append(1) or df.localCheckpoint())
+    patches = spark.createDataFrame(rows, "tenant_id string, fact_id string, superseded_by string")
+    for order, most in (("near", 7), ("dealt", 31)):
+        tables.clear()
+        p = patches.coalesce(1) if order == "near" else patches.repartition(7, "fact_id")
+        got = {r.fact_id: r.current_id for r in fct.follow_supersession(p).collect()}
+        assert len(tables) <= most
+        assert got == {f"f{i}": f"f{600 + i % 2}" for i in range(600)} | {"a": None, "b": None, "c": None, "n": None}
+
+
 def test_hot_contradiction_group_is_counted_not_paired(spark):
     facts = spark.range(2000).select(F.lit("t").alias("tenant_id"), F.lit("s").alias("subject_entity"),
                                      F.lit("p").alias("predicate"), (F.col("id") % 5).cast("string").alias("object_value"))
