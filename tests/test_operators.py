@@ -48,6 +48,20 @@ def test_patches_are_applied_within_groups_by_one_shuffle(spark):
         assert df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_check_in_place_equals_patches_and_meets_by_group_once(spark):
+    rows = [("t", f"f{i}", f"S{i % 4}", "p" if i % 2 else "P", "x" if i % 4 == 3 else "xyz"[i % 3], 1 + i % 5, float(i % 6), i % 5 == 0, None, i % 2 == 0)
+            for i in range(80)]
+    facts = spark.createDataFrame(rows, "tenant_id string, fact_id string, subject_entity string, predicate string, object_value string, "
+                                  "source_count long, last_confirmed double, stale boolean, superseded_by string, _changed boolean")
+    patches = fct.check_on_write(facts, facts, 100.0)
+    want = {r.fact_id: (r.superseded_by, r.stale) for r in fct.apply_patches(facts, patches).collect()}
+    patched = {r.fact_id for r in patches.collect()}
+    got = fct.check_in_place(facts, 100.0)
+    assert {r.fact_id: (r.superseded_by, r.stale) for r in got.collect()} == want and patched
+    assert {r.fact_id for r in got.filter("_changed").collect()} == patched | {r[1] for r in rows if r[9]}
+    assert got.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_chains_of_neighbours_need_one_round(spark, monkeypatch):
     rows = [(f"t{i % 2}", f"f{i}", f"f{i + 2}") for i in range(0, 600)] + [("t0", "a", "b"), ("t0", "b", "c"), ("t0", "c", "b"), ("t1", "n", None)]
     tables = []
