@@ -70,3 +70,16 @@ def test_two_spans_per_line(spark):
     page = wiki.page_sources(e, f, edges, links).first()["content"]
     assert page == "E (org)\n\n- e p o [span:s1,s2]\n- e p q [span:] !conflict\n\n"
     assert "[span:s0]" in wiki.page_sources(e, f, edges).first()["content"]
+
+
+def test_pages_rank_facts_once_and_meet_their_spans_once(spark):
+    entities = spark.createDataFrame([("t", "e", "E", "org")], "tenant_id string, entity_id string, name string, type string")
+    facts = spark.createDataFrame([("t", f"f{i:03}", "e", "p", "x", "extracted") for i in range(70)],
+                                  "tenant_id string, fact_id string, subject_entity string, predicate string, object_value string, provenance string")
+    spans = spark.createDataFrame([("t", f"f{i:03}", f"s{j}", j) for i in range(70) for j in range(i % 4)],
+                                  "tenant_id string, fact_id string, span_id string, pos int")
+    edges = spark.createDataFrame([], "tenant_id string, relation_id string, source_entity string, relation_type string, target_entity string")
+    pages = wiki.page_sources(entities, facts, edges, spans)
+    lines = [f"- e p x [span:{','.join(f's{j}' for j in range(min(i % 4, 2)))}]" for i in range(60)]
+    assert pages.first()["content"] == "E (org)\n\n" + "\n".join(lines) + "\n\n"
+    assert "LeftSemi" not in pages.select("*")._jdf.queryExecution().executedPlan().toString()
