@@ -1,6 +1,10 @@
 """How often facts move: plans of operators on the fact table."""
 
+from pyspark.sql import functions as F
+
 from sparklore.operators import facts as fct
+from sparklore.operators import governance as gov
+from sparklore.streaming.jobs import settings
 
 FACTS = "tenant_id string, fact_id string, subject_entity string, predicate string, object_value string"
 
@@ -12,3 +16,15 @@ def test_requests_move_the_facts_once(spark):
     assert sorted((r.tenant_id, r.value_a, r.value_b) for r in out.collect()) == [("t", "x", "y"), ("t", "x", "z"), ("t", "y", "z")]
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[1]
     assert plan.count("Exchange hashpartitioning") == 2     # both sides of the pairs; when run, the second is the first one again
+
+
+def test_rows_are_not_dealt_by_tenant_to_be_purged(spark):
+    rows = spark.createDataFrame([(t, f"f{i}") for i, t in enumerate(["t0", "t1", "t2", "t0", None])], "tenant_id string, fact_id string")
+    tenants = spark.createDataFrame([("t0", "suspended"), ("t0", "suspended"), ("t1", "active"), ("t2", "active"), ("t9", "active")],
+                                    "tenant_id string, status string")
+    gone = tenants.groupBy("tenant_id").agg(F.max("status").alias("status")).filter("status = 'suspended'")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):      # as for lists whose size is not known before they are made
+        for bound, moves in ((10, False), (0, True)):
+            for out, want in ((gov.purge(rows, gone, bound), ["f1", "f2", "f4"]), (gov.only_active(rows, tenants, bound), ["f1", "f2"])):
+                plan = out._jdf.queryExecution().executedPlan().toString()
+                assert ("hashpartitioning" in plan) == moves and sorted(r.fact_id for r in out.collect()) == want
