@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from sparklore.operators import facts as fct
 from sparklore.operators import governance as gov
-from sparklore.streaming.jobs import settings
+from sparklore.session import settings
+from sparklore.sources import corpus
 
 FACTS = "tenant_id string, fact_id string, subject_entity string, predicate string, object_value string"
 
@@ -28,3 +29,17 @@ def test_rows_are_not_dealt_by_tenant_to_be_purged(spark):
             for out, want in ((gov.purge(rows, gone, bound), ["f1", "f2", "f4"]), (gov.only_active(rows, tenants, bound), ["f1", "f2"])):
                 plan = out._jdf.queryExecution().executedPlan().toString()
                 assert ("hashpartitioning" in plan) == moves and sorted(r.fact_id for r in out.collect()) == want
+
+
+def test_tenants_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).selectExpr("'t' || (id % 4) AS tenant_id", "id").coalesce(1)
+    seen = {}
+    for name, bound in (("few", corpus.OPEN_TENANTS), ("many", 2)):
+        monkeypatch.setattr(corpus, "OPEN_TENANTS", bound)
+        before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+        corpus.write_by_tenant(rows, f"{tmp_path}/{name}")
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+        back = spark.read.parquet(f"{tmp_path}/{name}").select("tenant_id", "id", "_metadata.file_path").collect()
+        assert {(r.tenant_id, r.id) for r in back} == {(f"t{i % 4}", i) for i in range(400)} and len(back) == 400
+        seen[name] = {r.file_path for r in back}
+    assert len(seen["few"]) == 4 and all(p.endswith(".zstd.parquet") for p in seen["few"])
