@@ -43,3 +43,15 @@ def test_tenants_are_written_without_a_sort(spark, tmp_path, monkeypatch):
         assert {(r.tenant_id, r.id) for r in back} == {(f"t{i % 4}", i) for i in range(400)} and len(back) == 400
         seen[name] = {r.file_path for r in back}
     assert len(seen["few"]) == 4 and all(p.endswith(".zstd.parquet") for p in seen["few"])
+
+
+def test_arrivals_move_before_they_are_folded(spark):
+    schema = "tenant_id string, fact_id string, object_value string, source_count long, last_confirmed double, retention double"
+    base = spark.createDataFrame([("t", "f1", "x", 2, 1.0, 0.5), ("t", "f2", "y", 1, 1.0, 0.5)], schema)
+    came = spark.createDataFrame([("t", "f1", "z", 1, 1.0, 0.5, "a"), ("t", "f3", "p", 4, 1.0, 0.5, "a"), ("t", "f3", "q", 9, 1.0, 0.5, "b")],
+                                 schema + ", seq string")
+    out = fct.upsert_by_id(base, came, 7.0)
+    assert sorted((r.fact_id, r.object_value, r.source_count, r.last_confirmed) for r in out.collect()) == [
+        ("f1", "z", 3, 7.0), ("f2", "y", 1, 1.0), ("f3", "q", 5, 7.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_COL" in plan
