@@ -32,6 +32,8 @@ KEPT = 100_000
 KEPT_PRE_TOKENS = 250_000
 #: The same for pairs of tokens known to be compatible or not.
 KEPT_PAIRS = 250_000
+#: Size of these tables, as a multiple, where digests are made: no ids leave the task, so its worker has room for them.
+DIGEST_TABLES = 3.0
 #: Pieces longer than this are not kept in the table of known pieces.
 KEPT_LENGTH = 64
 
@@ -403,7 +405,7 @@ def digests(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text"
     source = _shipped(docs, tokenizer)
 
     def run(batch: pa.RecordBatch) -> dict:
-        encoder = _worker(Encoder, source.value)
+        encoder = _worker(Encoder, source.value, DIGEST_TABLES)
         n, a, b = [], [], []
         for t in texts_of(batch.column(0)):
             written, row = encoder.encode(t)

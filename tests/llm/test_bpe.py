@@ -90,3 +90,13 @@ def test_decode_of_odd_ids(spark):
 def test_offsets(vocabulary):
     ids = np.array([50256, 0, 1, 262])
     assert vocabulary.decode(ids) == b"".join(vocabulary.text_of[i] for i in ids)
+
+
+def test_digests_keep_more_pieces_than_the_ids_of_the_pipeline(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 10)
+    with open(FILE, encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    text = " ".join(f"word{i}" for i in range(25))
+    large, small = bpe.Encoder(vocabulary, bpe.DIGEST_TABLES), bpe.Encoder(vocabulary)
+    assert large.encode(text)[0] == small.encode(text)[0]
+    assert len(large.known) == 25 and len(small.known) <= 10
