@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparklore.llm.common import spread, stored, texts_of, with_arrow
+from sparklore.llm.common import BROADCAST_ROWS, bounded, spread, stored, texts_of, with_arrow
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Members of one half beyond which its pairs are not written out but met in the middle.
@@ -78,12 +78,15 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     current = stored(edges.filter("a <> b").select("a", "b").distinct())
     found = None                                    # node, root
-    while not current.isEmpty():
+    while left := current.count():
+        def side(df: DataFrame) -> DataFrame:       # an edge has two nodes
+            return F.broadcast(df) if 2 * left <= BROADCAST_ROWS else df.hint("merge")
+
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
         while True:
             far = hooks.select(F.col("a").alias("x"), F.col("p").alias("q"))
-            jumped = stored(hooks.join(far, F.col("p") == F.col("x"))
+            jumped = stored(hooks.join(side(far), F.col("p") == F.col("x"))
                             .select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
             moved = not jumped.filter("moved").isEmpty()
             hooks = jumped.select("a", "p")
@@ -92,9 +95,9 @@ def components(edges: DataFrame) -> DataFrame:
         if found is None:
             found = hooks.select(F.col("a").alias("node"), F.col("p").alias("root"))
         else:
-            found = stored(found.join(hooks, F.col("root") == F.col("a"), "left")
+            found = stored(found.join(side(hooks), F.col("root") == F.col("a"), "left")
                            .select("node", F.coalesce("p", "root").alias("root")))
-        to = hooks.select(F.col("a").alias("x"), F.col("p").alias("q"))
+        to = side(hooks.select(F.col("a").alias("x"), F.col("p").alias("q")))
         half = current.join(to, F.col("a") == F.col("x")).select(F.col("q").alias("a"), "b")
         current = stored(half.join(to, F.col("b") == F.col("x")).select("a", F.col("q").alias("b"))
                          .filter("a <> b").distinct())
@@ -108,8 +111,9 @@ def links(nodes: DataFrame) -> DataFrame:
     stars = (variants.groupBy("z").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
              .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b"))
     near = components(stars)
-    placed = stored(nodes.join(near, F.col("fp") == F.col("node"), "left")
+    placed = stored(nodes.join(bounded(near), F.col("fp") == F.col("node"), "left")
                     .select("fp", F.coalesce("root", "fp").alias("root")))
+    # Spark takes a table to be as large as before it was exploded, so these joins say how they are made.
     # Halves: upper (side 1) and lower (side 0) 32 bits.
     halves = F.array(*[F.struct(F.lit(s).alias("side"),
                                 (F.shiftrightunsigned("fp", 32) if s else F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
@@ -118,12 +122,12 @@ def links(nodes: DataFrame) -> DataFrame:
     low = _masks([(), *((i,) for i in range(32))])
     known = (exact.groupBy("side", "v").agg(F.min("root").alias("least"), F.max("root").alias("most")))
     met = stored(spread(exact, "fp").select("fp", "root", "side", F.explode(F.transform(low, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-                 .join(known, ["side", "v"]).filter("root <> least OR root <> most").select("side", "v", "fp", "root"))
+                 .join(known.hint("merge"), ["side", "v"]).filter("root <> least OR root <> most").select("side", "v", "fp", "root"))
     crowd = met.groupBy("side", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("side", "v")
-    crowd = stored(crowd)
+    crowd = bounded(stored(crowd))
     few = met.join(crowd, ["side", "v"], "left_anti")
     other = exact.select("side", "v", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    pairs = (few.join(other, ["side", "v"]).filter(F.col("root") != F.col("root2"))
+    pairs = (few.join(other.hint("merge"), ["side", "v"]).filter(F.col("root") != F.col("root2"))
              .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS))
     edges = pairs.select(F.col("root").alias("a"), F.col("root2").alias("b"))
     # Crowded halves: everything that meets there, unchanged halves included.
@@ -138,8 +142,8 @@ def links(nodes: DataFrame) -> DataFrame:
 
     crowded = spread(stored(crowded), "fp")
     middle = (emitted(crowded.filter(odd), two).withColumnRenamed("root", "a")
-              .join(emitted(crowded.filter(~odd), single).withColumnRenamed("root", "b"), "z").filter("a <> b").select("a", "b"))
-    merged = components(edges.union(middle)).withColumnRenamed("root", "whole")
+              .join(emitted(crowded.filter(~odd), single).withColumnRenamed("root", "b").hint("merge"), "z").filter("a <> b").select("a", "b"))
+    merged = bounded(components(edges.union(middle)).withColumnRenamed("root", "whole"))
     return (placed.join(merged, F.col("root") == F.col("node"), "left")
             .select("fp", F.coalesce("whole", "root").alias("root")))
 
@@ -155,14 +159,14 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
                                words=words, keep=["doc_id", "text_hash"]))
     nodes = stored(rows.select("fp").distinct())
     found = stored(links(nodes).withColumnRenamed("fp", "fp2"))
-    return stored(rows.join(found, F.col("fp") == F.col("fp2")).drop("fp2"))
+    return stored(rows.join(bounded(found), F.col("fp") == F.col("fp2")).drop("fp2"))
 
 
 def component_ids(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id reachable by links."""
     rows = grouped(docs, text, doc_id, words)
     least = stored(rows.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id")))
-    return (rows.join(least, F.col("root") == F.col("r"))
+    return (rows.join(bounded(least), F.col("root") == F.col("r"))
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 

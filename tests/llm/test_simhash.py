@@ -89,3 +89,25 @@ def test_documents(spark):
         {least.get(r) or -1 for r in (roots[f] for f in fps)})
     assert simhash.component_ids(docs.limit(0)).collect() == []
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    plans, whole = [], simhash.components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return whole(edges)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    monkeypatch.setattr(simhash, "CROWD", 2)
+    rng = random.Random(5)
+    values = {0}
+    for _ in range(40):
+        v = 0
+        for b in rng.sample(range(32), rng.choice([3, 4, 5, 6])):
+            v ^= 1 << b
+        values.add(v)
+    got = {r["fp"]: r["root"] for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
+    assert got == brute_roots(values)
+    # Spark takes a fingerprint's 64 or 2,016 variants to be as large as the fingerprint.
+    assert re.search(r"SortMergeJoin \[z#", plans[-1]) and not re.search(r"BroadcastHashJoin \[z#", plans[-1])
