@@ -56,6 +56,26 @@ def test_facts_of_a_batch_are_written_alone(spark, tmp_path):
     assert {r.source_count for r in log.read().collect()} == {1, 2}
 
 
+def test_a_batch_of_facts_is_not_kept(spark, tmp_path, monkeypatch):
+    src, out, seen, whole = str(tmp_path / "in"), str(tmp_path / "out"), [], fct.reinforced_rows
+
+    def watched(base, batch, now):
+        level = batch.storageLevel
+        seen.append((level.useMemory or level.useDisk, base._jdf.queryExecution().optimizedPlan().toString()))
+        return whole(base, batch, now)
+
+    monkeypatch.setattr(fct, "reinforced_rows", watched)
+    for rows in ([("t", "f1", "s", "p", "x", "a"), ("t", "f2", "s", "p", "y", "b"), (None, "f3", None, "p", "x", "c")],
+                 [("t", "f4", "S", "P", "X", "d")]):
+        land(spark, src, rows, FACTS)
+        log = jobs.reinforce_stream(stream(spark, src, FACTS), out, 100.0)
+    assert [kept for kept, _ in seen] == [False, False]
+    # A log without rows is met by nothing that would have to be moved.
+    assert seen[0][1].startswith("LocalRelation <empty>") and "LeftSemi" in seen[1][1]
+    got = {r.fact_id: (r.source_count, r.stale, r.superseded_by) for r in log.read().collect()}
+    assert got == {"f1": (2, False, None), "f2": (1, True, "f1"), "f3": (1, False, None)}
+
+
 def test_levels_report_once_and_leave_no_state(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "job_id string, level string, ts timestamp"
